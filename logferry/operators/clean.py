@@ -57,7 +57,9 @@ def _block_id(b: Column) -> Column:
 
 def _scrubbed(edited: DataFrame, context: DataFrame) -> DataFrame:
     """Scrub the edited records and add up the line's counters."""
-    rows = edited.join(context.select(*KEYS, *CONTEXT), KEYS)
+    rows = edited.select(*KEYS, "agent", "line_no", "edited", "withheld", "images", "thinking").join(
+        context.select(*KEYS, *CONTEXT), KEYS
+    )
     done = rows.withColumn("_s", scrubbed_record("edited"))
     return done.select(
         *KEYS,
