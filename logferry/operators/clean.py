@@ -22,6 +22,7 @@ from ..functions.jsontext import (
 from ..functions.let import any_of, empty_strings, first_of, let
 from ..functions.paths import filter_on
 from ..functions.text import withheld_note
+from ..session import cut_lineage
 from .relink import resolve_removed
 from .scrub import CONTEXT, scrubbed_record
 from .touches import KEYS, with_owner
@@ -116,20 +117,27 @@ def decide_a(lines: DataFrame, withhold: DataFrame, sessions: DataFrame) -> Data
     )
 
 
-def links_a(decided: DataFrame) -> DataFrame:
-    """``line_no → relinked: map<key, target>`` for kept lines whose links name removed ones."""
+def decisions_a(decided: DataFrame) -> DataFrame:
+    """The narrow part of the decisions: what relinking and the counters need, without any text."""
     v = F.col("v")
-    removed = decided.where(~F.col("kept") & F.col("uuid").isNotNull()).select(
-        *KEYS, "line_no", "uuid", text_at(v, "$.parentUuid").alias("parent")
-    )
-    targets, _ = resolve_removed(removed)
     pairs = F.filter(
         F.array(*[F.struct(F.lit(k).alias("key"), text_at(v, f"$.{k}").alias("uuid")) for k in V.A_LINKS]),
         lambda p: p["uuid"].isNotNull(),
     )
+    return cut_lineage(
+        decided.select(
+            *LINE, "agent", "kept", "uuid", text_at(v, "$.parentUuid").alias("parent"),
+            F.when(F.col("kept"), pairs).alias("links"), *COUNTERS[2:],
+        )
+    )
+
+
+def links_a(decisions: DataFrame) -> DataFrame:
+    """``line_no → relinked: map<key, target>`` for kept lines whose links name removed ones."""
+    removed = decisions.where(~F.col("kept") & F.col("uuid").isNotNull()).select(*KEYS, "line_no", "uuid", "parent")
+    targets, _ = resolve_removed(removed)
     return (
-        decided.where("kept")
-        .select(*LINE, F.explode(pairs).alias("p"))
+        decisions.select(*LINE, F.explode("links").alias("p"))
         .select(*LINE, "p.key", "p.uuid")
         .join(targets, [*KEYS, "uuid"])
         .groupBy(*LINE)
@@ -137,6 +145,15 @@ def links_a(decided: DataFrame) -> DataFrame:
     )
 
 
+def _gone(decisions: DataFrame) -> DataFrame:
+    """Counters of lines that go: what was taken out of them still counts."""
+    zero = F.lit(0).cast("bigint")
+    return decisions.where(~F.col("kept") & (F.col("withheld") + F.col("images") + F.col("thinking") > 0)).select(
+        *KEYS, "agent", "line_no", F.lit(None).cast("string").alias("raw"), zero.alias("secrets"), zero.alias("emails"),
+        *[F.col(c).cast("bigint").alias(c) for c in COUNTERS[2:]],
+    )
+
+
 def _edited_block(b: Column, why: Column, images_off: Column) -> Column:
     """A kept block's JSON: images replaced, a withheld call's input blanked, a withheld result replaced."""
     kind = F.coalesce(text_at(b, "$.type"), F.lit(""))
@@ -162,7 +179,8 @@ def clean_a(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context:
     """Agent A's cleaned lines: bookkeeping, thinking and withheld attachments gone, withheld calls blanked,
     private fields removed, links re-pointed, every string scrubbed (K4)."""
     decided = decide_a(lines, withhold, sessions)
-    kept = decided.where("kept").join(links_a(decided), LINE, "left")
+    decisions = decisions_a(decided)
+    kept = decided.where("kept").join(links_a(decisions), LINE, "left")
     v, why, images_off = F.col("v"), F.col("why"), filter_on(F.col("off"), "pasted-images")
     content = F.when(
         F.col("blocks").isNotNull(),
@@ -197,15 +215,7 @@ def clean_a(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context:
     )
     rows = kept.withColumn("edited", F.when(touched, F.coalesce(edited, F.col("raw"))).otherwise(F.col("raw")))
     clean = _scrubbed(rows, context)
-    # Lines that go still count what was taken out of them.
-    gone = decided.where(~F.col("kept")).select(*LINE, "agent", *COUNTERS[2:])
-    return clean.unionByName(
-        gone.where(F.col("withheld") + F.col("images") + F.col("thinking") > 0).select(
-            *KEYS, "agent", "line_no", F.lit(None).cast("string").alias("raw"),
-            F.lit(0).cast("bigint").alias("secrets"), F.lit(0).cast("bigint").alias("emails"),
-            *[F.col(c).cast("bigint").alias(c) for c in COUNTERS[2:]],
-        )
-    )
+    return clean.unionByName(_gone(decisions))
 
 
 # --- agent B --------------------------------------------------------------------------------
@@ -292,12 +302,7 @@ def clean_b(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context:
         "edited", F.when(touched, F.coalesce(edited, F.col("raw"))).otherwise(F.col("raw"))
     )
     clean = _scrubbed(rows, context)
-    gone = decided.where(~F.col("kept") & (F.col("thinking") > 0)).select(
-        *KEYS, "agent", "line_no", F.lit(None).cast("string").alias("raw"),
-        F.lit(0).cast("bigint").alias("secrets"), F.lit(0).cast("bigint").alias("emails"),
-        *[F.col(c).cast("bigint").alias(c) for c in COUNTERS[2:]],
-    )
-    return clean.unionByName(gone)
+    return clean.unionByName(_gone(decided))
 
 
 def clean(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -26,7 +26,7 @@ from .touches import KEYS
 
 TOUCH = [*KEYS, "touch_no"]
 # The order in which a touch's possible reasons count.
-MCP, FILE, INPUT, OPAQUE, COMMAND, OUTPUT = range(6)
+MCP, FILE, INPUT, OPAQUE, COMMAND, _, OUTPUT = range(7)
 
 
 def _with_session(df: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -34,16 +34,10 @@ def _with_session(df: DataFrame, sessions: DataFrame) -> DataFrame:
     return df.join(sessions.select(*KEYS, "root", "home", "off"), KEYS)
 
 
-def _ranked(df: DataFrame, stage: int, reason: Column, culprit: Column | None = None, order: tuple = ()) -> DataFrame:
-    """Candidate reasons as rows, comparable by ``rank``."""
-    spots = [F.lit(stage).cast("bigint"), *[o.cast("bigint") for o in order]]
-    spots += [F.lit(0).cast("bigint")] * (4 - len(spots))
-    return df.select(
-        *TOUCH,
-        F.array(*spots).alias("rank"),
-        reason.alias("reason"),
-        (F.lit(None) if culprit is None else culprit).cast("string").alias("culprit"),
-    ).where(F.col("reason").isNotNull())
+def _rank(stage: Column, *order: Column) -> Column:
+    """Where a candidate reason stands: stage, then position within it."""
+    spots = [stage, *order, *[F.lit(0)] * (2 - len(order))]
+    return F.array(*[x.cast("bigint") for x in spots])
 
 
 def named_paths(touches: DataFrame, texts: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -104,33 +98,31 @@ def judge(touches: DataFrame, texts: DataFrame, checked: DataFrame, sessions: Da
     """
     t = _with_session(touches, sessions)
     off, root, home = F.col("off"), F.col("root"), F.col("home")
-    connected = _ranked(
-        t.where(F.startswith("tool", F.lit("mcp__")) & filter_on(off, "connected-tools")), MCP, F.lit(V.MCP_REASON)
-    )
     paths = checked.where(F.col("reason").isNotNull()).select(
         *TOUCH,
-        F.array(
-            F.when(F.col("src") == "file", FILE).otherwise(INPUT).cast("bigint"),
-            F.col("sub").cast("bigint"),
-            F.col("pos").cast("bigint"),
-            F.lit(0).cast("bigint"),
-        ).alias("rank"),
+        _rank(F.when(F.col("src") == "file", FILE).otherwise(INPUT), F.col("sub"), F.col("pos")).alias("rank"),
         "reason",
         F.col("path").alias("culprit"),
     )
-    opaque = _ranked(t.where(F.col("opaque") & filter_on(off, "unchecked-commands")), OPAQUE, F.lit(V.OPAQUE_REASON))
     cmd = F.coalesce(F.col("command"), F.lit(""))
-    command = _ranked(
-        t.where(F.col("tool") == "Bash"),
-        COMMAND,
-        first_of(
-            (filter_on(off, "credential-files") & sensitive_command(cmd), F.lit(V.SENSITIVE_CMD_REASON)),
-            (
-                filter_on(off, "unchecked-commands")
-                & (leaves_project(cmd, F.col("cwd"), home, root) | opaque_command(cmd)),
-                F.lit(V.UNCHECKED_REASON),
-            ),
+    unchecked = filter_on(off, "unchecked-commands")
+    bash = F.col("tool") == "Bash"
+    tests = [
+        (MCP, F.startswith("tool", F.lit("mcp__")) & filter_on(off, "connected-tools"), V.MCP_REASON),
+        (OPAQUE, F.col("opaque") & unchecked, V.OPAQUE_REASON),
+        (COMMAND, bash & filter_on(off, "credential-files") & sensitive_command(cmd), V.SENSITIVE_CMD_REASON),
+        (
+            COMMAND + 1,
+            bash & unchecked & (leaves_project(cmd, F.col("cwd"), home, root) | opaque_command(cmd)),
+            V.UNCHECKED_REASON,
         ),
+    ]
+    # A call's own lowest-ranked reason, found in one pass over the calls.
+    own = first_of(
+        *[(test, F.struct(_rank(F.lit(stage)).alias("rank"), F.lit(why).alias("reason"))) for stage, test, why in tests]
+    )
+    calls = t.select(*TOUCH, own.alias("own")).where(F.col("own").isNotNull()).select(
+        *TOUCH, "own.rank", "own.reason", F.lit(None).cast("string").alias("culprit")
     )
     shows = texts.where(F.col("kind") == "output").join(t.select(*TOUCH, "cwd", "root", "home", "off"), TOUCH)
     sensitive = lambda p: F.concat(
@@ -146,16 +138,18 @@ def judge(touches: DataFrame, texts: DataFrame, checked: DataFrame, sessions: Da
         F.filter(F.split("text", "\n", -1), lambda l: F.contains(l, F.lit(":"))),
         lambda l: join(F.col("cwd"), trimmed(F.split_part(l, F.lit(":"), F.lit(1)))),
     )
-    output = _ranked(
-        shows,
-        OUTPUT,
-        F.coalesce(F.get(hits(absolute), F.lit(0)), F.get(hits(searched), F.lit(0))),
-        order=(F.col("ord"), F.col("sub")),
+    shown_reason = F.coalesce(F.get(hits(absolute), F.lit(0)), F.get(hits(searched), F.lit(0)))
+    output = (
+        shows.select(
+            *TOUCH,
+            _rank(F.lit(OUTPUT), F.col("ord"), F.col("sub")).alias("rank"),
+            shown_reason.alias("reason"),
+            F.lit(None).cast("string").alias("culprit"),
+        )
+        .where(F.col("reason").isNotNull())
     )
     return (
-        connected.unionByName(paths)
-        .unionByName(opaque)
-        .unionByName(command)
+        calls.unionByName(paths)
         .unionByName(output)
         .groupBy(*TOUCH)
         .agg(F.min_by(F.struct("reason", "culprit"), "rank").alias("v"))

@@ -20,18 +20,28 @@ def with_v(clean_lines: DataFrame) -> DataFrame:
     return clean_lines.withColumn("v", F.try_parse_json("raw"))
 
 
-def _row(df: DataFrame, seq: Column, type_: str, **cols: Column) -> DataFrame:
+_ENTRY = (
+    "struct<sub:int,role:string,type:string,text:string,id:string,tool:string,name:string,input:string,"
+    "content:string,is_error:boolean>"
+)
+
+
+def _entry(sub: Column, type_: str, **cols: Column) -> Column:
+    """One neutral row as a struct; a line yields an array of them."""
     null = F.lit(None).cast("string")
     at = lambda name: cols.get(name, null)
-    return df.select(
-        *KEYS,
-        "agent",
-        seq.alias("seq"),
+    return F.struct(
+        sub.alias("sub"),
         at("role").alias("role"),
         F.lit(type_).alias("type"),
         *[at(c).alias(c) for c in ("text", "id", "tool", "name", "input", "content")],
         cols.get("is_error", F.lit(None).cast("boolean")).alias("is_error"),
-    )
+    ).cast(_ENTRY)
+
+
+def _exploded(lines: DataFrame, entries: Column) -> DataFrame:
+    rows = lines.select(*KEYS, "agent", "line_no", F.explode(entries).alias("e"))
+    return rows.select(*KEYS, "agent", place(F.col("line_no"), F.col("e.sub")).alias("seq"), *[F.col(f"e.{c}") for c in ROW[4:]])
 
 
 def result_text(content: Column) -> Column:
@@ -58,51 +68,40 @@ def neutral_a(lines: DataFrame) -> DataFrame:
     a = since_last(
         lines.where(F.col("agent") == V.AGENT_A), KEYS, "line_no", true_at(v, "$.isCompactSummary")
     ).where(~true_at(v, "$.isSidechain"))
-    a = a.withColumn("ltype", text_at(v, "$.type"))
-    start = place(F.col("line_no"), F.lit(0))
-    summaries = _row(a.where(F.col("ltype") == "summary"), start, "summary", text=text_at(v, "$.summary"))
-    said = a.where(F.col("ltype").isin("user", "assistant") & ~true_at(v, "$.isMeta"))
-    compact = true_at(v, "$.isCompactSummary")
-    compacted = _row(said.where(compact), start, "summary", text=result_text(field(v, "$.message.content")))
-    plain = said.where(~compact)
-    text = text_at(v, "$.message.content")
-    texts = _row(plain.where(text.isNotNull()), start, "text", role=F.col("ltype"), text=text)
-    b = F.col("b")
-    parts = plain.select(
-        *KEYS, "agent", "line_no", "ltype", F.posexplode(items_at(v, "$.message.content")).alias("pos", "b")
-    ).withColumn("btype", text_at(b, "$.type"))
-    at = place(F.col("line_no"), F.col("pos"))
-    name = F.coalesce(text_at(b, "$.name"), F.lit(""))
-    return (
-        summaries.unionByName(compacted)
-        .unionByName(texts)
-        .unionByName(
-            _row(parts.where(F.col("btype") == "text"), at, "text", role=F.col("ltype"), text=text_at(b, "$.text"))
-        )
-        .unionByName(
-            _row(
-                parts.where(F.col("btype") == "tool_use"),
-                at,
-                "tool_call",
-                role=F.lit("assistant"),
-                id=text_at(b, "$.id"),
-                tool=tool_kind(name),
-                name=name,
-                input=F.to_json(field(b, "$.input")),
-            )
-        )
-        .unionByName(
-            _row(
-                parts.where(F.col("btype") == "tool_result"),
-                at,
-                "tool_result",
-                role=F.lit("tool"),
-                id=text_at(b, "$.tool_use_id"),
-                content=result_text(field(b, "$.content")),
-                is_error=true_at(b, "$.is_error"),
-            )
+    ltype, zero = F.col("ltype"), F.lit(0)
+    text, content = text_at(v, "$.message.content"), field(v, "$.message.content")
+    said = ltype.isin("user", "assistant") & ~true_at(v, "$.isMeta")
+
+    def part(b: Column, i: Column) -> Column:
+        kind, name = text_at(b, "$.type"), F.coalesce(text_at(b, "$.name"), F.lit(""))
+        return first_of(
+            (kind == "text", _entry(i, "text", role=ltype, text=text_at(b, "$.text"))),
+            (
+                kind == "tool_use",
+                _entry(
+                    i, "tool_call", role=F.lit("assistant"), id=text_at(b, "$.id"), tool=tool_kind(name), name=name,
+                    input=F.to_json(field(b, "$.input")),
+                ),
+            ),
+            (
+                kind == "tool_result",
+                _entry(
+                    i, "tool_result", role=F.lit("tool"), id=text_at(b, "$.tool_use_id"),
+                    content=result_text(field(b, "$.content")), is_error=true_at(b, "$.is_error"),
+                ),
+            ),
         )
+
+    entries = first_of(
+        (ltype == "summary", F.array(_entry(zero, "summary", text=text_at(v, "$.summary")))),
+        (said & true_at(v, "$.isCompactSummary"), F.array(_entry(zero, "summary", text=result_text(content)))),
+        (said & text.isNotNull(), F.array(_entry(zero, "text", role=ltype, text=text))),
+        (
+            said,
+            F.filter(F.transform(items_at(v, "$.message.content"), part), lambda e: e.isNotNull()),
+        ),
     )
+    return _exploded(a.withColumn("ltype", text_at(v, "$.type")), entries)
 
 
 def visible_text(json: Column) -> Column:
@@ -116,79 +115,59 @@ def neutral_b(lines: DataFrame) -> DataFrame:
     v = F.col("v")
     b = with_owner(lines.where(F.col("agent") == V.AGENT_B))
     b = since_last(b, KEYS, "line_no", (F.col("type") == "compacted").eqNullSafe(F.lit(True)))
-    start, then = place(F.col("line_no"), F.lit(0)), place(F.col("line_no"), F.lit(1))
-    message = text_at(v, "$.payload.message")
-    summaries = _row(
-        b.where((F.col("type") == "compacted") & (F.length(message) > 0)), start, "summary", text=message
-    )
-    role = text_at(v, "$.payload.role")
+    zero, one = F.lit(0), F.lit(1)
+    message, role = text_at(v, "$.payload.message"), text_at(v, "$.payload.role")
     parts = F.filter(
         F.transform(items_at(v, "$.payload.content"), lambda c: text_at(c, "$.text")),
         lambda t: t.isNotNull() & ~F.startswith(t, F.lit("<environment_context>")),
     )
-    messages = b.where(
-        (F.col("type") == "response_item") & (F.col("ptype") == "message") & role.isin("user", "assistant")
-    ).withColumn("parts", parts)
-    said = _row(messages.where(F.size("parts") > 0), start, "text", role=role, text=F.array_join("parts", "\n"))
-
     itype = text_at(v, "$.payload.item.type")
-    words = items_at(v, "$.payload.item.command")
-    command = F.coalesce(F.to_json(F.element_at(F.concat(F.array(F.parse_json(F.lit("null"))), words), -1)), F.lit("null"))
-    items = (
-        b.where(F.col("kind") == "item")
-        .withColumn("itype", itype)
-        .where(F.col("itype").isin("CommandExecution", "FileChange"))
-        .select(
-            *KEYS,
-            "agent",
-            "line_no",
-            F.coalesce("owner", F.lit("")).alias("call"),
-            F.when(F.col("itype") == "FileChange", "edit_file").otherwise("shell").alias("tool"),
-            F.when(
-                F.col("itype") == "FileChange",
-                F.concat(
-                    F.lit('{"files":'),
-                    F.to_json(F.coalesce(F.map_keys(members_at(v, "$.payload.item.changes")), empty_strings())),
-                    F.lit("}"),
-                ),
-            )
-            .otherwise(F.concat(F.lit('{"command":'), command, F.lit("}")))
-            .alias("input"),
-            F.when(F.col("itype") == "FileChange", "")
-            .otherwise(visible_text(F.to_json(field(v, "$.payload.item.aggregated_output"))))
-            .alias("result"),
-        )
-    )
     # An output is described by events that came before it: the earliest event per call decides.
-    first_event = items.groupBy(*KEYS, "call").agg(F.min("line_no").alias("described"))
-    outputs = b.where(F.col("kind") == "output").select(
-        *KEYS, "agent", "line_no", F.coalesce("owner", F.lit("")).alias("call"), F.to_json(field(v, "$.payload.output")).alias("out")
+    called = F.coalesce("owner", F.lit(""))
+    first_event = (
+        b.where((F.col("kind") == "item") & itype.isin("CommandExecution", "FileChange"))
+        .groupBy(*KEYS, called.alias("call"))
+        .agg(F.min("line_no").alias("described"))
     )
-    alone = (
-        outputs.join(first_event, [*KEYS, "call"], "left")
-        .where(F.col("described").isNull() | (F.col("described") > F.col("line_no")))
-        .select(
-            *KEYS, "agent", "line_no", "call", F.lit("other").alias("tool"), F.lit("{}").alias("input"),
-            visible_text(F.col("out")).alias("result"),
-        )
-        .withColumn("name", F.lit("exec"))
-    )
-    calls = items.withColumn("name", F.col("tool")).unionByName(alone)
-    return (
-        summaries.unionByName(said)
-        .unionByName(
-            _row(
-                calls, start, "tool_call", role=F.lit("assistant"), id=F.col("call"), tool=F.col("tool"),
-                name=F.col("name"), input=F.col("input"),
-            )
-        )
-        .unionByName(
-            _row(
-                calls, then, "tool_result", role=F.lit("tool"), id=F.col("call"), content=F.col("result"),
-                is_error=F.lit(False),
-            )
+    # Lines that are no output join on a key of their own, so no null key gathers them in one task.
+    b = b.withColumn(
+        "call", F.when(F.col("kind") == "output", called).otherwise(F.concat(F.lit("\u0000"), F.col("line_no")))
+    ).join(first_event, [*KEYS, "call"], "left")
+    alone = F.col("described").isNull() | (F.col("described") > F.col("line_no"))
+
+    def pair(tool: Column, name: Column, input_: Column, result: Column) -> Column:
+        return F.array(
+            _entry(zero, "tool_call", role=F.lit("assistant"), id=called, tool=tool, name=name, input=input_),
+            _entry(one, "tool_result", role=F.lit("tool"), id=called, content=result, is_error=F.lit(False)),
         )
+
+    words = items_at(v, "$.payload.item.command")
+    command = F.coalesce(F.to_json(F.element_at(F.concat(F.array(F.parse_json(F.lit("null"))), words), -1)), F.lit("null"))
+    files = F.to_json(F.coalesce(F.map_keys(members_at(v, "$.payload.item.changes")), empty_strings()))
+    shell, edit = F.lit("shell"), F.lit("edit_file")
+    entries = first_of(
+        ((F.col("type") == "compacted") & (F.length(message) > 0), F.array(_entry(zero, "summary", text=message))),
+        (
+            (F.col("type") == "response_item") & (F.col("ptype") == "message") & role.isin("user", "assistant"),
+            F.filter(F.array(_entry(zero, "text", role=role, text=F.array_join(parts, "\n"))), lambda _: F.size(parts) > 0),
+        ),
+        (
+            (F.col("kind") == "item") & (itype == "CommandExecution"),
+            pair(
+                shell, shell, F.concat(F.lit('{"command":'), command, F.lit("}")),
+                visible_text(F.to_json(field(v, "$.payload.item.aggregated_output"))),
+            ),
+        ),
+        (
+            (F.col("kind") == "item") & (itype == "FileChange"),
+            pair(edit, edit, F.concat(F.lit('{"files":'), files, F.lit("}")), F.lit("")),
+        ),
+        (
+            (F.col("kind") == "output") & alone,
+            pair(F.lit("other"), F.lit("exec"), F.lit("{}"), visible_text(F.to_json(field(v, "$.payload.output")))),
+        ),
     )
+    return _exploded(b, entries)
 
 
 def to_neutral(clean_lines: DataFrame) -> DataFrame:

@@ -34,12 +34,6 @@ def blocks(lines: DataFrame, *extra: str | Column) -> DataFrame:
     return lines.select(*KEYS, "line_no", *extra, F.posexplode(items_at(F.col("v"), "$.message.content")).alias("pos", "b"))
 
 
-def _inputs(calls: DataFrame) -> DataFrame:
-    return calls.select(
-        *KEYS, "touch_no", F.lit("input").alias("kind"), F.lit(0).cast("bigint").alias("ord"), F.posexplode("inputs").alias("sub", "text")
-    ).select(*TEXT)
-
-
 def attachment_file(json: Column) -> Column:
     """The file an attachment names, wherever in it: an object's own keys first, then its members in order."""
     events = F.regexp_extract_all(json, F.lit(EVENT), F.lit(0))
@@ -74,73 +68,53 @@ def attachment_file(json: Column) -> Column:
     return let(best, lambda token: F.when(token.isNotNull(), F.get(decode(F.array(token)), F.lit(0))))
 
 
-def touches_a(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Touches and texts of agent A's lines."""
-    a = lines.where(F.col("agent") == V.AGENT_A)
-    v, cwd = F.col("v"), F.coalesce(text_at(F.col("v"), "$.cwd"), F.lit("/")).alias("cwd")
+def calls_a(lines: DataFrame) -> DataFrame:
+    """Agent A's tool calls and attachments in one pass over the lines, each with its own texts."""
+    a, v, b = lines.where(F.col("agent") == V.AGENT_A), F.col("v"), F.col("b")
     is_attachment = F.coalesce(text_at(v, "$.type") == "attachment", F.lit(False))
-
-    attachments = a.where(is_attachment).select(
-        *KEYS,
-        place(F.col("line_no"), F.lit(0)).alias("touch_no"),
-        F.coalesce(text_at(v, "$.uuid"), F.lit("")).alias("id"),
-        F.coalesce(text_at(v, "$.attachment.type"), F.lit("attachment")).alias("tool"),
-        cwd,
-        F.to_json(field(v, "$.attachment")).alias("json"),
-    )
-    b = F.col("b")
-    named = first_of(
-        *[
-            (text_at(b, "$.name") == tool, text_at(b, f"$.input.{key}"))
-            for tool, key in V.A_FILE_TOOLS.items()
-        ]
+    uses = F.filter(
+        F.transform(items_at(v, "$.message.content"), lambda x, i: F.struct(i.alias("pos"), x.alias("b"))),
+        lambda x: (text_at(x["b"], "$.type") == "tool_use").eqNullSafe(F.lit(True)),
     )
-    calls = (
-        blocks(a.where(~is_attachment), cwd)
-        .where(text_at(b, "$.type") == "tool_use")
-        .select(
-            *KEYS,
-            place(F.col("line_no"), F.col("pos")).alias("touch_no"),
-            F.coalesce(text_at(b, "$.id"), F.lit("")).alias("id"),
-            F.coalesce(text_at(b, "$.name"), F.lit("")).alias("tool"),
-            "cwd",
-            named.alias("named"),
-            F.to_json(field(b, "$.input")).alias("input"),
-        )
-        .withColumn("inputs", F.when(F.col("named").isNull(), strings(F.col("input"))).otherwise(empty_strings()))
-    )
-    touches = calls.select(
+    # An attachment line yields the attachment; any other line its tool calls.
+    attachment = F.array(F.struct(F.lit(0).alias("pos"), field(v, "$.attachment").alias("b")))
+    rows = a.select(
         *KEYS,
-        "touch_no",
-        "id",
-        "tool",
-        F.lit(False).alias("attachment"),
+        "line_no",
+        F.coalesce(text_at(v, "$.cwd"), F.lit("/")).alias("cwd"),
+        is_attachment.alias("attachment"),
+        text_at(v, "$.uuid").alias("uuid"),
+        F.explode(F.when(is_attachment, attachment).otherwise(uses)).alias("x"),
+    ).select(*KEYS, "line_no", "cwd", "attachment", "uuid", "x.pos", "x.b")
+    name = text_at(b, "$.name")
+    named = first_of(*[(name == tool, text_at(b, f"$.input.{key}")) for tool, key in V.A_FILE_TOOLS.items()])
+    rows = rows.withColumn("json", F.when(F.col("attachment"), F.to_json("b")).otherwise(F.to_json(field(b, "$.input"))))
+    rows = rows.withColumn(
+        "named", F.when(F.col("attachment"), attachment_file(F.coalesce("json", F.lit("")))).otherwise(named)
+    ).withColumn("said", strings(F.col("json")))
+    is_call, wanted = ~F.col("attachment"), F.col("named").isNull()
+    return rows.select(
+        *KEYS,
+        place(F.col("line_no"), F.col("pos")).alias("touch_no"),
+        F.coalesce(F.when(is_call, text_at(b, "$.id")).otherwise(F.col("uuid")), F.lit("")).alias("id"),
+        F.when(is_call, F.coalesce(name, F.lit("")))
+        .otherwise(F.coalesce(text_at(b, "$.type"), F.lit("attachment")))
+        .alias("tool"),
+        "attachment",
         "cwd",
         join(F.col("cwd"), F.col("named")).alias("file"),
         F.lit(False).alias("opaque"),
-        F.get("inputs", F.lit(0)).alias("command"),
-    ).unionByName(
-        attachments.select(
-            *KEYS,
-            "touch_no",
-            "id",
-            "tool",
-            F.lit(True).alias("attachment"),
-            "cwd",
-            join(F.col("cwd"), attachment_file(F.col("json"))).alias("file"),
-            F.lit(False).alias("opaque"),
-            F.lit(None).cast("string").alias("command"),
-        )
-    )
-    attachment_texts = attachments.select(
-        *KEYS,
-        "touch_no",
-        F.lit("output").alias("kind"),
-        F.lit(0).cast("bigint").alias("ord"),
-        F.posexplode(strings(F.col("json"))).alias("sub", "text"),
+        (is_call & wanted).alias("wanted"),
+        F.when(is_call & wanted, F.col("said")).otherwise(empty_strings()).alias("inputs"),
+        F.when(is_call, empty_strings()).otherwise(F.col("said")).alias("outputs"),
     )
-    results = (
-        blocks(a, F.to_json(field(v, "$.toolUseResult")).alias("copy"))
+
+
+def results_a(lines: DataFrame) -> DataFrame:
+    """``id, ord, texts`` of agent A's results, the copy kept next to the message included."""
+    v, b = F.col("v"), F.col("b")
+    return (
+        blocks(lines.where(F.col("agent") == V.AGENT_A), F.to_json(field(v, "$.toolUseResult")).alias("copy"))
         .where(text_at(b, "$.type") == "tool_result")
         .select(
             *KEYS,
@@ -149,19 +123,17 @@ def touches_a(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.concat(strings(F.to_json(field(b, "$.content"))), strings(F.col("copy"))).alias("texts"),
         )
     )
-    texts = _inputs(calls).unionByName(attachment_texts.select(*TEXT)).unionByName(
-        _outputs(results, calls.select(*KEYS, "id", "touch_no", F.col("named").isNull().alias("wanted")))
-    )
-    return touches.select(*TOUCH), texts
 
 
-def _outputs(results: DataFrame, calls: DataFrame) -> DataFrame:
-    """Outputs go to the first call with their id, and to no other.
+def answered(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Output texts of calls. They go to the first call with their id, and to no other.
 
     The first call is an aggregate with partial results, not a window, so an id shared by very
     many calls stays cheap; the join's large side can be split by the skew join.
     """
-    first = calls.groupBy(*KEYS, "id").agg(F.min_by(F.struct("touch_no", "wanted"), "touch_no").alias("call"))
+    first = calls.where(~F.col("attachment") & F.col("wanted").isNotNull()).groupBy(*KEYS, "id").agg(
+        F.min_by(F.struct("touch_no", "wanted"), "touch_no").alias("call")
+    )
     return (
         results.join(first, [*KEYS, "id"])
         .where(F.col("call.wanted"))
@@ -176,6 +148,19 @@ def _outputs(results: DataFrame, calls: DataFrame) -> DataFrame:
     )
 
 
+def split_tables(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``touches`` and ``texts`` from extracted calls and results."""
+    touches = calls.withColumn("command", F.get("inputs", F.lit(0))).select(*TOUCH)
+    said = F.concat(
+        F.transform("inputs", lambda t, i: F.struct(F.lit("input").alias("kind"), i.alias("sub"), t.alias("text"))),
+        F.transform("outputs", lambda t, i: F.struct(F.lit("output").alias("kind"), i.alias("sub"), t.alias("text"))),
+    )
+    own = calls.select(*KEYS, "touch_no", F.lit(0).cast("bigint").alias("ord"), F.explode(said).alias("x")).select(
+        *KEYS, "touch_no", "x.kind", "ord", "x.sub", "x.text"
+    )
+    return touches, own.unionByName(answered(calls, results))
+
+
 # --- agent B ------------------------------------------------------------------------------
 
 
@@ -238,95 +223,59 @@ def current_folder(lines: DataFrame) -> DataFrame:
     )
 
 
-def touches_b(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Touches and texts of agent B's lines."""
-    owned = with_owner(lines.where(F.col("agent") == V.AGENT_B))
-    folders = current_folder(owned)
-    rows = owned.where(F.col("owner").isNotNull() & F.col("kind").isin("call", "item")).join(
-        folders, [*KEYS, "line_no"], "left"
-    )
-    v = F.col("v")
+_CALL = (
+    "array<struct<sub:int,tool:string,path:string,opaque:boolean,wanted:boolean,"
+    "inputs:array<string>,outputs:array<string>>>"
+)
 
-    name = F.coalesce(text_at(v, "$.payload.name"), F.col("ptype"))
-    calls = rows.where(F.col("kind") == "call").select(
-        *KEYS,
-        "line_no",
-        F.col("owner").alias("id"),
-        F.when(F.startswith(name, F.lit("mcp")) | F.contains(name, F.lit("__")), F.lit("mcp__codex"))
-        .otherwise(name)
-        .alias("tool"),
-        "cwd",
-        F.concat(*[strings(F.to_json(field(v, f"$.payload.{k}"))) for k in ("input", "arguments", "action")]).alias("said"),
-    )
-    calls = calls.withColumn("script", F.array_join("said", "\n")).select(
-        *KEYS,
-        place(F.col("line_no"), F.lit(2**30)).alias("touch_no"),
-        "line_no",
-        "id",
-        "tool",
-        "cwd",
-        "script",
-        F.flatten(F.transform("said", without_patches)).alias("inputs"),
-    )
-    scripts = calls.select(
-        *KEYS,
-        "touch_no",
-        "id",
-        "tool",
-        F.lit(False).alias("attachment"),
-        "cwd",
-        F.lit(None).cast("string").alias("file"),
-        (F.contains("script", F.lit("tools.")) & unknown_script_tool(F.col("script"))).alias("opaque"),
-        F.get("inputs", F.lit(0)).alias("command"),
+
+def _touch(sub: Column, tool: Column, path=None, opaque=None, wanted=None, inputs=None, outputs=None) -> Column:
+    null = lambda t: F.lit(None).cast(t)
+    return F.struct(
+        sub.cast("int").alias("sub"),
+        tool.alias("tool"),
+        (null("string") if path is None else path).alias("path"),
+        (F.lit(False) if opaque is None else opaque).alias("opaque"),
+        (null("boolean") if wanted is None else wanted).alias("wanted"),
+        (empty_strings() if inputs is None else inputs).alias("inputs"),
+        (empty_strings() if outputs is None else outputs).alias("outputs"),
     )
 
-    def files(df: DataFrame, tool: str, base: int, paths: Column) -> DataFrame:
-        """One touch per file in ``paths``, numbered from ``base``."""
-        return df.select(*KEYS, "line_no", "id", "cwd", F.posexplode(paths).alias("n", "path")).select(
-            *KEYS,
-            place(F.col("line_no"), F.col("n") + base).alias("touch_no"),
-            "id",
-            F.lit(tool).alias("tool"),
-            F.lit(False).alias("attachment"),
-            "cwd",
-            join(F.col("cwd"), F.col("path")).alias("file"),
-            F.lit(False).alias("opaque"),
-            F.lit(None).cast("string").alias("command"),
-        )
 
-    patches = files(calls, "Edit", 0, patched_files(F.col("script")))
-    item = lambda path: f"$.payload.item{path}"
-    items = rows.where(F.col("kind") == "item").select(
-        *KEYS,
-        "line_no",
-        F.col("owner").alias("id"),
-        F.coalesce(path_of_url(text_at(v, item(".cwd"))), F.col("cwd")).alias("cwd"),
-        text_at(v, item(".type")).alias("itype"),
-        "v",
+def calls_b(lines: DataFrame, owned: DataFrame | None = None) -> DataFrame:
+    """Agent B's calls, commands, reads and changes in one pass: each line yields its touches as an array."""
+    owned = with_owner(lines.where(F.col("agent") == V.AGENT_B)) if owned is None else owned
+    rows = owned.where(F.col("owner").isNotNull() & F.col("kind").isin("call", "item")).join(
+        current_folder(owned), [*KEYS, "line_no"], "left"
     )
-    ran = items.where(F.col("itype") == "CommandExecution")
+    v, is_call = F.col("v"), F.col("kind") == "call"
+    item = lambda path: f"$.payload.item{path}"
+    name = F.coalesce(text_at(v, "$.payload.name"), F.col("ptype"))
+    tool = F.when(F.startswith(name, F.lit("mcp")) | F.contains(name, F.lit("__")), F.lit("mcp__codex")).otherwise(name)
+    said = F.concat(*[strings(F.to_json(field(v, f"$.payload.{k}"))) for k in ("input", "arguments", "action")])
+    # Patches come before the script they are in; a command before the files it read.
+    edits = lambda paths, tool_, base: F.transform(paths, lambda p, i: _touch(i + base, F.lit(tool_), path=p))
+
+    def script_touches(texts: Column) -> Column:
+        script = F.array_join(texts, "\n")
+        return let(
+            script,
+            lambda s: F.concat(
+                edits(patched_files(s), "Edit", 0),
+                F.array(
+                    _touch(
+                        F.lit(2**30),
+                        tool,
+                        opaque=F.contains(s, F.lit("tools.")) & unknown_script_tool(s),
+                        wanted=F.lit(True),
+                        inputs=F.flatten(F.transform(texts, without_patches)),
+                    )
+                ),
+            ),
+        )
+
     words = items_at(v, item(".command"))
     command = F.coalesce(text_at(F.element_at(F.concat(F.array(F.lit(None).cast("variant")), words), -1), "$"), F.lit(""))
-    commands = ran.select(
-        *KEYS,
-        place(F.col("line_no"), F.lit(0)).alias("touch_no"),
-        "line_no",
-        "id",
-        "cwd",
-        F.array(command).alias("inputs"),
-        strings(F.to_json(field(v, item(".aggregated_output")))).alias("texts"),
-    )
-    bash = commands.select(
-        *KEYS,
-        "touch_no",
-        "id",
-        F.lit("Bash").alias("tool"),
-        F.lit(False).alias("attachment"),
-        "cwd",
-        F.lit(None).cast("string").alias("file"),
-        F.lit(False).alias("opaque"),
-        F.get("inputs", F.lit(0)).alias("command"),
-    )
     reads = F.filter(
         F.transform(
             F.filter(items_at(v, item(".parsed_cmd")), lambda r: text_at(r, "$.type") == "read"),
@@ -334,39 +283,69 @@ def touches_b(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
         lambda p: p.isNotNull(),
     )
-    changed = F.map_keys(members_at(v, item(".changes")))
-    touches = (
-        scripts.unionByName(patches)
-        .unionByName(bash)
-        .unionByName(files(ran, "Read", 1, reads))
-        .unionByName(files(items.where(F.col("itype") == "FileChange"), "Edit", 0, changed))
+    ran = F.concat(
+        F.array(
+            _touch(
+                F.lit(0),
+                F.lit("Bash"),
+                inputs=F.array(command),
+                outputs=strings(F.to_json(field(v, item(".aggregated_output")))),
+            )
+        ),
+        edits(F.coalesce(reads, empty_strings()), "Read", 1),
     )
-    results = owned.where((F.col("kind") == "output") & F.col("owner").isNotNull()).select(
-        *KEYS,
-        F.col("owner").alias("id"),
-        place(F.col("line_no"), F.lit(0)).alias("ord"),
-        strings(F.to_json(field(v, "$.payload.output"))).alias("texts"),
+    changed = edits(F.coalesce(F.map_keys(members_at(v, item(".changes"))), empty_strings()), "Edit", 0)
+    itype = text_at(v, item(".type"))
+    every = first_of(
+        (is_call, let(said, script_touches).cast(_CALL)),
+        (itype == "CommandExecution", ran.cast(_CALL)),
+        (itype == "FileChange", changed.cast(_CALL)),
     )
-    event_texts = commands.select(
+    here = F.when(is_call, F.col("cwd")).otherwise(F.coalesce(path_of_url(text_at(v, item(".cwd"))), F.col("cwd")))
+    return rows.select(*KEYS, "line_no", F.col("owner").alias("id"), here.alias("cwd"), F.explode(every).alias("t")).select(
         *KEYS,
-        "touch_no",
-        F.lit("output").alias("kind"),
-        F.lit(0).cast("bigint").alias("ord"),
-        F.posexplode("texts").alias("sub", "text"),
+        place(F.col("line_no"), F.col("t.sub")).alias("touch_no"),
+        "id",
+        "t.tool",
+        F.lit(False).alias("attachment"),
+        "cwd",
+        join(F.col("cwd"), F.col("t.path")).alias("file"),
+        "t.opaque",
+        "t.wanted",
+        "t.inputs",
+        "t.outputs",
     )
-    texts = (
-        _inputs(calls)
-        .unionByName(_inputs(commands))
-        .unionByName(event_texts.select(*TEXT))
-        .unionByName(_outputs(results, calls.select(*KEYS, "id", "touch_no", F.lit(True).alias("wanted"))))
+
+
+def results_b(owned: DataFrame) -> DataFrame:
+    """``id, ord, texts`` of agent B's call outputs."""
+    return owned.where((F.col("kind") == "output") & F.col("owner").isNotNull()).select(
+        *KEYS,
+        F.col("owner").alias("id"),
+        place(F.col("line_no"), F.lit(0)).alias("ord"),
+        strings(F.to_json(field(F.col("v"), "$.payload.output"))).alias("texts"),
     )
-    return touches.select(*TOUCH), texts
+
+
+def extracted(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls, results) of all lines, whichever agent wrote them."""
+    owned = with_owner(lines.where(F.col("agent") == V.AGENT_B))
+    calls = calls_a(lines).unionByName(calls_b(lines, owned))
+    return calls, results_a(lines).unionByName(results_b(owned))
 
 
 def touches(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Touches and texts of all lines, whichever agent wrote them."""
-    (ta, xa), (tb, xb) = touches_a(lines), touches_b(lines)
-    return ta.unionByName(tb), xa.unionByName(xb)
+    """Touches and texts of all lines."""
+    return split_tables(*extracted(lines))
+
+
+def touches_a(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return split_tables(calls_a(lines), results_a(lines))
+
+
+def touches_b(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    owned = with_owner(lines.where(F.col("agent") == V.AGENT_B))
+    return split_tables(calls_b(lines, owned), results_b(owned))
 
 
 def connected_servers(lines: DataFrame) -> DataFrame:

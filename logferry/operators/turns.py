@@ -77,31 +77,37 @@ def to_turns(neutral: DataFrame, sessions: DataFrame) -> DataFrame:
     """
     merged = merge_neighbours(spoken(neutral), KEYS, "seq", "user", "text", "\n\n")
     label = first_of(*[(F.col("agent") == a, F.lit(name)) for a, name in V.LABELS.items()])
-    ends = (
-        sessions.select(*KEYS, intro(label).alias("_intro"))
-        .join(
-            merged.groupBy(*KEYS).agg(
-                F.min("seq").alias("_first"), F.max("seq").alias("_last"),
-                F.min_by("user", "seq").alias("_opens"), F.max_by("user", "seq").alias("_closes"),
-            ),
-            KEYS,
-            "left",
-        )
-    )
-    first_is_user = (F.col("seq") == F.col("_first")) & F.col("user")
-    body = merged.join(ends, KEYS).select(
+    opens = merged.groupBy(*KEYS).agg(
+        F.min("seq").alias("_first"),
+        F.max("seq").alias("_last"),
+        F.min_by("user", "seq").alias("_opens"),
+        F.max_by("user", "seq").alias("_closes"),
+    )
+    ends = sessions.select(*KEYS, intro(label).alias("_intro")).join(opens, KEYS, "left")
+    first, last = F.col("seq") == F.col("_first"), F.col("seq") == F.col("_last")
+    turn = lambda seq, user, text: F.struct(seq.alias("seq"), user.alias("user"), text.alias("text"))
+    greeting = lambda seq: turn(seq, F.lit(True), F.col("_intro"))
+    parting = lambda seq: turn(seq, F.lit(False), F.lit(V.PICKED_UP))
+    body = F.when(first & F.col("user"), F.concat("_intro", F.lit("\n\n"), "text")).otherwise(F.col("text"))
+    # Each merged turn yields itself, plus the intro before the first or the end after the last.
+    some = merged.join(ends.where(F.col("_first").isNotNull()), KEYS).select(
         *KEYS,
-        "seq",
-        "user",
-        F.when(first_is_user, F.concat("_intro", F.lit("\n\n"), "text")).otherwise(F.col("text")).alias("text"),
-    )
-    opening = ends.where(~F.coalesce("_opens", F.lit(False))).select(
-        *KEYS, (F.coalesce("_first", F.lit(0)) - 1).alias("seq"), F.lit(True).alias("user"), F.col("_intro").alias("text")
-    )
-    closing = ends.where(F.coalesce("_closes", F.lit(True))).select(
-        *KEYS, (F.coalesce("_last", F.lit(0)) + 1).alias("seq"), F.lit(False).alias("user"), F.lit(V.PICKED_UP).alias("text")
-    )
-    every = body.unionByName(opening).unionByName(closing)
+        F.explode(
+            F.filter(
+                F.array(
+                    F.when(first & ~F.col("user"), greeting(F.col("seq") - 1)),
+                    turn(F.col("seq"), F.col("user"), body),
+                    F.when(last & F.col("user"), parting(F.col("seq") + 1)),
+                ),
+                lambda t: t.isNotNull(),
+            )
+        ).alias("t"),
+    )
+    zero = F.lit(0).cast("bigint")
+    silent = ends.where(F.col("_first").isNull()).select(
+        *KEYS, F.explode(F.array(greeting(zero), parting(zero + 1))).alias("t")
+    )
+    every = some.unionByName(silent).select(*KEYS, "t.seq", "t.user", "t.text")
     return number_rows(every, KEYS, "seq", "turn_no").select(*KEYS, "turn_no", "user", "text")
 
 
@@ -180,25 +186,16 @@ def log_b(turns: DataFrame, folder: str, now: str, now_seconds: int, note: str)
     n, user, text = F.col("turn_no"), F.col("user"), F.col("text")
     payload = lambda kind, *fields: F.struct(F.lit(kind).alias("type"), *fields)
     secs = F.lit(now_seconds).cast("bigint")
+    ends = turns.groupBy(*KEYS).agg(F.min("turn_no").alias("_first"), F.max("turn_no").alias("_last"))
+    rows = rows.join(ends, KEYS)
 
-    # Each record's own order within the log: turn number, then its place among the turn's records.
-    def record(df: DataFrame, order: Column, sub: int, kind: str, body: Column) -> DataFrame:
-        return df.select(
-            *KEYS, sid.alias("new_id"), (order * 8 + sub).cast("bigint").alias("_order"), F.lit(kind).alias("kind"),
-            F.to_json(body).alias("payload"),
-        )
-
-    def completed(df: DataFrame, task: Column, last: Column, order: Column, sub: int) -> DataFrame:
-        body = payload(
+    def completed(task: Column, last: Column) -> Column:
+        return payload(
             "task_complete", task.alias("turn_id"), F.coalesce(last, F.lit("")).alias("last_agent_message"),
             secs.alias("started_at"), secs.alias("completed_at"), F.lit(0).alias("duration_ms"),
             F.lit(0).alias("time_to_first_token_ms"),
         )
-        return record(df, order, sub, "event_msg", body)
 
-    ends = turns.groupBy(*KEYS).agg(F.max("turn_no").alias("_last"))
-    final = rows.join(ends, KEYS).where(F.col("turn_no") == F.col("_last"))
-    metas = turns.select(*KEYS).distinct()
     meta = F.struct(
         sid.alias("id"), sid.alias("session_id"), F.lit(now).alias("timestamp"), F.lit(folder).alias("cwd"),
         F.array(F.lit(folder)).alias("runtime_workspace_roots"), F.lit("codex_exec").alias("originator"),
@@ -228,27 +225,26 @@ def log_b(turns: DataFrame, folder: str, now: str, now_seconds: int, note: str)
         (secs * 1000).alias("started_at_ms"), (secs * 1000).alias("completed_at_ms"),
     )
     developer = payload("message", F.lit("developer").alias("role"), part("input_text", F.lit(note)))
-    users, agents = rows.where("user"), rows.where(~F.col("user"))
-    records = [
-        record(metas, F.lit(-1), 0, "session_meta", meta),
-        completed(users.where(F.col("open_task").isNotNull()), task_id(F.col("open_task")), F.col("last_agent"), n, 0),
-        record(users, n, 1, "event_msg", started),
-        record(users, n, 2, "response_item", said),
-        record(agents, n, 2, "response_item", told),
-        record(users, n, 3, "event_msg", item(shown_user)),
-        record(agents, n, 3, "event_msg", item(shown_agent)),
-        record(final, F.col("_last"), 4, "response_item", developer),
-        completed(
-            final.where(F.col("task_no").isNotNull()),
-            here,
-            F.when(~user, text).otherwise(F.col("last_agent")),
-            F.col("_last"),
-            5,
-        ),
-    ]
-    every = records[0]
-    for r in records[1:]:
-        every = every.unionByName(r)
+    last_said = F.when(~user, text).otherwise(F.col("last_agent"))
+    is_first, is_last = n == F.col("_first"), n == F.col("_last")
+    # Each turn yields its records as an array; their place in the log is the turn, then the place in the array.
+    record = lambda when, kind, body: F.when(when, F.struct(F.lit(kind).alias("kind"), F.to_json(body).alias("payload")))
+    records = F.array(
+        record(is_first, "session_meta", meta),
+        record(user & F.col("open_task").isNotNull(), "event_msg", completed(task_id(F.col("open_task")), F.col("last_agent"))),
+        record(user, "event_msg", started),
+        record(user, "response_item", said),
+        record(~user, "response_item", told),
+        record(user, "event_msg", item(shown_user)),
+        record(~user, "event_msg", item(shown_agent)),
+        record(is_last, "response_item", developer),
+        record(is_last & F.col("task_no").isNotNull(), "event_msg", completed(here, last_said)),
+    )
+    every = (
+        rows.select(*KEYS, sid.alias("new_id"), n, F.posexplode(records).alias("_sub", "r"))
+        .where(F.col("r").isNotNull())
+        .select(*KEYS, "new_id", (n * 16 + F.col("_sub")).alias("_order"), "r.kind", "r.payload")
+    )
     numbered = number_rows(every, KEYS, "_order", "line_no")
     raw = F.concat(
         F.lit('{"ordinal":'), F.col("line_no").cast("string"), F.lit(f',"payload":'), F.col("payload"),

@@ -11,7 +11,7 @@ from logferry.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("8")
+    return local_session("4", **{"spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2"})
 
 
 @pytest.fixture(scope="session")
