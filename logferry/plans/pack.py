@@ -27,7 +27,7 @@ from ..operators import judge as judging
 from ..operators import neutral as neutrals
 from ..operators import reports
 from ..operators.scrub import scrub_context
-from ..operators.touches import KEYS, connected_servers, touches
+from ..operators.touches import KEYS, connected_servers, extracted, split_tables
 from ..session import cut_lineage
 from ..sources.sessions import session_facts
 
@@ -121,6 +121,11 @@ def build_manifests(corpus: Corpus, facts: DataFrame, shared: DataFrame) -> Data
     return _checked(at, facts, corpus)
 
 
+def _without_tail(tail: str):
+    """A function of a folder: what is before ``tail``, or null where it does not end so."""
+    return lambda a: F.when(F.endswith(a, F.lit(tail)), F.left(a, F.length(a) - len(tail)))
+
+
 def steering_files(corpus: Corpus, facts: DataFrame) -> DataFrame:
     """Instruction files and skills from the session's folder up to the root."""
     cwd, root = F.col("cwd"), F.col("root")
@@ -133,8 +138,7 @@ def steering_files(corpus: Corpus, facts: DataFrame) -> DataFrame:
         F.flatten(
             F.array(
                 *[
-                    F.transform(ancestors(path), lambda a, r=r: F.when(F.endswith(a, F.lit(f"/{r}")), F.left(a, F.length(a) - len(r) - 1)))
-                    for r in V.SKILL_ROOTS
+                    F.transform(ancestors(path), _without_tail(f"/{r}")) for r in V.SKILL_ROOTS
                 ]
             )
         ),
@@ -186,13 +190,20 @@ def _shared_rows(df: DataFrame, source: str, steers: Column | None = None) -> Da
     )
 
 
+def _touched(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Touches and texts. The calls are written once: every later step reads them, and parsing the
+    logs again for each would cost far more. Output texts stay unmaterialised; two steps read them."""
+    calls, results = extracted(lines)
+    return split_tables(cut_lineage(calls), results)
+
+
 def plan(corpus: Corpus) -> Plan:
     """Judge every session of the corpus and clean it."""
-    t, x = touches(corpus.lines)
+    t, x = _touched(corpus.lines)
     named = judging.named_paths(t, x, corpus.sessions)
     sub_named = None
     if corpus.subagents is not None and corpus.sub_lines is not None:
-        st, sx = touches(corpus.sub_lines)
+        st, sx = _touched(corpus.sub_lines)
         parents = corpus.subagents.select(
             "project_id", F.col("sub_session_id").alias("session_id"), F.col("session_id").alias("_parent")
         ).distinct()
