@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import documents, paths  # noqa: F401
+from . import conversations, documents, paths  # noqa: F401
