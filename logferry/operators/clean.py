@@ -25,7 +25,7 @@ from ..functions.text import withheld_note
 from ..session import cut_lineage
 from .relink import resolve_removed
 from .scrub import CONTEXT, scrubbed_record
-from .touches import KEYS, with_owner
+from .touches import KEYS, marks_b, with_owner
 
 LINE = [*KEYS, "line_no"]
 COUNTERS = ["secrets", "emails", "withheld", "images", "thinking"]
@@ -224,17 +224,25 @@ def clean_a(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context:
 def decide_b(lines: DataFrame, withhold: DataFrame, sessions: DataFrame) -> DataFrame:
     """Agent B's lines with ``kept``, ``reason`` (why it is withheld, if it is) and what cleaning counts."""
     v = F.col("v")
-    b = with_owner(lines.where(F.col("agent") == V.AGENT_B)).join(sessions.select(*KEYS, "off"), KEYS)
+    marks = marks_b(lines.where(F.col("agent") == V.AGENT_B))
+    calls = marks.where((F.col("kind") == "call") & F.col("owner").isNotNull()).select(
+        *KEYS, "owner", F.lit(True).alias("known")
+    )
+    reasons = withhold.groupBy(*KEYS, F.col("id").alias("owner")).agg(F.max("reason").alias("_why"))
+    told = calls.distinct().join(reasons, [*KEYS, "owner"], "full")
+    # Lines without a call join on a key of their own, so no null key gathers them in one task.
+    marks = marks.withColumn("_owner", F.coalesce("owner", F.concat(F.lit("\u0000"), F.col("line_no")))).join(
+        told.withColumnRenamed("owner", "_owner"), [*KEYS, "_owner"], "left"
+    )
+    b = with_owner(lines.where(F.col("agent") == V.AGENT_B), marks.drop("_owner", "cwd"))
+    b = b.join(sessions.select(*KEYS, "off"), KEYS)
     kind, type_, ptype = F.col("kind"), F.coalesce("type", F.lit("")), F.coalesce("ptype", F.lit(""))
-    item = F.coalesce(text_at(v, "$.payload.item.type"), F.lit(""))
+    item = F.coalesce("itype", F.lit(""))
     reasoning = (type_ == "response_item") & (ptype == "reasoning")
     developer = (type_ == "response_item") & (ptype == "message") & (
         text_at(v, "$.payload.role") == "developer"
     ).eqNullSafe(F.lit(True))
     dropped = type_.isin(*V.B_DROPPED) | ((type_ == "event_msg") & ptype.isin(*V.B_DROPPED_EVENTS))
-    calls = b.where((kind == "call") & F.col("owner").isNotNull()).select(*KEYS, "owner", F.lit(True).alias("known")).distinct()
-    reasons = withhold.groupBy(*KEYS, F.col("id").alias("owner")).agg(F.max("reason").alias("_why"))
-    b = b.join(calls, [*KEYS, "owner"], "left").join(reasons, [*KEYS, "owner"], "left")
     untraced = first_of(
         (
             kind == "item",

@@ -11,7 +11,7 @@ from ..functions import values as V
 from ..functions.jsontext import field, items_at, members_at, strings, structure, text_at, true_at
 from ..functions.let import empty_strings, first_of, let
 from .ordered import since_last
-from .touches import KEYS, place, with_owner
+from .touches import KEYS, marks_b, place, with_owner
 
 ROW = [*KEYS, "agent", "seq", "role", "type", "text", "id", "tool", "name", "input", "content", "is_error"]
 
@@ -113,26 +113,27 @@ def neutral_b(lines: DataFrame) -> DataFrame:
     """Agent B's cleaned lines as neutral rows: messages, and the commands and changes it logged; a call
     without any is described by its output (J18)."""
     v = F.col("v")
-    b = with_owner(lines.where(F.col("agent") == V.AGENT_B))
-    b = since_last(b, KEYS, "line_no", (F.col("type") == "compacted").eqNullSafe(F.lit(True)))
-    zero, one = F.lit(0), F.lit(1)
-    message, role = text_at(v, "$.payload.message"), text_at(v, "$.payload.role")
-    parts = F.filter(
-        F.transform(items_at(v, "$.payload.content"), lambda c: text_at(c, "$.text")),
-        lambda t: t.isNotNull() & ~F.startswith(t, F.lit("<environment_context>")),
-    )
-    itype = text_at(v, "$.payload.item.type")
-    # An output is described by events that came before it: the earliest event per call decides.
+    b = lines.where(F.col("agent") == V.AGENT_B)
+    marks = since_last(marks_b(b), KEYS, "line_no", (F.col("type") == "compacted").eqNullSafe(F.lit(True)))
     called = F.coalesce("owner", F.lit(""))
+    # An output is described by events that came before it: the earliest event per call decides.
     first_event = (
-        b.where((F.col("kind") == "item") & itype.isin("CommandExecution", "FileChange"))
+        marks.where((F.col("kind") == "item") & F.col("itype").isin("CommandExecution", "FileChange"))
         .groupBy(*KEYS, called.alias("call"))
         .agg(F.min("line_no").alias("described"))
     )
     # Lines that are no output join on a key of their own, so no null key gathers them in one task.
-    b = b.withColumn(
+    marks = marks.withColumn(
         "call", F.when(F.col("kind") == "output", called).otherwise(F.concat(F.lit("\u0000"), F.col("line_no")))
     ).join(first_event, [*KEYS, "call"], "left")
+    b = with_owner(b, marks.drop("cwd"))
+    zero, one = F.lit(0), F.lit(1)
+    message, role = text_at(v, "$.payload.message"), text_at(v, "$.payload.role")
+    parts = F.filter(
+        F.transform(items_at(v, "$.payload.content"), lambda c: text_at(c, "$.text")),
+        lambda t: t.isNotNull() & ~F.startswith(t, F.lit("<environment_context>")),
+    )
+    itype = F.col("itype")
     alone = F.col("described").isNull() | (F.col("described") > F.col("line_no"))
 
     def pair(tool: Column, name: Column, input_: Column, result: Column) -> Column:

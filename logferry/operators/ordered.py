@@ -3,12 +3,17 @@
 A window partitioned by session makes a session with a third of all rows one task. These
 operators cut each key's order into chunks of fixed width, work inside the chunks in
 parallel, and carry one summary row per chunk across (W2, W3, W8, W10).
+
+Each reads its input twice (rows and chunk summaries), so callers hand in narrow, written
+tables: keys, order and the few columns that decide. Texts join back once at the end.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 CHUNK = 65_536
 
 
@@ -38,23 +43,28 @@ def carry_forward(
     )
 
 
-def number_rows(df: DataFrame, keys: list[str], order: str, name: str, chunk: int = CHUNK) -> DataFrame:
-    """Add ``name``: 0, 1, 2 … per key in ``order``."""
-    rows = _chunked(df, order, chunk)
+def running_total(df: DataFrame, keys: list[str], order: str, value: Column, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over all earlier rows of the key."""
+    rows = _chunked(df, order, chunk).withColumn("_step", value.cast("bigint"))
     across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*keys, "_chunk")
-        .agg(F.count("*").alias("_n"))
+        .agg(F.sum("_step").alias("_n"))
         .select(*keys, "_chunk", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_offset"))
     )
-    local = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    local = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.withColumn("_local", F.row_number().over(local) - 1)
+        rows.withColumn("_local", F.coalesce(F.sum("_step").over(local), F.lit(0)))
         .join(offsets, [*keys, "_chunk"])
         .select(*df.columns, (F.col("_offset") + F.col("_local")).alias(name))
     )
 
 
+def number_rows(df: DataFrame, keys: list[str], order: str, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Add ``name``: 0, 1, 2 … per key in ``order``."""
+    return running_total(df, keys, order, F.lit(1), name, chunk)
+
+
 def since_last(df: DataFrame, keys: list[str], order: str, marker: Column) -> DataFrame:
     """Rows from the last marked one on; all rows where none is marked."""
     cuts = df.where(marker).groupBy(*keys).agg(F.max(order).alias("_cut"))
@@ -65,20 +75,34 @@ def since_last(df: DataFrame, keys: list[str], order: str, marker: Column) -> Da
     )
 
 
+def islands(narrow: DataFrame, keys: list[str], order: str, side: str) -> DataFrame:
+    """Add ``island``: the order of the first of the neighbouring rows with the same ``side``."""
+    before = carry_forward(narrow, keys, order, {"_before": F.struct(F.col(side).alias("side"))}, before=True)
+    starts = before.select(
+        *narrow.columns,
+        F.when(F.col("_before").isNull() | (F.col("_before.side") != F.col(side)), F.col(order)).alias("_start"),
+    )
+    return carry_forward(cut_lineage(starts), keys, order, {"island": F.col("_start")}).drop("_start")
+
+
+def joined_texts(rows: DataFrame, placed: DataFrame, keys: list[str], order: str, text: str, glue: str) -> DataFrame:
+    """``keys, island, text``: the texts of each island in order. A merged turn is one value, so an island's
+    texts do meet; islands are spread by key and island."""
+    texts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    return (
+        rows.join(placed.select(*keys, order, "island"), [*keys, order])
+        .groupBy(*keys, "island")
+        .agg(texts.alias("_texts"))
+        .select(*keys, "island", F.array_join(F.transform("_texts", lambda x: x["t"]), glue).alias(text))
+    )
+
+
 def merge_neighbours(df: DataFrame, keys: list[str], order: str, side: str, text: str, glue: str) -> DataFrame:
     """Neighbouring rows with the same ``side`` become one row with their texts joined.
 
     Returns keys, ``order`` (of the first row), ``side`` and ``text``.
     """
-    before = carry_forward(df, keys, order, {"_before": F.struct(F.col(side).alias("side"))}, before=True)
-    starts = before.withColumn(
-        "_start", F.when(F.col("_before").isNull() | (F.col("_before.side") != F.col(side)), F.col(order))
-    )
-    islands = carry_forward(starts, keys, order, {"_island": F.col("_start")})
-    texts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
-    return islands.groupBy(*keys, "_island").agg(F.first(side).alias(side), texts.alias("_texts")).select(
-        *keys,
-        F.col("_island").alias(order),
-        side,
-        F.array_join(F.transform("_texts", lambda x: x["t"]), glue).alias(text),
-    )
+    placed = cut_lineage(islands(cut_lineage(df.select(*keys, order, side)), keys, order, side))
+    heads = placed.where(F.col(order) == F.col("island")).select(*keys, "island", side)
+    merged = joined_texts(df.select(*keys, order, text), placed, keys, order, text, glue)
+    return merged.join(heads, [*keys, "island"]).select(*keys, F.col("island").alias(order), side, text)

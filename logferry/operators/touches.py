@@ -17,6 +17,7 @@ from ..functions.commands import patched_files, unknown_script_tool, without_pat
 from ..functions.jsontext import EVENT, decode, field, is_key, items_at, members_at, strings, text_at
 from ..functions.let import empty_strings, first_of, let
 from ..functions.paths import join, path_of_url
+from ..session import cut_lineage
 from .ordered import carry_forward
 
 KEYS = ["project_id", "session_id"]
@@ -164,15 +165,23 @@ def split_tables(calls: DataFrame, results: DataFrame) -> tuple[DataFrame, DataF
 # --- agent B ------------------------------------------------------------------------------
 
 
-def with_owner(lines: DataFrame) -> DataFrame:
-    """Agent B's lines with ``kind`` (call, output, item or null), ``type``, ``ptype`` and ``owner``:
-    the call a line belongs to — itself, the one in progress, or the one it answers (W2, J3)."""
+def marks_b(lines: DataFrame) -> DataFrame:
+    """Narrow facts of agent B's lines, written once: ``type, ptype, itype, kind`` (call, output, item or null),
+    ``owner`` — the call a line belongs to: itself, the one in progress, or the one it answers (W2, J3) —
+    and ``cwd``, the folder in force (W3)."""
     v = F.col("v")
+    type_, ptype = text_at(v, "$.type"), text_at(v, "$.payload.type")
     typed = lines.select(
-        "*",
-        text_at(v, "$.type").alias("type"),
-        text_at(v, "$.payload.type").alias("ptype"),
-    ).withColumn(
+        *KEYS,
+        "line_no",
+        type_.alias("type"),
+        ptype.alias("ptype"),
+        text_at(v, "$.payload.item.type").alias("itype"),
+        text_at(v, "$.payload.call_id").alias("call_id"),
+        text_at(v, "$.payload.id").alias("own_id"),
+        text_at(v, "$.payload.cwd").alias("named"),
+    )
+    typed = typed.withColumn(
         "kind",
         first_of(
             ((F.col("type") == "response_item") & F.col("ptype").isin(*V.B_CALLS), F.lit("call")),
@@ -180,47 +189,35 @@ def with_owner(lines: DataFrame) -> DataFrame:
             ((F.col("type") == "event_msg") & (F.col("ptype") == "item_completed"), F.lit("item")),
         ),
     )
-    typed = typed.withColumn(
-        "own",
-        first_of(
-            (F.col("kind") == "call", F.coalesce(text_at(v, "$.payload.call_id"), text_at(v, "$.payload.id"))),
-            (F.col("kind") == "output", text_at(v, "$.payload.call_id")),
-        ),
-    )
-    # Only narrow columns go through the ordered pass; the lines themselves join back.
-    state = F.when(F.col("kind") == "call", F.struct(F.col("own").alias("id"))).when(
-        F.col("kind") == "output", F.struct(F.lit(None).cast("string").alias("id"))
+    is_call, is_output = F.col("kind") == "call", F.col("kind") == "output"
+    own = F.when(is_call, F.coalesce("call_id", "own_id")).when(is_output, F.col("call_id"))
+    meta = F.when(F.col("type") == "session_meta", F.struct(F.col("named").alias("cwd")))
+    narrow = cut_lineage(typed.select(*KEYS, "line_no", "type", "ptype", "itype", "kind", "named", own.alias("own"), meta.alias("meta")))
+    # A call opens, any output closes; a turn's folder holds until the next turn's.
+    state = F.when(is_call, F.struct(F.col("own").alias("id"))).when(is_output, F.struct(F.lit(None).cast("string").alias("id")))
+    moved = F.when(F.col("type") == "turn_context", path_of_url(F.col("named")))
+    carried = carry_forward(narrow, KEYS, "line_no", {"running": state, "folder": moved}, before=True)
+    started = narrow.groupBy(*KEYS).agg(
+        F.min_by("meta", F.when(F.col("meta").isNotNull(), F.col("line_no"))).alias("first_meta")
     )
-    moves = typed.where(F.col("kind").isNotNull()).select(*KEYS, "line_no", "kind", "own")
-    carried = carry_forward(moves, KEYS, "line_no", {"current": state}, before=True)
-    owners = carried.where(F.col("kind") == "item").select(*KEYS, "line_no", F.col("current.id").alias("running"))
-    return (
-        typed.join(owners, [*KEYS, "line_no"], "left")
-        .withColumn("owner", F.when(F.col("kind") == "item", F.col("running")).otherwise(F.col("own")))
-        .drop("own", "running")
+    return cut_lineage(
+        carried.join(started, KEYS).select(
+            *KEYS,
+            "line_no",
+            "type",
+            "ptype",
+            "itype",
+            "kind",
+            F.when(F.col("kind") == "item", F.col("running.id")).otherwise(F.col("own")).alias("owner"),
+            F.coalesce("folder", "first_meta.cwd", F.lit("/")).alias("cwd"),
+        )
     )
 
 
-def current_folder(lines: DataFrame) -> DataFrame:
-    """``line_no, cwd`` for agent B's call and item lines: the last turn's folder, else the session's."""
-    v = F.col("v")
-    moves = lines.where(F.col("kind").isin("call", "item") | F.col("type").isin("turn_context", "session_meta")).select(
-        *KEYS,
-        "line_no",
-        "type",
-        "kind",
-        F.when(F.col("type") == "turn_context", path_of_url(text_at(v, "$.payload.cwd"))).alias("moved"),
-        F.when(F.col("type") == "session_meta", F.struct(text_at(v, "$.payload.cwd").alias("cwd"))).alias("meta"),
-    )
-    started = moves.groupBy(*KEYS).agg(
-        F.min_by("meta", F.when(F.col("meta").isNotNull(), F.col("line_no"))).alias("_meta")
-    )
-    return (
-        carry_forward(moves, KEYS, "line_no", {"cwd": F.col("moved")})
-        .where(F.col("kind").isNotNull())
-        .join(started, KEYS, "left")
-        .select(*KEYS, "line_no", F.coalesce("cwd", "_meta.cwd", F.lit("/")).alias("cwd"))
-    )
+def with_owner(lines: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """Agent B's lines with their marks: one join on (session, line), spread evenly whatever the session sizes."""
+    marks = marks_b(lines) if marks is None else marks
+    return lines.join(marks, [*KEYS, "line_no"])
 
 
 _CALL = (
@@ -245,9 +242,7 @@ def _touch(sub: Column, tool: Column, path=None, opaque=None, wanted=None, input
 def calls_b(lines: DataFrame, owned: DataFrame | None = None) -> DataFrame:
     """Agent B's calls, commands, reads and changes in one pass: each line yields its touches as an array."""
     owned = with_owner(lines.where(F.col("agent") == V.AGENT_B)) if owned is None else owned
-    rows = owned.where(F.col("owner").isNotNull() & F.col("kind").isin("call", "item")).join(
-        current_folder(owned), [*KEYS, "line_no"], "left"
-    )
+    rows = owned.where(F.col("owner").isNotNull() & F.col("kind").isin("call", "item"))
     v, is_call = F.col("v"), F.col("kind") == "call"
     item = lambda path: f"$.payload.item{path}"
     name = F.coalesce(text_at(v, "$.payload.name"), F.col("ptype"))

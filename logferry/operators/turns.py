@@ -8,7 +8,8 @@ from ..functions import values as V
 from ..functions.jsontext import items_at, text_at
 from ..functions.let import first_of, let
 from ..functions.text import is_blank, stable_uuid, strip_intro, trim_long, trimmed
-from .ordered import carry_forward, merge_neighbours, number_rows
+from ..session import cut_lineage
+from .ordered import carry_forward, islands, joined_texts, number_rows, running_total
 from .neutral import text_tokens
 from .touches import KEYS
 
@@ -75,40 +76,35 @@ def to_turns(neutral: DataFrame, sessions: DataFrame) -> DataFrame:
 
     ``sessions`` (keys, agent) names every session, so one without any text still gets its two turns.
     """
-    merged = merge_neighbours(spoken(neutral), KEYS, "seq", "user", "text", "\n\n")
+    rows = spoken(neutral)
+    placed = cut_lineage(islands(cut_lineage(rows.select(*KEYS, "seq", "user")), KEYS, "seq", "user"))
+    heads = cut_lineage(
+        number_rows(placed.where(F.col("seq") == F.col("island")).select(*KEYS, "island", "user"), KEYS, "island", "n")
+    )
     label = first_of(*[(F.col("agent") == a, F.lit(name)) for a, name in V.LABELS.items()])
-    opens = merged.groupBy(*KEYS).agg(
-        F.min("seq").alias("_first"),
-        F.max("seq").alias("_last"),
-        F.min_by("user", "seq").alias("_opens"),
-        F.max_by("user", "seq").alias("_closes"),
+    opens = heads.groupBy(*KEYS).agg(
+        F.max("n").alias("_last"), F.min_by("user", "n").alias("_opens"), F.max_by("user", "n").alias("_closes")
     )
     ends = sessions.select(*KEYS, intro(label).alias("_intro")).join(opens, KEYS, "left")
-    first, last = F.col("seq") == F.col("_first"), F.col("seq") == F.col("_last")
-    turn = lambda seq, user, text: F.struct(seq.alias("seq"), user.alias("user"), text.alias("text"))
-    greeting = lambda seq: turn(seq, F.lit(True), F.col("_intro"))
-    parting = lambda seq: turn(seq, F.lit(False), F.lit(V.PICKED_UP))
+    merged = joined_texts(rows.select(*KEYS, "seq", "text"), placed, KEYS, "seq", "text", "\n\n")
+    merged = merged.join(heads, [*KEYS, "island"]).join(ends.where(F.col("_last").isNotNull()), KEYS)
+    first, last = F.col("n") == 0, F.col("n") == F.col("_last")
+    turn = lambda no, user, text: F.struct(no.cast("bigint").alias("turn_no"), user.alias("user"), text.alias("text"))
+    greeting = lambda no: turn(no, F.lit(True), F.col("_intro"))
+    parting = lambda no: turn(no, F.lit(False), F.lit(V.PICKED_UP))
     body = F.when(first & F.col("user"), F.concat("_intro", F.lit("\n\n"), "text")).otherwise(F.col("text"))
+    no = F.col("n") + F.when(F.col("_opens"), 0).otherwise(1)
     # Each merged turn yields itself, plus the intro before the first or the end after the last.
-    some = merged.join(ends.where(F.col("_first").isNotNull()), KEYS).select(
-        *KEYS,
-        F.explode(
-            F.filter(
-                F.array(
-                    F.when(first & ~F.col("user"), greeting(F.col("seq") - 1)),
-                    turn(F.col("seq"), F.col("user"), body),
-                    F.when(last & F.col("user"), parting(F.col("seq") + 1)),
-                ),
-                lambda t: t.isNotNull(),
-            )
-        ).alias("t"),
+    every = F.array(
+        F.when(first & ~F.col("user"), greeting(F.lit(0))),
+        turn(no, F.col("user"), body),
+        F.when(last & F.col("user"), parting(no + 1)),
     )
-    zero = F.lit(0).cast("bigint")
-    silent = ends.where(F.col("_first").isNull()).select(
-        *KEYS, F.explode(F.array(greeting(zero), parting(zero + 1))).alias("t")
+    some = merged.select(*KEYS, F.explode(F.filter(every, lambda t: t.isNotNull())).alias("t"))
+    silent = ends.where(F.col("_last").isNull()).select(
+        *KEYS, F.explode(F.array(greeting(F.lit(0)), parting(F.lit(1)))).alias("t")
     )
-    every = some.unionByName(silent).select(*KEYS, "t.seq", "t.user", "t.text")
-    return number_rows(every, KEYS, "seq", "turn_no").select(*KEYS, "turn_no", "user", "text")
+    return some.unionByName(silent).select(*KEYS, "t.turn_no", "t.user", "t.text")
 
 
 def turn_tokens(turns: DataFrame, target: str) -> DataFrame:
@@ -176,18 +172,36 @@ def log_b(turns: DataFrame, folder: str, now: str, now_seconds: int, note: str)
     display events its screen shows, and the note as a developer message (W8, W10)."""
     sid = stable_uuid(F.lit("session-b"), *_keys())
     task_id = lambda n: F.when(n.isNotNull(), stable_uuid(F.lit("task-b"), *_keys(), n)).otherwise("")
-    rows = carry_forward(
-        tasks(turns),
+    narrow = tasks(cut_lineage(turns.select(*KEYS, "turn_no", "user")))
+    before = carry_forward(
+        cut_lineage(narrow),
         KEYS,
         "turn_no",
-        {"last_agent": F.when(~F.col("user"), F.col("text")), "open_task": F.col("task_no")},
+        {"agent_turn": F.when(~F.col("user"), F.col("turn_no")), "open_task": F.col("task_no")},
         before=True,
     )
+    ends = narrow.groupBy(*KEYS).agg(F.min("turn_no").alias("_first"), F.max("turn_no").alias("_last"))
+    shape = before.join(ends, KEYS)
+    one = lambda test: test.cast("int")
+    is_first, is_last = F.col("turn_no") == F.col("_first"), F.col("turn_no") == F.col("_last")
+    closes = F.col("user") & F.col("open_task").isNotNull()
+    n_records = (
+        F.lit(2) + one(is_first) + one(closes) + one(F.col("user")) + one(is_last)
+        + one(is_last & F.col("task_no").isNotNull())
+    )
+    shape = cut_lineage(running_total(cut_lineage(shape), KEYS, "turn_no", n_records, "first_ordinal"))
+    # The agent's last words are needed where a task closes; other turns join on a key no turn has.
+    wanted = F.when(closes | (is_last & F.col("user")), F.col("agent_turn"))
+    shape = shape.withColumn("_agent_turn", F.coalesce(wanted, -1 - F.col("turn_no")))
+    words = turns.select(*KEYS, F.col("turn_no").alias("_agent_turn"), F.col("text").alias("last_agent"))
+    rows = (
+        turns.select(*KEYS, "turn_no", "text")
+        .join(shape, [*KEYS, "turn_no"])
+        .join(words, [*KEYS, "_agent_turn"], "left")
+    )
     n, user, text = F.col("turn_no"), F.col("user"), F.col("text")
     payload = lambda kind, *fields: F.struct(F.lit(kind).alias("type"), *fields)
     secs = F.lit(now_seconds).cast("bigint")
-    ends = turns.groupBy(*KEYS).agg(F.min("turn_no").alias("_first"), F.max("turn_no").alias("_last"))
-    rows = rows.join(ends, KEYS)
 
     def completed(task: Column, last: Column) -> Column:
         return payload(
@@ -226,7 +240,6 @@ def log_b(turns: DataFrame, folder: str, now: str, now_seconds: int, note: str)
     )
     developer = payload("message", F.lit("developer").alias("role"), part("input_text", F.lit(note)))
     last_said = F.when(~user, text).otherwise(F.col("last_agent"))
-    is_first, is_last = n == F.col("_first"), n == F.col("_last")
     # Each turn yields its records as an array; their place in the log is the turn, then the place in the array.
     record = lambda when, kind, body: F.when(when, F.struct(F.lit(kind).alias("kind"), F.to_json(body).alias("payload")))
     records = F.array(
@@ -240,12 +253,12 @@ def log_b(turns: DataFrame, folder: str, now: str, now_seconds: int, note: str)
         record(is_last, "response_item", developer),
         record(is_last & F.col("task_no").isNotNull(), "event_msg", completed(here, last_said)),
     )
-    every = (
-        rows.select(*KEYS, sid.alias("new_id"), n, F.posexplode(records).alias("_sub", "r"))
-        .where(F.col("r").isNotNull())
-        .select(*KEYS, "new_id", (n * 16 + F.col("_sub")).alias("_order"), "r.kind", "r.payload")
-    )
-    numbered = number_rows(every, KEYS, "_order", "line_no")
+    numbered = rows.select(
+        *KEYS,
+        sid.alias("new_id"),
+        "first_ordinal",
+        F.posexplode(F.filter(records, lambda r: r.isNotNull())).alias("_sub", "r"),
+    ).select(*KEYS, "new_id", (F.col("first_ordinal") + F.col("_sub")).alias("line_no"), "r.kind", "r.payload")
     raw = F.concat(
         F.lit('{"ordinal":'), F.col("line_no").cast("string"), F.lit(f',"payload":'), F.col("payload"),
         F.lit(f',"timestamp":"{now}","type":"'), F.col("kind"), F.lit('"}'),
