@@ -58,8 +58,8 @@ def short_count(n: Column) -> Column:
 
 
 def _one_decimal(x: Column) -> Column:
-    """One decimal, ties on the exact binary value (as C and Rust print it)."""
-    return F.bround(x.cast("decimal(38,18)"), 1).cast("decimal(38,1)").cast("string")
+    """One decimal, rounded on the exact binary value, ties to even."""
+    return F.replace(F.format_number(x, 1), F.lit(","), F.lit(""))
 
 
 def size_words(b: Column) -> Column:
