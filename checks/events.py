@@ -17,6 +17,7 @@ from logferry.operators import reports as R
 from logferry.operators import scrub as S
 from logferry.operators import touches as U
 from logferry.plans import catalog as C
+from logferry.session import cut_lineage
 
 from . import paths as P
 from . import sqltext as X
@@ -208,8 +209,9 @@ VERDICTS = f"""WITH {SQL_EV}, {FIRST_CALLS}, {RESULTS}, {CMD_PATHS},
 
 
 def verdict_tables(t: Tables):
-    s = sessions(t)
-    touches, texts = U.touches_a(lines_a(t))
+    s, a = sessions(t), lines_a(t)
+    # As in a full run, the calls are written once and read by every later step.
+    touches, texts = U.split_tables(cut_lineage(U.calls_a(a)), U.results_a(a))
     path = normalize(F.expr(FILE))
     files = t.events.where("event_id % 2 = 0").select(
         F.lit("p").alias("project_id"), path.alias("path"), path.alias("real_path"), F.lit(True).alias("is_file"),
@@ -228,7 +230,7 @@ def call_verdicts(t: Tables) -> DataFrame:
 
 def labels(t: Tables) -> DataFrame:
     touches, _, s, verdicts = verdict_tables(t)
-    return J.labelled(verdicts, touches, s)
+    return cut_lineage(J.labelled(verdicts, touches, s))
 
 
 SHOW = f"CASE WHEN starts_with(x, '{ROOT}/') THEN substr(x, {len(ROOT) + 2}) WHEN starts_with(x, '{HOME}/') THEN '~/' || substr(x, {len(HOME) + 2}) WHEN x = '{ROOT}' THEN '' ELSE x END"

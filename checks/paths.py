@@ -188,7 +188,7 @@ def command_checks(t: Tables) -> DataFrame:
 FILE_PATH = f"'/w' || {URL_PATH} || CASE page_id % 4 WHEN 0 THEN '/.env' WHEN 1 THEN '/Makefile' WHEN 2 THEN '/a.rs' ELSE '/build/out.txt' END"
 FOLDER = f"'/w' || {URL_PATH}"
 FILES = (
-    f"SELECT DISTINCT 'p' AS project_id, replace({FILE_PATH}, '//', '/') AS path, length(html) * (CASE WHEN page_id % 9 = 0 THEN 100000 ELSE 1 END) AS size FROM pages"
+    f"SELECT DISTINCT 'p' AS project_id, replace({FILE_PATH}, '//', '/') AS path, CAST(length(html) AS BIGINT) * (CASE WHEN page_id % 9 = 0 THEN 100000 ELSE 1 END) AS size FROM pages"
 )
 REPOS = f"SELECT DISTINCT 'p' AS project_id, rtrim({FOLDER}, '/') AS repo, page_id % 14 <> 0 AS listing_ok FROM pages WHERE page_id % 7 = 0"
 
@@ -197,7 +197,7 @@ def lifted_files(t: Tables) -> DataFrame:
     return t.pages.select(
         F.lit("p").alias("project_id"),
         F.expr(f"replace({FILE_PATH}, '//', '/')").alias("path"),
-        F.expr("length(html) * (CASE WHEN page_id % 9 = 0 THEN 100000 ELSE 1 END)").cast("bigint").alias("size"),
+        F.expr("CAST(length(html) AS BIGINT) * (CASE WHEN page_id % 9 = 0 THEN 100000 ELSE 1 END)").cast("bigint").alias("size"),
     ).distinct()
 
 
@@ -280,8 +280,7 @@ def file_verdicts(t: Tables) -> DataFrame:
         ).alias("path"),
     )
     rows = files.with_file_facts(named, facts, None).withColumn("excluded", F.col("page_id") % 13 == 0)
-    skip = files.skip_reason(F.col("path"), F.col("root"), F.col("home"), F.col("off"))
-    return rows.select("page_id", "path", skip.alias("skip"))
+    return files.with_limits(rows).select("page_id", "path", files.skip_reason().alias("skip"))
 
 
 @query(

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logferry.session import configure
+from logferry.session import configure, spread
 
+# Tables whose rows take long enough to be worth spreading when they come in fewer pieces than there are cores.
+TEXT_TABLES = {"documents", "pages"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -35,5 +37,4 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        # A text table in one small file is one task: spread it before the patterns run.
-        return df
+        return spread(df) if name in TEXT_TABLES else df

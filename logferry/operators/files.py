@@ -143,21 +143,33 @@ def file_facts(
     return facts.join(hits, ["project_id", "real_path"], "left").withColumn("ignored", F.coalesce("ignored", F.lit(False)))
 
 
-def skip_reason(path: Column, root: Column, home: Column, off: Column) -> Column:
+def with_limits(rows: DataFrame) -> DataFrame:
+    """Add ``by_path`` and ``by_real``: whether a path, and the real path behind it, may be reached at all.
+
+    Both are columns of their own, so each path is classified once however often the result is used.
+    """
+    root, home, off = F.col("root"), F.col("home"), F.col("off")
+    return rows.withColumn("by_path", off_limits(F.col("at"), root, home, off)).withColumn(
+        "by_real",
+        F.when(F.col("real_path") == F.col("at"), F.col("by_path")).when(
+            F.col("real_path").isNotNull(), off_limits(F.col("real_path"), root, home, off)
+        ),
+    )
+
+
+def skip_reason() -> Column:
     """Why a named file must stay out, or null when it may be shared.
 
-    Expects the columns of ``file_facts`` (null where nothing exists at the path) and ``excluded``.
+    Expects the columns of ``with_file_facts`` and ``with_limits``.
     """
-    here = normalize(path)
-    by_name = off_limits(here, root, home, off)
-    real = off_limits(F.col("real_path"), root, home, off)
+    root, off = F.col("root"), F.col("off")
     return first_of(
-        (F.startswith(by_name, F.lit("sensitive")), by_name),
+        (F.startswith("by_path", F.lit("sensitive")), F.col("by_path")),
         (
             F.col("is_file").isNull(),
-            F.when(under(here, root), "no longer exists").otherwise("outside the project"),
+            F.when(under(F.col("at"), root), "no longer exists").otherwise("outside the project"),
         ),
-        (real.isNotNull(), real),
+        (F.col("by_real").isNotNull(), F.col("by_real")),
         (inside(F.col("real_path"), root).isNull(), F.lit("outside the project")),
         (F.coalesce(F.col("excluded"), F.lit(False)), F.lit("left out by you")),
         (F.col("ignored") & filter_on(off, "gitignored"), F.lit("gitignored")),
@@ -177,23 +189,23 @@ def skip_reason(path: Column, root: Column, home: Column, off: Column) -> Column
 
 def with_file_facts(named: DataFrame, facts: DataFrame, excluded: DataFrame | None) -> DataFrame:
     """``named`` rows (project_id, path, root …) with their file's facts and whether the user left it out."""
-    rows = named.withColumn("_at", normalize(F.col("path"))).join(
-        facts.withColumnRenamed("path", "_at"), ["project_id", "_at"], "left"
+    rows = named.withColumn("at", normalize(F.col("path"))).join(
+        facts.withColumnRenamed("path", "at"), ["project_id", "at"], "left"
     )
     if excluded is None:
-        return rows.withColumn("excluded", F.lit(False)).drop("_at")
+        return rows.withColumn("excluded", F.lit(False))
     return (
-        rows.withColumn("rel", inside(F.col("real_path"), F.col("root")))
+        rows.withColumn("rel", F.coalesce(inside(F.col("real_path"), F.col("root")), F.concat(F.lit("\u0000"), F.col("at"))))
         .join(excluded.select("project_id", "rel", F.lit(True).alias("excluded")), ["project_id", "rel"], "left")
-        .drop("_at", "rel")
+        .drop("rel")
     )
 
 
 def check_files(named: DataFrame, facts: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """``named`` (project_id, path, root, home, off, …) with ``skip`` (null = may be shared) and ``rel`` (K3)."""
-    return with_file_facts(named, facts, excluded).select(
+    return with_limits(with_file_facts(named, facts, excluded)).select(
         *named.columns,
-        skip_reason(F.col("path"), F.col("root"), F.col("home"), F.col("off")).alias("skip"),
+        skip_reason().alias("skip"),
         inside(F.col("real_path"), F.col("root")).alias("rel"),
         F.coalesce("is_file", F.lit(False)).alias("is_file"),
         "size",

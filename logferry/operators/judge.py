@@ -11,7 +11,6 @@ from ..functions.paths import (
     credential_path,
     filter_on,
     join,
-    off_limits,
     paths_in,
     personal_folder,
     shown,
@@ -21,7 +20,7 @@ from ..functions.paths import (
 )
 from ..functions.secrets import secret_values
 from ..functions.text import plain, short, trimmed, without_cd
-from .files import skip_reason, text_of, with_file_facts
+from .files import skip_reason, text_of, with_file_facts, with_limits
 from .touches import KEYS
 
 TOUCH = [*KEYS, "touch_no"]
@@ -62,12 +61,9 @@ def named_paths(touches: DataFrame, texts: DataFrame, sessions: DataFrame) -> Da
 
 def checked_paths(named: DataFrame, facts: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """Named paths with ``skip`` (why the file stays out), ``reason`` (why the touch is withheld) and ``shared``."""
-    rows = with_file_facts(named, facts, excluded)
-    path, root, home, off = (F.col(c) for c in ("path", "root", "home", "off"))
+    rows = with_limits(with_file_facts(named, facts, excluded)).withColumn("skip", skip_reason())
+    root, home, off, path = (F.col(c) for c in ("root", "home", "off", "at"))
     outside_hidden = filter_on(off, "outside-project")
-    rows = rows.withColumn("skip", skip_reason(path, root, home, off)).withColumn(
-        "by_path", off_limits(path, root, home, off)
-    )
     skip, outside = F.col("skip"), F.lit("outside the project")
     counts = F.startswith(skip, F.lit("sensitive")) | skip.isin("gitignored", "left out by you")
     is_file = F.coalesce("is_file", F.lit(False))

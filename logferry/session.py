@@ -58,3 +58,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="logferry-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A stored text table over at least as many tasks as there are cores.
+
+    Pattern work costs far more than moving the rows when a table is one small file. A table
+    already in enough pieces, as any large one is, is left as it is: no shuffle.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
