@@ -24,7 +24,7 @@ from ..functions.paths import filter_on
 from ..functions.text import withheld_note
 from ..session import cut_lineage
 from .relink import resolve_removed
-from .scrub import CONTEXT, scrubbed_record
+from .scrub import CONTEXT, Context, scrubbed_record, without_many_echoes
 from .touches import KEYS, marks_b, with_owner
 
 LINE = [*KEYS, "line_no"]
@@ -56,13 +56,13 @@ def _block_id(b: Column) -> Column:
     return F.coalesce(text_at(b, "$.id"), text_at(b, "$.tool_use_id"), F.lit(""))
 
 
-def _scrubbed(edited: DataFrame, context: DataFrame) -> DataFrame:
+def _scrubbed(edited: DataFrame, context: Context) -> DataFrame:
     """Scrub the edited records and add up the line's counters."""
     rows = edited.select(*KEYS, "agent", "line_no", "edited", "withheld", "images", "thinking").join(
-        context.select(*KEYS, *CONTEXT), KEYS
+        context.rows.select(*KEYS, *CONTEXT), KEYS
     )
     done = rows.withColumn("_s", scrubbed_record("edited"))
-    return done.select(
+    scrubbed = done.select(
         *KEYS,
         "agent",
         "line_no",
@@ -71,6 +71,7 @@ def _scrubbed(edited: DataFrame, context: DataFrame) -> DataFrame:
         F.col("_s.emails").alias("emails"),
         *[F.col(c).cast("bigint").alias(c) for c in ("withheld", "images", "thinking")],
     )
+    return scrubbed if context.many is None else without_many_echoes(scrubbed, context.many)
 
 
 # --- agent A --------------------------------------------------------------------------------
@@ -175,7 +176,7 @@ def _edited_block(b: Column, why: Column, images_off: Column) -> Column:
     ).otherwise(F.to_json(b))
 
 
-def clean_a(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context: DataFrame) -> DataFrame:
+def clean_a(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context: Context) -> DataFrame:
     """Agent A's cleaned lines: bookkeeping, thinking and withheld attachments gone, withheld calls blanked,
     private fields removed, links re-pointed, every string scrubbed (K4)."""
     decided = decide_a(lines, withhold, sessions)
@@ -267,7 +268,7 @@ def decide_b(lines: DataFrame, withhold: DataFrame, sessions: DataFrame) -> Data
     )
 
 
-def clean_b(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context: DataFrame) -> DataFrame:
+def clean_b(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context: Context) -> DataFrame:
     """Agent B's cleaned lines: usage, reasoning and developer messages gone, withheld and untraced
     records blanked, private fields removed, every string scrubbed (K5)."""
     decided = decide_b(lines, withhold, sessions)
@@ -313,7 +314,7 @@ def clean_b(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context:
     return clean.unionByName(_gone(decided))
 
 
-def clean(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context: DataFrame) -> tuple[DataFrame, DataFrame]:
+def clean(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context: Context) -> tuple[DataFrame, DataFrame]:
     """(clean lines, counters per session) for both agents."""
     every = clean_a(lines, withhold, sessions, context).unionByName(clean_b(lines, withhold, sessions, context))
     return every.where(F.col("raw").isNotNull()).select(*KEYS, "agent", "line_no", "raw"), counters(every)

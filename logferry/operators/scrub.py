@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -11,11 +13,25 @@ from ..functions.jsontext import KEY_OR_STRING, decode, encode, is_key, structur
 from ..functions.let import let
 from ..functions.paths import distinctive, filter_on, url_path
 from ..functions.secrets import mask_emails, redact_if_needed
+from ..session import cut_lineage
 
 KEYS = ["project_id", "session_id"]
 WORD = "struct<gate:string,pattern:string,put:string>"
+LINE = [*KEYS, "line_no"]
 # Columns a scrubbing context adds to a row.
 CONTEXT = ["root", "home", "off", "words", "echoes"]
+# Learned values a row may carry as an array; sessions with more go through a join.
+ECHO_ARRAY_LIMIT = 500
+# No learned value is shorter than this many characters.
+WINDOW = 8
+
+
+@dataclass
+class Context:
+    """What scrubbing needs: one row per session, and the learned values of sessions with very many."""
+
+    rows: DataFrame
+    many: DataFrame | None = None
 
 
 def _pattern_text(word: Column) -> Column:
@@ -43,39 +59,44 @@ def identity_patterns(words: Column) -> Column:
     return F.flatten(F.transform(words, patterns))
 
 
-def scrub_context(sessions: DataFrame, identity: DataFrame | None, echoes: DataFrame | None) -> DataFrame:
-    """One row per session: root, home, off, identity patterns in order, and echoes longest first (O3).
+def scrub_context(sessions: DataFrame, identity: DataFrame | None, echoes: DataFrame | None) -> Context:
+    """Per session: root, home, off, identity patterns in order, and learned values longest first (O3).
 
     ``identity`` is project_id, word, replacement, position; ``echoes`` is session keys and value.
     """
     ctx = sessions.select(*KEYS, "root", "home", "off")
     if identity is not None:
         people = identity.groupBy("project_id").agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("position", "word", "replacement"))), lambda w: w
-            ).alias("people")
+            F.array_sort(F.collect_list(F.struct("position", "word", "replacement"))).alias("people")
         )
-        ctx = ctx.join(people, "project_id", "left").withColumn(
-            "words",
-            F.when(
-                filter_on(F.col("off"), "identity"), identity_patterns(F.col("people"))
-            ),
-        ).drop("people")
+        patterns = F.when(filter_on(F.col("off"), "identity"), identity_patterns(F.col("people")))
+        ctx = ctx.join(people, "project_id", "left").withColumn("words", patterns).drop("people")
     else:
         ctx = ctx.withColumn("words", F.lit(None).cast(f"array<{WORD}>"))
+    many = None
     if echoes is not None:
-        ordered = F.array_sort(
-            F.collect_set(F.struct((-F.octet_length("value")).alias("n"), F.col("value").alias("value")))
-        )
-        learned = echoes.groupBy(*KEYS).agg(F.transform(ordered, lambda e: e["value"]).alias("learned"))
+        crowded = echoes.groupBy(*KEYS).agg(F.count("*").alias("_n")).where(F.col("_n") > ECHO_ARRAY_LIMIT).select(*KEYS)
+        few = echoes
+        if not crowded.isEmpty():
+            scanned = sessions.where(filter_on(F.col("off"), "secret-scan")).select(*KEYS)
+            many = echoes.join(crowded, KEYS, "left_semi").join(scanned, KEYS, "left_semi").select(*KEYS, "value").distinct()
+            few = echoes.join(crowded, KEYS, "left_anti")
+        learned = few.groupBy(*KEYS).agg(_longest_first("value").alias("learned"))
         ctx = ctx.join(learned, KEYS, "left").withColumn(
             "echoes", F.when(filter_on(F.col("off"), "secret-scan"), F.col("learned"))
         ).drop("learned")
     else:
         ctx = ctx.withColumn("echoes", F.lit(None).cast("array<string>"))
-    return ctx.withColumn("words", F.coalesce("words", F.array().cast(f"array<{WORD}>"))).withColumn(
+    ctx = ctx.withColumn("words", F.coalesce("words", F.array().cast(f"array<{WORD}>"))).withColumn(
         "echoes", F.coalesce("echoes", F.array().cast("array<string>"))
     )
+    return Context(ctx, many)
+
+
+def _longest_first(value: str) -> Column:
+    """Distinct values, longest in bytes first, ties in value order: a value that holds another goes whole."""
+    ranked = F.array_sort(F.collect_set(F.struct((-F.octet_length(value)).alias("n"), F.col(value).alias("value"))))
+    return F.transform(ranked, lambda e: e["value"])
 
 
 def _occurrences(text: Column, part: Column) -> Column:
@@ -83,13 +104,34 @@ def _occurrences(text: Column, part: Column) -> Column:
     return F.floor(gone / F.length(part)).cast("bigint")
 
 
+def _state(text: Column, secrets: Column, emails: Column) -> Column:
+    return F.struct(
+        text.alias("text"), secrets.cast("bigint").alias("secrets"), emails.cast("bigint").alias("emails")
+    )
+
+
+def without_echoes(state: Column) -> Column:
+    """``state`` (text, secrets, emails) with the row's learned values replaced, in their order."""
+    fold = F.aggregate(
+        F.col("echoes"),
+        state,
+        lambda x, e: F.when(
+            F.contains(x["text"], e),
+            _state(
+                F.replace(x["text"], e, F.lit("[REDACTED:repeated]")),
+                x["secrets"] + _occurrences(x["text"], e),
+                x["emails"],
+            ),
+        ).otherwise(x),
+    )
+    return F.when(F.exists(F.col("echoes"), lambda e: F.contains(state["text"], e)), fold).otherwise(state)
+
+
 def scrub_text(text: Column) -> Column:
     """``struct<text, secrets, emails>`` of one text; the row carries the columns of ``CONTEXT``."""
     root, home, off = F.col("root"), F.col("home"), F.col("off")
     zero = F.lit(0).cast("bigint")
-
-    def state(t, secrets, emails):
-        return F.struct(t.alias("text"), secrets.cast("bigint").alias("secrets"), emails.cast("bigint").alias("emails"))
+    state = _state
 
     def secrets(t: Column) -> Column:
         found = let(redact_if_needed(t), lambda r: state(r["text"], F.size(r["found"]), zero))
@@ -114,47 +156,35 @@ def scrub_text(text: Column) -> Column:
             F.col("words"), t, lambda x, w: F.when(F.contains(F.lower(x), w["gate"]), swap(x, w)).otherwise(x)
         )
 
-    def repeated(s: Column) -> Column:
-        fold = F.aggregate(
-            F.col("echoes"),
-            s,
-            lambda x, e: F.when(
-                F.contains(x["text"], e),
-                state(
-                    F.replace(x["text"], e, F.lit("[REDACTED:repeated]")),
-                    x["secrets"] + _occurrences(x["text"], e),
-                    x["emails"],
-                ),
-            ).otherwise(x),
-        )
-        return F.when(F.exists(F.col("echoes"), lambda e: F.contains(s["text"], e)), fold).otherwise(s)
-
     clean = let(secrets(text), emails)
     placed = let(clean, lambda s: state(people(places(s["text"])), s["secrets"], s["emails"]))
-    return let(placed, repeated)
+    return let(placed, without_echoes)
 
 
-@lru_cache(maxsize=8)
-def scrubbed_record(json: str) -> Column:
-    """``struct<json, secrets, emails>`` of the JSON record in column ``json``: every string and object key
-    scrubbed; ``data:`` strings and base64 payloads untouched. Built once per process."""
-    record = F.col(json)
-    tokens = F.regexp_extract_all(record, F.lit(KEY_OR_STRING), F.lit(0))
-    opaque = F.when(
-        F.contains(record, F.lit('"base64"')), structure(record)["opaque"]
-    ).otherwise(F.array().cast("array<int>"))
-    bare = F.transform(tokens, lambda t: F.regexp_replace(t, r"\s*:\z", ""))
-    texts = F.arrays_zip(decode(bare).alias("text"), F.transform(tokens, is_key).alias("key"))
-    keep = lambda x: F.struct(
-        x["text"].alias("text"), F.lit(0).cast("bigint").alias("secrets"), F.lit(0).cast("bigint").alias("emails")
+def _tokens(record: Column) -> Column:
+    return F.regexp_extract_all(record, F.lit(KEY_OR_STRING), F.lit(0))
+
+
+def _texts(tokens: Column) -> Column:
+    return decode(F.transform(tokens, lambda t: F.regexp_replace(t, r"\s*:\z", "")))
+
+
+def _rewritten(record: Column, scrub: Callable[[Column], Column]) -> Column:
+    """``struct<json, secrets, emails>``: every string and object key of a JSON record through ``scrub``;
+    ``data:`` strings and base64 payloads stay."""
+    tokens, zero = _tokens(record), F.lit(0)
+    opaque = F.when(F.contains(record, F.lit('"base64"')), structure(record)["opaque"]).otherwise(
+        F.array().cast("array<int>")
     )
+    texts = F.arrays_zip(_texts(tokens).alias("text"), F.transform(tokens, is_key).alias("key"))
     done = let(
         opaque,
         lambda hidden: F.transform(
             texts,
             lambda x, i: F.when(
-                ~x["key"] & (F.startswith(x["text"], F.lit("data:")) | F.array_contains(hidden, i)), keep(x)
-            ).otherwise(scrub_text(x["text"])),
+                ~x["key"] & (F.startswith(x["text"], F.lit("data:")) | F.array_contains(hidden, i)),
+                _state(x["text"], zero, zero),
+            ).otherwise(scrub(x["text"])),
         ),
     )
 
@@ -179,6 +209,56 @@ def scrubbed_record(json: str) -> Column:
     return let(done, rebuilt)
 
 
+@lru_cache(maxsize=8)
+def scrubbed_record(json: str) -> Column:
+    """The JSON record in column ``json`` scrubbed; the large expression is built once per process."""
+    return _rewritten(F.col(json), scrub_text)
+
+
+def without_many_echoes(lines: DataFrame, many: DataFrame) -> DataFrame:
+    """Scrubbed lines (keys, line_no, raw, secrets) with the learned values of crowded sessions replaced.
+
+    A value can only occur where its first eight characters do: the windows of a line's strings meet
+    the values' heads in an equi-join, so a line only carries values that may be in it. The windows of
+    one session spread over all tasks.
+    """
+    lines = cut_lineage(lines)
+    crowded = many.select(*KEYS).distinct()
+    windows = F.array_distinct(
+        F.flatten(
+            F.transform(
+                _texts(_tokens(F.col("raw"))),
+                lambda t: F.when(
+                    F.length(t) >= WINDOW,
+                    F.transform(F.sequence(F.lit(1), F.length(t) - (WINDOW - 1)), lambda i: F.substr(t, i, F.lit(WINDOW))),
+                ).otherwise(F.array().cast("array<string>")),
+            )
+        )
+    )
+    heads = many.select(*KEYS, F.left("value", F.lit(WINDOW)).alias("_window"), "value")
+    per_line = (
+        lines.where(F.col("raw").isNotNull())
+        .join(crowded, KEYS, "left_semi")
+        .select(*LINE, F.explode(windows).alias("_window"))
+        .join(heads, [*KEYS, "_window"])
+        .groupBy(*LINE)
+        .agg(_longest_first("value").alias("echoes"))
+    )
+    zero = F.lit(0)
+    rows = lines.join(per_line, LINE, "left").withColumn(
+        "_e",
+        F.when(
+            F.col("echoes").isNotNull() & F.col("raw").isNotNull(),
+            _rewritten(F.col("raw"), lambda t: without_echoes(_state(t, zero, zero))),
+        ),
+    )
+    return rows.select(
+        *[c for c in lines.columns if c not in ("raw", "secrets")],
+        F.coalesce("_e.json", "raw").alias("raw"),
+        (F.col("secrets") + F.coalesce("_e.secrets", zero)).alias("secrets"),
+    ).select(*lines.columns)
+
+
 @lru_cache(maxsize=8)
 def scrubbed_text(text: str) -> Column:
     """``scrub_text`` of a column by name, built once per process."""
@@ -186,6 +266,20 @@ def scrubbed_text(text: str) -> Column:
 
 
 def leaks(clean_lines: DataFrame, echoes: DataFrame) -> DataFrame:
-    """Cleaned lines that still hold a learned value of their session: must be empty."""
-    values = echoes.groupBy(*KEYS).agg(F.collect_set("value").alias("_values"))
-    return clean_lines.join(values, KEYS).where(F.exists("_values", lambda e: F.contains(F.col("raw"), e))).drop("_values")
+    """``keys, line_no, value`` of learned values still in a cleaned line: must be empty."""
+    windows = F.explode(
+        F.array_distinct(
+            F.transform(
+                F.sequence(F.lit(1), F.greatest(F.length("raw") - (WINDOW - 1), F.lit(1))),
+                lambda i: F.substr(F.col("raw"), i, F.lit(WINDOW)),
+            )
+        )
+    )
+    heads = echoes.select(*KEYS, F.left("value", F.lit(WINDOW)).alias("_window"), "value")
+    return (
+        clean_lines.select(*LINE, "raw", windows.alias("_window"))
+        .join(heads, [*KEYS, "_window"])
+        .where(F.contains("raw", F.col("value")))
+        .select(*LINE, "value")
+        .distinct()
+    )
