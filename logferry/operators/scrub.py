@@ -19,7 +19,7 @@ KEYS = ["project_id", "session_id"]
 WORD = "struct<gate:string,pattern:string,put:string>"
 LINE = [*KEYS, "line_no"]
 # Columns a scrubbing context adds to a row.
-CONTEXT = ["root", "home", "off", "words", "echoes"]
+CONTEXT = ["root", "home", "off", "words", "echoes", "places"]
 # Learned values a row may carry as an array; sessions with more go through a join.
 ECHO_ARRAY_LIMIT = 500
 # No learned value is shorter than this many characters.
@@ -59,6 +59,22 @@ def identity_patterns(words: Column) -> Column:
     return F.flatten(F.transform(words, patterns))
 
 
+def place_spellings(root: Column, home: Column, off: Column) -> Column:
+    """``array<struct<find, put>>``: the spellings of the project and home folder to replace, in order,
+    worked out once per session."""
+    forward = lambda p: F.replace(p, F.lit("\\"), F.lit("/"))
+    one = lambda find, put, when: F.when(when, F.struct(find.alias("find"), F.lit(put).alias("put")))
+    by_name = filter_on(off, "identity")
+    spellings = F.array(
+        one(root, V.ROOT, F.lit(True)),
+        one(forward(root), V.ROOT, forward(root) != root),
+        one(url_path(root), V.ROOT_URL, url_path(root) != root),
+        one(home, "~", by_name),
+        one(forward(home), "~", by_name & (forward(home) != home)),
+    )
+    return F.filter(spellings, lambda p: p.isNotNull())
+
+
 def scrub_context(sessions: DataFrame, identity: DataFrame | None, echoes: DataFrame | None) -> Context:
     """Per session: root, home, off, identity patterns in order, and learned values longest first (O3).
 
@@ -73,6 +89,7 @@ def scrub_context(sessions: DataFrame, identity: DataFrame | None, echoes: DataF
         ctx = ctx.join(people, "project_id", "left").withColumn("words", patterns).drop("people")
     else:
         ctx = ctx.withColumn("words", F.lit(None).cast(f"array<{WORD}>"))
+    ctx = ctx.withColumn("places", place_spellings(F.col("root"), F.col("home"), F.col("off")))
     many = None
     if echoes is not None:
         crowded = echoes.groupBy(*KEYS).agg(F.count("*").alias("_n")).where(F.col("_n") > ECHO_ARRAY_LIMIT).select(*KEYS)
@@ -129,8 +146,7 @@ def without_echoes(state: Column) -> Column:
 
 def scrub_text(text: Column) -> Column:
     """``struct<text, secrets, emails>`` of one text; the row carries the columns of ``CONTEXT``."""
-    root, home, off = F.col("root"), F.col("home"), F.col("off")
-    zero = F.lit(0).cast("bigint")
+    off, zero = F.col("off"), F.lit(0).cast("bigint")
     state = _state
 
     def secrets(t: Column) -> Column:
@@ -142,12 +158,7 @@ def scrub_text(text: Column) -> Column:
         return F.when(filter_on(off, "emails"), masked).otherwise(s)
 
     def places(t: Column) -> Column:
-        fwd = lambda p: F.replace(p, F.lit("\\"), F.lit("/"))
-        t = F.replace(t, root, F.lit(V.ROOT))
-        t = F.replace(t, fwd(root), F.lit(V.ROOT))
-        t = F.when(url_path(root) != root, F.replace(t, url_path(root), F.lit(V.ROOT_URL))).otherwise(t)
-        at_home = F.replace(F.replace(t, home, F.lit("~")), fwd(home), F.lit("~"))
-        return F.when(filter_on(off, "identity"), at_home).otherwise(t)
+        return F.aggregate(F.col("places"), t, lambda x, p: F.replace(x, p["find"], p["put"]))
 
     def people(t: Column) -> Column:
         # Twice: neighbouring matches share the separator between them.

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows cost far more to work on than to move: smaller shuffle partitions than the default.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.session.timeZone": "UTC",
     # Logs may repeat a key in an object; the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
