@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import conversations, documents, events, paths  # noqa: F401
+from . import conversations, documents, events, paths, summaries  # noqa: F401
