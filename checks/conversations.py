@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logferry.functions import values as V
 from logferry.functions.jsontext import text_at
-from logferry.functions.text import stable_uuid, utc_time
+from logferry.functions.text import utc_time
 from logferry.operators import neutral as N
 from logferry.operators import ordered
 from logferry.operators import rehome as R

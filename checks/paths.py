@@ -8,8 +8,7 @@ from logferry.functions import commands as C
 from logferry.functions import paths as P
 from logferry.functions import text as T
 from logferry.functions import values as V
-from logferry.operators import bundles, files, judge
-from logferry.plans import pack
+from logferry.operators import bundles, files
 
 from . import sqltext as X
 from .lifts import COMMANDS, LIFTED_PATHS, SUFFIX, URL_PATH

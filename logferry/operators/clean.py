@@ -19,7 +19,7 @@ from ..functions.jsontext import (
     set_members,
     text_at,
 )
-from ..functions.let import any_of, empty_strings, first_of, let
+from ..functions.let import any_of, empty_strings, first_of
 from ..functions.paths import filter_on
 from ..functions.text import withheld_note
 from ..session import cut_lineage

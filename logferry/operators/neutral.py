@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import values as V
 from ..functions.jsontext import field, items_at, members_at, strings, structure, text_at, true_at
-from ..functions.let import empty_strings, first_of, let
+from ..functions.let import empty_strings, first_of
 from .ordered import since_last
 from .touches import KEYS, marks_b, place, with_owner
 
