@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, ngram_join
+from . import language_id, ngram_join, token_files
 from .common import in_fold
 from .registry import query, table
 
@@ -20,3 +23,14 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     held_out = in_fold("doc_id", 5, 0)
     model = language_id.fit(docs.where(~held_out))
     return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_rows(table(spark, folder, "documents"))
+
+
+def token_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files written for ``docs``."""
+    place = token_files.written(docs, public_tokenizers.path("word_bpe_49k.json"), 2)
+    return token_files.read_ids(docs.sparkSession, place, zlib.crc32).withColumnRenamed("digest", "ids_crc32")
