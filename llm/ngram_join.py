@@ -6,7 +6,8 @@ all ``ORDERS`` orders. Each order puts frequent tokens last (by a count over all
 an order of its own, so the lists of the first order stay short except for texts made of frequent tokens.
 
 Texts with equal sets are one class and are compared once. Lists of up to ``LIST_PAIRS`` classes give their
-pairs; classes in longer lists are joined to groups, and each group is compared in blocks of bounded
+pairs, of which a bitmap of each set's token parities, whose differing bits bound the sets' difference from
+below, rules out most before the other orders and the sets are looked at; classes in longer lists are joined to groups, and each group is compared in blocks of bounded
 size inside tasks, which return only the links that connect a block. No pair is left out.
 """
 
@@ -26,8 +27,10 @@ ORDERS = 3
 LIST_PAIRS = 8
 #: Classes in a block's side.
 BLOCK = 256
-#: Entries of a task's summary of frequent tokens, and the most that are broadcast (16 bytes each).
-SUMMARY, FREQUENT = 1 << 16, 1 << 20
+#: The most frequent tokens that are broadcast (8 bytes each).
+FREQUENT = 1 << 20
+#: Bits of a set's parity bitmap, and of the table that tells texts no candidate needs.
+SKETCH, TABLE = 2048, 1 << 25
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -39,54 +42,83 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, np.n
         yield i, j - i, owner, token
 
 
+def _packed(token: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted 32-bit tokens as byte planes of their differences, and (place, count) where the count isn't 1."""
+    step = np.diff(token, prepend=np.uint32(0)).astype("<u4")
+    more = np.flatnonzero(n > 1)
+    return step.view(np.uint8).reshape(-1, 4).T.tobytes(), np.stack([more, n[more]]).astype("<u4").tobytes()
+
+
+def _unpacked(planes: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray]:
+    step = np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    token, n = np.cumsum(step, dtype=np.uint32), np.ones(len(step), np.int64)
+    place, count = np.frombuffer(more, "<u4").reshape(2, -1)
+    n[place] = count
+    return token, n
+
+
+def _size_of(df: DataFrame) -> int:
+    """The planner's estimate of a table's bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
-    """Sorted tokens held by many texts, with counts: Misra-Gries summaries of all tokens, merged.
+    """Sorted tokens, cut to 32 bits, held by more than LIST_PAIRS texts, with their counts.
 
-    A task subtracts the count of its (SUMMARY + 1)-th most frequent token, so what it forgets is at most its
-    tokens / SUMMARY. Of the merged table the FREQUENT most frequent are kept: a fixed bound. Which tokens
-    are in it affects speed only, never the result.
+    Counts every token of every text. A task sorts and sums its tokens and sends them packed (about two bytes a
+    token) to as many ranges as the table's size asks for, so no range grows with the table. Of the frequent
+    ones the FREQUENT most frequent are kept: a fixed bound on what is broadcast. Which tokens are
+    in it affects speed only, never the result.
     """
+    ranges = 1 << max(6, min(20, (_size_of(docs) >> 23).bit_length()))
+    shift = np.uint32(32 - (ranges.bit_length() - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         waiting, size = [], 0
 
-        def fold(token, n, waiting):
-            every = np.concatenate([token, *waiting])
-            weight = np.concatenate([n, *(np.ones(len(w), np.int64) for w in waiting)])
-            token, where = np.unique(every, return_inverse=True)
-            n = np.bincount(where, weight).astype(np.int64)
-            if len(n) > SUMMARY:
-                n = n - np.partition(n, len(n) - SUMMARY - 1)[len(n) - SUMMARY - 1]
-            return token[n > 0], n[n > 0]
+        def rows():
+            token, n = np.unique(np.concatenate(waiting), return_counts=True)
+            ends = np.flatnonzero(np.diff(token >> shift, append=np.uint32(ranges))) + 1
+            starts = np.concatenate([[0], ends])[:-1]
+            packed = [_packed(token[i:j], n[i:j]) for i, j in zip(starts, ends)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(token[starts] >> shift, pa.int32()), *(pa.array([x[c] for x in packed], pa.binary()) for c in (0, 1))], ["range", "planes", "more"]
+            )
 
         for batch in batches:
             for _, _, _, got in _sets(batch, k):
-                waiting.append(got)
+                waiting.append((got >> np.uint64(32)).astype(np.uint32))
                 size += len(got)
-                if size > 1 << 21:
-                    token, n = fold(token, n, waiting)
+                if size > 1 << 22:
+                    yield rows()
                     waiting, size = [], 0
-        token, n = fold(token, n, waiting)
-        keep = n > 1
-        yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep])], ["token", "n"])
+        if size:
+            yield rows()
+
+    def merge(key, table):
+        both = [_unpacked(a.as_py(), b.as_py()) for a, b in zip(table["planes"], table["more"])]
+        token, where = np.unique(np.concatenate([x for x, _ in both]), return_inverse=True)
+        n = np.bincount(where, np.concatenate([x for _, x in both])).astype(np.int64)
+        many = n > LIST_PAIRS
+        return pa.table({"token": pa.array(token[many], pa.int64()), "n": pa.array(n[many])})
 
     rows = (
-        docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= LIST_PAIRS).orderBy(F.desc("n"), "token").limit(FREQUENT)
+        docs.select("text").mapInArrow(count, "range int, planes binary, more binary")
+        .groupBy("range").applyInArrow(merge, "token long, n long").orderBy(F.desc("n"), "token").limit(FREQUENT)
     )
     got = rows.toArrow()
-    token, n = got["token"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    token, n = got["token"].to_numpy().astype(np.uint32), got["n"].to_numpy()
     order = np.argsort(token)
-    return np.rec.fromarrays([token[order], n[order]], names="token,n")
+    return np.rec.fromarrays([token[order], np.minimum(n[order], 0x7FFFFFFF).astype(np.int32)], names="token,n")
 
 
 def _rank(token: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     """0 for a token that isn't frequent, else its count."""
     if not len(frequent):
-        return np.zeros(len(token), np.int64)
-    at = np.minimum(np.searchsorted(frequent["token"], token), len(frequent) - 1)
-    return np.where(frequent["token"][at] == token, frequent["n"][at], 0)
+        return np.zeros(len(token), np.int32)
+    cut = (token >> np.uint64(32)).astype(np.uint32)
+    at = np.minimum(np.searchsorted(frequent["token"], cut), len(frequent) - 1)
+    return np.where(frequent["token"][at] == cut, frequent["n"][at], 0)
 
 
 def _prefixes(owner, token, n, frequent, percent, order) -> tuple[np.ndarray, np.ndarray]:
@@ -104,6 +136,22 @@ def _lists(owner: np.ndarray, token: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(token.view(np.int64)))
 
 
+def _sketch(owner: np.ndarray, token: np.ndarray, n: int) -> pa.ListArray:
+    """Each set's bitmap: bit b is the parity of the number of its tokens that hash to b. Differing bits <= differing tokens."""
+    place, count = np.unique(owner * SKETCH + (mix(token, 77) >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64), return_counts=True)
+    place = place[count % 2 == 1]
+    bits = np.bincount(place >> 3, np.left_shift(1, place & 7), n * SKETCH // 8).astype(np.uint8).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(bits))
+
+
+def bit_table(places: DataFrame) -> np.ndarray:
+    """A bit table of fixed size with the bits at places (at, below TABLE): what lacks its bit is not among them."""
+    rows = places.select("at").groupBy(F.expr("at div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(TABLE // 64, np.int64)
+    out[rows["w"].to_numpy()] = rows["bits"].to_numpy()
+    return out
+
+
 def _enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 |a and b| >= percent |a or b| for sorted distinct arrays."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -141,39 +189,39 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[Dat
                     key[some, c] = np.add.reduceat(mix(token, 11 + c), at[some])
                 keys = [key[x].tobytes() if n[x] else None for x in range(m)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, m), pa.array(n), pa.array(keys, pa.binary()), _lists(*_prefixes(owner, token, n, shared.value, percent, 0), m)],
-                    ["doc_id", "n", "key", "first"],
+                    [batch.column("doc_id").slice(i, m), pa.array(n), pa.array(keys, pa.binary()), _lists(*_prefixes(owner, token, n, shared.value, percent, 0), m), _sketch(owner, token, m)],
+                    ["doc_id", "n", "key", "first", "sketch"],
                 )
 
-    seen = stored(texts.mapInArrow(first_order, "doc_id long, n long, key binary, first array<long>"), "sets")
-    classes = seen.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    members = stored(
-        seen.select("doc_id", "n", "key").join(classes, "key", "left").select("doc_id", "rep", F.col("n").alias("n_shingles")), "members"
+    seen = stored(texts.mapInArrow(first_order, "doc_id long, n long, key binary, first array<long>, sketch array<long>"), "sets")
+    classes = stored(
+        seen.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "first"), "doc_id").alias("of")), "classes"
     )
-    reps = members.where("doc_id = rep").select("rep").distinct()
-    postings = (
-        seen.join(reps, seen.doc_id == reps.rep, "left_semi").dropDuplicates(["doc_id"])
-        .select(F.col("doc_id").alias("rep"), "n", F.explode("first").alias("token")).repartition("token")
+    members = stored(
+        seen.select("doc_id", "n", "key").join(classes.select("key", "rep"), "key", "left").select("doc_id", "rep", F.col("n").alias("n_shingles")), "members"
     )
+    reps = classes.select(F.col("rep").alias("doc_id"))
+    postings = classes.select("rep", F.col("of.n").alias("n"), F.explode("of.first").alias("token")).repartition("token")
     sizes = postings.groupBy("token").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
     crowded = stored(postings.join(sizes, "token"), "lists")
-    near = lambda a, b: F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
-
-    short = (
-        crowded.where(F.col("size") <= LIST_PAIRS)
-        .groupBy("token").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("m"))
-        .select(F.posexplode("m").alias("i", "x"), "m")
-        .select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
-        .where(near("x.n", "y.n")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    short = short_pairs(crowded, percent)
+    # A class's representative is a text of its own, so its bitmap is that of its doc_id.
+    bits = seen.where("doc_id is not null").select("doc_id", "n", "sketch").join(reps, "doc_id", "left_semi")
+    bit_a, bit_b = (bits.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    pairs = stored(
+        short.join(bit_a, "a").join(bit_b, "b").where(differ * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "pairs"
     )
-    pairs = stored(short, "pairs")
-    long = crowded.where(F.col("size") > LIST_PAIRS)
-    groups = stored(_groups(long), "groups")
+    groups = stored(groups_of(crowded.where(F.col("size") > LIST_PAIRS)), "groups")
 
-    alive = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(groups.select("doc_id")).distinct()
+    alive = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(groups.select("doc_id")).distinct(), "alive")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(TABLE)).alias("at")
+    needed = spark.sparkContext.broadcast(bit_table(alive.select(at)))
 
     def all_orders(batches):
         for batch in batches:
+            at = batch.column("at").to_numpy()
+            batch = batch.filter(pa.array((needed.value[at >> 6] >> (at & 63)) & 1 == 1))
             for i, m, owner, token in _sets(batch, k):
                 n = np.bincount(owner, minlength=m)
                 at = np.concatenate([[0], np.cumsum(n)])
@@ -184,9 +232,9 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[Dat
                 )
 
     more = ", ".join(f"p{o} array<long>" for o in range(1, ORDERS))
-    sets = stored(
-        texts.join(alive, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(all_orders, f"doc_id long, n long, {more}, tokens binary"), "alive"
-    )
+    sets = texts.where("doc_id is not null").select("doc_id", "text", at)
+    sets = sets.mapInArrow(all_orders, f"doc_id long, n long, {more}, tokens binary")
+    sets = stored(sets.join(alive, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "alive-sets")
 
     # Short lists: the other orders' filters on narrow rows, then the sets of those that are left.
     def side(name, *columns):
@@ -198,18 +246,35 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[Dat
         passed = passed.where(F.arrays_overlap(f"{p}_a", f"{p}_b"))
     passed = passed.select("a", "b").join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
 
+    found = verified(passed, percent)
+    links = found.union(compare_blocks(groups.join(sets, "doc_id"), percent, orders))
+    return members, stored(links.distinct(), "links")
+
+
+def short_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: pairs of classes of similar sizes in the short ones of lists (token, rep, n, size)."""
+    near = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    return (
+        lists.where(F.col("size") <= LIST_PAIRS)
+        .groupBy("token").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("m"))
+        .select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
+        .where(near).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).where("a <> b").distinct()
+    )
+
+
+def verified(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, tokens_a, tokens_b) whose sets are similar, as (a, b)."""
+
     def verify(batches):
         for batch in batches:
             a, b = batch.column("tokens_a"), batch.column("tokens_b")
             ok = [_enough(_ints(a[x].as_buffer()), _ints(b[x].as_buffer()), percent) for x in range(len(a))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    found = passed.select("a", "b", "tokens_a", "tokens_b").mapInArrow(verify, "a long, b long")
-    links = found.union(_blocks(groups.join(sets, "doc_id"), percent, orders))
-    return members, stored(links.distinct(), "links")
+    return pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(verify, "a long, b long")
 
 
-def _groups(long: DataFrame) -> DataFrame:
+def groups_of(long: DataFrame) -> DataFrame:
     """(doc_id, grp, side, sides): classes that long lists connect, and their place among the group's sides.
 
     Two classes that share a token of a long list are in one group, so comparing a group's sides with each other
@@ -222,7 +287,7 @@ def _groups(long: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(rows: DataFrame, percent: int, orders: list[str]) -> DataFrame:
+def compare_blocks(rows: DataFrame, percent: int, orders: list[str]) -> DataFrame:
     """Links found by comparing all sides of each group, block by block."""
 
     def compare(key, frame):
