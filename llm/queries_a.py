@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixture, ngram_join, token_files
+from . import decontaminate, language_id, mixture, ngram_join, paragraphs, token_files
 from .common import in_fold
 from .registry import query, table
 
@@ -106,3 +106,8 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "row.doc_id", *LEVELS, "epoch", n.alias("n_tokens"), F.when(last, F.least(n, "last_taken")).otherwise(n).alias("taken")
     )
+
+
+@query()
+def op2_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs.repeats(table(spark, folder, "documents"))
