@@ -125,7 +125,7 @@ def path_of_address(t: Tables) -> DataFrame:
     return t.pages.select("page_id", P.path_of_url(F.expr(ADDRESS)).alias("path"))
 
 
-TEXT = "'cat ' || substr(html, 1, 2000) || ' ~/notes ../up . C:/win a:b --flag=' || url || ' end.'"
+TEXT = "'cat ' || html || ' ~/notes ../up . C:/win a:b --flag=' || url || ' end.'"
 SEPARATORS = r"[\s|;&<>()''\x22`=,\[\]{}:]"
 SQL_WORDS = (
     rf"list_transform(list_filter(string_split_regex(regexp_replace(text, '(^|{SEPARATORS})([A-Za-z]):([\\/])', '\1\2§\3', 'g'), "

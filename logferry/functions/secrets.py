@@ -28,6 +28,8 @@ class Rule:
     strong: bool = True
     java: str | None = None
     any_case: bool = False
+    # ``java`` matches from the start of a run of characters: group 1 is what comes before the match, group 2 the match.
+    skips: bool = False
     groups: dict[str, int] | None = None
     accept: Callable[[dict[str, Column]], Column] | None = None
 
@@ -35,6 +37,11 @@ class Rule:
     def regex(self) -> Column:
         return F.lit(self.java or "(?dU)" + self.pattern)
 
+    @property
+    def whole(self) -> Column:
+        """The group that holds the match."""
+        return F.lit(2 if self.skips else 0)
+
     @property
     def marker(self) -> str:
         return f"[REDACTED:{self.name}]"
@@ -158,7 +165,12 @@ RULES: list[Rule] = [
         "url-credentials",
         r"\b[a-z][a-z0-9+.-]*://[^\s:/@'\x22]+:[^\s@/'\x22]+@",
         ("://",),
-        java=r"(?dU)\b[a-z][a-z0-9+.-]*+://[^\s:/@'\x22]++:[^\s@/'\x22]++@",
+        # The first place of a run where a scheme can start decides: all later ones meet the same "://".
+        java=(
+            r"(?dU)(?:\G|(?<![a-z0-9+.-]))((?:(?!\b[a-z])[a-z0-9+.-])*+)"
+            r"([a-z][a-z0-9+.-]*+://[^\s:/@'\x22]++:[^\s@/'\x22]++@)"
+        ),
+        skips=True,
     ),
     Rule(
         "config-secret",
@@ -227,8 +239,8 @@ def _apply(rule: Rule, state: Column) -> Column:
     text, found = state["text"], state["found"]
     if rule.accept is None:
         after = F.struct(
-            F.regexp_replace(text, rule.regex, F.lit(rule.marker)).alias("text"),
-            F.concat(found, _found(rule, F.regexp_extract_all(text, rule.regex, F.lit(0)))).alias("found"),
+            F.regexp_replace(text, rule.regex, F.lit(("$1" if rule.skips else "") + rule.marker)).alias("text"),
+            F.concat(found, _found(rule, F.regexp_extract_all(text, rule.regex, rule.whole))).alias("found"),
         )
     else:
         pieces = lambda ms: F.transform(
@@ -319,7 +331,7 @@ def secret_values(text: Column) -> Column:
     """Values worth hiding everywhere: right sides of ``KEY=value`` lines, then whole matches of key-format rules."""
     assigned = F.regexp_extract_all(text, F.lit("(?dU)" + VALUE_LINE), F.lit(1))
     keys = [
-        F.when(r.may_fire(text), F.regexp_extract_all(text, r.regex, F.lit(0))).otherwise(empty_strings())
+        F.when(r.may_fire(text), F.regexp_extract_all(text, r.regex, r.whole)).otherwise(empty_strings())
         for r in RULES
         if r.strong
     ]
@@ -335,11 +347,23 @@ def secret_values(text: Column) -> Column:
 EMAIL = r"\b([A-Za-z0-9._%+-]+(?:@|%40)([A-Za-z0-9-]+)(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})\b"
 
 
+# The same matches in linear time and without recursion. A match starts at the first word boundary of a run of
+# local-part characters (or of what the last match left of it): later starts meet the same "@". Hosts of 120 labels
+# and more are taken whole if they end in a top-level name; shorter ones as the pattern above says.
+EMAIL_JAVA = (
+    r"(?U)(?:\G|(?<![A-Za-z0-9._%+-]))((?:(?!\b)[A-Za-z0-9._%+-])*+)"
+    r"([A-Za-z0-9._%+-]+(?:@|%40)([A-Za-z0-9-]++)"
+    r"(?:(?:\.[A-Za-z0-9-]++){120,}+(?<=\.[A-Za-z]{2,63})|(?:\.[A-Za-z0-9-]++){0,119}\.[A-Za-z]{2,})\b)"
+)
+
+
 def mask_emails(text: Column) -> Column:
     """``struct<text, n>``: e-mail addresses replaced by ``[email]``; git remotes, no-reply and image names stay."""
-    rx = F.lit("(?U)" + EMAIL)
+    rx = F.lit(EMAIL_JAVA)
     matches = F.arrays_zip(
-        F.regexp_extract_all(text, rx, F.lit(1)).alias("m"), F.regexp_extract_all(text, rx, F.lit(2)).alias("host")
+        F.regexp_extract_all(text, rx, F.lit(1)).alias("before"),
+        F.regexp_extract_all(text, rx, F.lit(2)).alias("m"),
+        F.regexp_extract_all(text, rx, F.lit(3)).alias("host"),
     )
     keep = lambda x: (
         F.startswith(x["m"], F.lit("git@"))
@@ -351,9 +375,12 @@ def mask_emails(text: Column) -> Column:
         lambda ms: F.struct(
             F.array_join(
                 F.zip_with(
-                    F.split(text, "(?U)" + EMAIL, -1),
+                    F.split(text, EMAIL_JAVA, -1),
                     F.concat(
-                        F.transform(ms, lambda x: F.when(keep(x), x["m"]).otherwise("[email]")), F.array(F.lit(""))
+                        F.transform(
+                            ms, lambda x: F.concat(x["before"], F.when(keep(x), x["m"]).otherwise("[email]"))
+                        ),
+                        F.array(F.lit("")),
                     ),
                     lambda a, b: F.concat(a, b),
                 ),

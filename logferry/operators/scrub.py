@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,8 +21,9 @@ WORD = "struct<gate:string,pattern:string,put:string>"
 LINE = [*KEYS, "line_no"]
 # Columns a scrubbing context adds to a row.
 CONTEXT = ["root", "home", "off", "words", "echoes", "places"]
-# Learned values a row may carry as an array; sessions with more go through a join.
+# Learned values a row may carry as an array; sessions with more go through a join, with the same result.
 ECHO_ARRAY_LIMIT = 500
+REPEATED = "[REDACTED:repeated]"
 # No learned value is shorter than this many characters.
 WINDOW = 8
 
@@ -135,7 +137,7 @@ def without_echoes(state: Column) -> Column:
         lambda x, e: F.when(
             F.contains(x["text"], e),
             _state(
-                F.replace(x["text"], e, F.lit("[REDACTED:repeated]")),
+                F.replace(x["text"], e, F.lit(REPEATED)),
                 x["secrets"] + _occurrences(x["text"], e),
                 x["emails"],
             ),
@@ -226,12 +228,22 @@ def scrubbed_record(json: str) -> Column:
     return _rewritten(F.col(json), scrub_text)
 
 
+def _touches_marker(value: Column) -> Column:
+    """Whether a value can occur across or inside the marker that replaces another value."""
+    n = len(REPEATED)
+    ends = "|".join(re.escape(REPEATED[:i]) + r"\z" for i in range(1, n))
+    starts = "|".join(r"\A" + re.escape(REPEATED[i:]) for i in range(1, n))
+    return F.contains(value, F.lit(REPEATED)) | F.contains(F.lit(REPEATED), value) | F.rlike(value, F.lit(f"{ends}|{starts}"))
+
+
 def without_many_echoes(lines: DataFrame, many: DataFrame) -> DataFrame:
     """Scrubbed lines (keys, line_no, raw, secrets) with the learned values of crowded sessions replaced.
 
     A value can only occur where its first eight characters do: the windows of a line's strings meet
     the values' heads in an equi-join, so a line only carries values that may be in it. The windows of
-    one session spread over all tasks.
+    one session spread over all tasks. Once a value of a line is replaced, values that touch the marker
+    may occur too, so such a line carries those of its session as well: the result is that of going through
+    all values, longest first.
     """
     lines = cut_lineage(lines)
     crowded = many.select(*KEYS).distinct()
@@ -247,14 +259,16 @@ def without_many_echoes(lines: DataFrame, many: DataFrame) -> DataFrame:
         )
     )
     heads = many.select(*KEYS, F.left("value", F.lit(WINDOW)).alias("_window"), "value")
-    per_line = (
+    hits = cut_lineage(
         lines.where(F.col("raw").isNotNull())
         .join(crowded, KEYS, "left_semi")
         .select(*LINE, F.explode(windows).alias("_window"))
         .join(heads, [*KEYS, "_window"])
-        .groupBy(*LINE)
-        .agg(_longest_first("value").alias("echoes"))
+        .select(*LINE, "value")
+        .distinct()
     )
+    later = hits.select(*LINE).distinct().join(many.where(_touches_marker(F.col("value"))), KEYS).select(*LINE, "value")
+    per_line = hits.union(later).groupBy(*LINE).agg(_longest_first("value").alias("echoes"))
     zero = F.lit(0)
     rows = lines.join(per_line, LINE, "left").withColumn(
         "_e",
