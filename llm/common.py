@@ -153,14 +153,19 @@ def _spans(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[0::2], places[1::2]
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts data[at[i]:at[i+1]], and the index of each word's text.
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and texts of ``word_table``."""
+    return word_table(data, at)[:2]
+
+
+def word_table(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts data[at[i]:at[i+1]], the index of each word's text, and its first and end byte.
 
     Words are runs of bytes other than space and U+0009 to U+000D; A-Z are lower-cased if asked. The hash is
     a polynomial of the bytes, taken from prefix sums, then mixed; equal words have equal hashes everywhere.
     Works on pieces of bounded size that end between words.
     """
-    hashes, owners = [], []
+    found: list[tuple[np.ndarray, ...]] = []
     lo, end = int(at[0]), int(at[-1])
     while lo < end:
         hi = min(end, lo + SLICE)
@@ -180,12 +185,12 @@ def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[n
                 total = np.zeros(len(piece) + 1, np.uint64)
                 np.cumsum(_BYTE[_LOWER[piece] if lower else piece] * up, out=total[1:])
                 h = (total[stop] - total[start]) * down[start]
-                hashes.append(mix(h + (stop - start).astype(np.uint64) * _ODD))
-            owners.append(np.searchsorted(at, start + lo, "right") - 1)
+                h = mix(h + (stop - start).astype(np.uint64) * _ODD)
+            found.append((h, np.searchsorted(at, start + lo, "right") - 1, start + lo, stop + lo))
         lo = hi
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(owners)
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def shingle_hashes(words: np.ndarray, owner: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:

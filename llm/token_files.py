@@ -6,7 +6,7 @@ knows can hold it:
 * ``blocks``: ``part, block, n_docs, n_tokens, data``. ``data`` is one block in the binary format below;
 * ``table``: the shared frequency table, ``token, freq``; frequencies sum to ``1 << SCALE``.
 
-A block holds whole documents in ascending doc_id order (nulls first, then by text), at least ``BLOCK_TOKENS`` ids
+A block holds whole documents in ascending doc_id order (nulls first; rows of one id in the order of a hash of their ids), at least ``BLOCK_TOKENS`` ids
 except the last of its part. Layout, little-endian::
 
     4s magic "rAN1"   u32 docs   u64 ids   u32 lanes   u32 checkpoints   u32 words   u32 crc32 of what follows
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder, stored
+from .common import SLICE, buffers, shared_folder, slices, stored, word_table
 
 SCALE = 22
 BLOCK_TOKENS = 1 << 18
@@ -43,17 +43,21 @@ _HEAD = struct.Struct("<4sIQIIII")
 # --- ids ----------------------------------------------------------------------------------------------------
 
 _WORDS: dict[tuple[str, str], dict] = {}
-#: Words whose ids a worker remembers, and the longest word it remembers, in characters.
-REMEMBERED, LONGEST = 400_000, 64
+#: Words whose ids a worker remembers, and the longest word it remembers, in bytes.
+REMEMBERED, LONGEST = 600_000, 64
 
 
 class Encoder:
-    """Ids of texts under a tokenizer that treats words between white space one by one.
+    """Ids of texts under a tokenizer that treats words between ASCII white space one by one.
 
-    Such a tokenizer gives a text the ids of its words one after the other, so a word's ids are worked out
-    once per worker, up to a bound. ``end`` follows every text.
+    Such a tokenizer gives a text the ids of its words one after the other. The words of a run of texts are made
+    distinct first, by their 64-bit hashes; a worker remembers the ids of words it has seen, up to a bound; new ones
+    are encoded many to a call, with a mark between them that is a pre-token of its own. ``end`` follows
+    every text. Ids are below 65,536.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
@@ -61,20 +65,50 @@ class Encoder:
         made = _WORDS.setdefault((path, "tokenizer"), {})
         if not made:
             made[0] = Tokenizer.from_file(path)
-        self.tokenizer, self.end = made[0], np.array([end], "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = list({w for ws in words for w in ws}.difference(self.known))
-        extra = {}
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (self.known if len(w) <= LONGEST else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__ if not extra else lambda w: self.known.get(w) or extra.get(w, b"")
-        return [b"".join(map(get, ws)) + self.end for ws in words]
+        self.tokenizer, self.end = made[0], end
+        self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+
+    def fresh(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """The ids of each word, as bytes."""
+        mark = self.MARK.encode()
+        alone = [w for w in words if mark in w or len(self.mark) != 1]
+        together = words if not alone else [w for w in words if mark not in w and len(self.mark) == 1]
+        for w in alone:
+            yield w, np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+        runs = [together[i : i + 1000] for i in range(0, len(together), 1000)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(w.decode() for w in run) for run in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u2")
+            cuts = [-1, *np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+            raw = ids.tobytes()
+            yield from ((w, raw[2 * a + 2 : 2 * b]) for w, a, b in zip(run, cuts, cuts[1:]))
+
+    def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts data[at[i]:at[i + 1]], one after the other, and the number of each."""
+        n = len(at) - 1
+        hashes, owner, start, stop = word_table(data, at, lower=False)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        words = [data[a:b].tobytes() for a, b in zip(start[first].tolist(), stop[first].tolist())]
+        got = list(map(self.known.get, words))
+        new = [i for i, x in enumerate(got) if x is None]
+        if new:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            found = dict(self.fresh([words[i] for i in new]))
+            for i in new:
+                got[i] = found[words[i]]
+            self.known.update(found if max(map(len, found)) <= LONGEST else {w: x for w, x in found.items() if len(w) <= LONGEST})
+        flat = np.frombuffer(b"".join(got), "<u2")
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 2
+        begin = np.cumsum(size) - size
+        each = size[which] if len(which) else np.zeros(0, np.int64)
+        total = int(each.sum())
+        source = np.repeat(begin[which] - (np.cumsum(each) - each), each) + np.arange(total) if total else np.zeros(0, np.int64)
+        counts = np.bincount(owner, each, n).astype(np.int64) + 1
+        out, ends = np.empty(total + n, "<u2"), np.cumsum(counts) - 1
+        inner = np.ones(total + n, bool)
+        inner[ends] = False
+        out[inner], out[ends] = flat[source], self.end
+        return out, counts
 
 
 def token_ids(docs: DataFrame, path: str, end: int) -> DataFrame:
@@ -89,13 +123,12 @@ def token_ids(docs: DataFrame, path: str, end: int) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder(path, end)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                got = [np.frombuffer(x, "<u4").astype("<u2") for x in encoder([t or "" for t in part.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(x) for x in got], pa.int64()), pa.array([x.tobytes() for x in got], pa.binary())],
-                    ["doc_id", "n", "ids"],
-                )
+            data, at = buffers(batch.column("text"))
+            for i, j in slices(at, 3 * SLICE):
+                ids, n = encoder(data, at[i : j + 1])
+                places = np.concatenate([[0], np.cumsum(2 * n)])
+                held = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n), held.cast(pa.binary())], ["doc_id", "n", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n long, ids binary")
 
@@ -269,7 +302,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end: int, parts: int | No
             yield row()
 
     count_of = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = ids.repartitionByRange(count_of, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    ordered = ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange(count_of, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     ordered.select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(
         blocks, "part int, block long, n_docs long, n_tokens long, data binary"
     ).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
