@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-from .let import empty_strings, first_of, let
+from .let import any_of, empty_strings, first_of, let
 
 STRING = r'"(?:[^"\\]++|\\.)*+"'
 KEY_OR_STRING = STRING + r"(?:\s*+:)?+"
@@ -67,6 +67,17 @@ def set_members(members: Column, changes: dict[str, Column]) -> Column:
     )
 
 
+def names_key(raw: Column, objects: list[Column], names: list[str]) -> Column:
+    """Whether one of the objects of a record has one of the keys, however the key is spelled.
+
+    Plain spellings show in the text; letters of a key can also be spelled as ``\\u`` escapes, so a text
+    that holds any is decided by its parsed keys.
+    """
+    plain = F.rlike(raw, F.lit('"(?:' + "|".join(names) + ')"'))
+    parsed = [F.coalesce(F.exists(F.map_keys(o), lambda k: k.isin(*names)), F.lit(False)) for o in objects]
+    return plain | (F.contains(raw, F.lit("\\u")) & any_of(*parsed))
+
+
 # --- string tokens --------------------------------------------------------------------
 
 
@@ -119,24 +130,27 @@ def blank_strings(json: Column, note: Column) -> Column:
 
 
 def replace_in_strings(json: Column, find: Column, put: Column) -> Column:
-    """``find`` replaced by ``put`` in every string value.
+    """``find`` replaced by ``put`` in every string value, however the string is spelled (H24). Keys are left alone.
 
-    A JSON-escaped needle matches exactly the escaped haystack: escaping works character by
-    character, so this needs no decoding. Keys are left alone.
+    A string that holds ``find`` is decoded, changed and written anew; all others keep their spelling.
     """
-    quoted = lambda s: let(json_string(s), lambda q: F.substr(q, F.lit(2), F.length(q) - 2))
-    return F.when(
-        F.contains(json, quoted(find)),
-        let(
-            F.struct(quoted(find).alias("f"), quoted(put).alias("p")),
-            lambda q: rewrite_tokens(
-                json,
-                lambda ts: F.transform(
-                    ts, lambda t: F.when(is_key(t), t).otherwise(F.replace(t, q["f"], q["p"]))
+    quoted = let(json_string(find), lambda q: F.substr(q, F.lit(2), F.length(q) - 2))
+
+    def rewritten(tokens: Column) -> Column:
+        texts = decode(F.transform(tokens, lambda t: F.when(is_key(t), F.lit('""')).otherwise(t)))
+        return let(
+            texts,
+            lambda xs: F.zip_with(
+                tokens,
+                xs,
+                lambda t, x: F.when(is_key(t) | ~F.coalesce(F.contains(x, find), F.lit(False)), t).otherwise(
+                    json_string(F.replace(x, find, put))
                 ),
             ),
-        ),
-    ).otherwise(json)
+        )
+
+    possible = F.contains(json, quoted) | F.contains(json, F.lit("\\"))
+    return F.when(possible, rewrite_tokens(json, rewritten)).otherwise(json)
 
 
 # --- one pass over the structure --------------------------------------------------------

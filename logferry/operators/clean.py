@@ -16,6 +16,7 @@ from ..functions.jsontext import (
     items_at,
     json_string,
     members_at,
+    names_key,
     set_members,
     text_at,
 )
@@ -209,7 +210,9 @@ def clean_a(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context:
     )
     # Lines with nothing to edit keep their own spelling.
     touched = (
-        F.rlike("raw", F.lit('"(?:usage|requestId|permissionMode|mode)"'))
+        names_key(
+            F.col("raw"), [members_at(v, "$"), members_at(v, "$.message")], ["usage", "requestId", "permissionMode", "mode"]
+        )
         | (F.col("thinking") + F.col("images") + F.col("withheld") > 0)
         | (F.size("why") > 0)
         | F.col("relinked").isNotNull()
@@ -305,7 +308,7 @@ def clean_b(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context:
         "content": content,
     }
     edited = F.to_json(set_members(members_at(v, "$"), {"payload": F.to_json(set_members(payload, changes))}))
-    private = F.rlike("raw", F.lit('"(?:' + "|".join(V.B_PRIVATE) + ')"'))
+    private = names_key(F.col("raw"), [members_at(v, "$.payload")], V.B_PRIVATE)
     touched = private | why | (F.col("images") > 0)
     rows = decided.where("kept").withColumn(
         "edited", F.when(touched, F.coalesce(edited, F.col("raw"))).otherwise(F.col("raw"))

@@ -11,6 +11,7 @@ from ..functions.paths import (
     credential_path,
     filter_on,
     join,
+    normalize,
     paths_in,
     personal_folder,
     shown,
@@ -262,11 +263,14 @@ def learned_values(
         read = (
             touches.where(F.col("file").isNotNull())
             .join(hot, TOUCH, "left_semi")
-            .select(*KEYS, F.col("file").alias("path"))
+            .select(*KEYS, normalize(F.col("file")).alias("path"))
             .distinct()
             .join(
+                # A file answers to the path it was listed under and to the one behind its links.
                 facts_contents.where(F.col("is_file") & (F.col("size") <= V.MAX_FILE)).select(
-                    "project_id", "path", "content"
+                    "project_id",
+                    F.explode(F.array_distinct(F.array("path", F.coalesce("real_path", "path")))).alias("path"),
+                    "content",
                 ),
                 ["project_id", "path"],
             )

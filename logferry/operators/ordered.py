@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import cut_lineage
 
 CHUNK = 65_536
+# For orders that hold the line number above 31 bits (``seq``): as many lines a chunk.
+SEQ_CHUNK = CHUNK << 31
 
 
 def _chunked(df: DataFrame, order: str, chunk: int) -> DataFrame:
@@ -75,14 +77,14 @@ def since_last(df: DataFrame, keys: list[str], order: str, marker: Column) -> Da
     )
 
 
-def islands(narrow: DataFrame, keys: list[str], order: str, side: str) -> DataFrame:
+def islands(narrow: DataFrame, keys: list[str], order: str, side: str, chunk: int = CHUNK) -> DataFrame:
     """Add ``island``: the order of the first of the neighbouring rows with the same ``side``."""
-    before = carry_forward(narrow, keys, order, {"_before": F.struct(F.col(side).alias("side"))}, before=True)
+    before = carry_forward(narrow, keys, order, {"_before": F.struct(F.col(side).alias("side"))}, before=True, chunk=chunk)
     starts = before.select(
         *narrow.columns,
         F.when(F.col("_before").isNull() | (F.col("_before.side") != F.col(side)), F.col(order)).alias("_start"),
     )
-    return carry_forward(cut_lineage(starts), keys, order, {"island": F.col("_start")}).drop("_start")
+    return carry_forward(cut_lineage(starts), keys, order, {"island": F.col("_start")}, chunk=chunk).drop("_start")
 
 
 def joined_texts(rows: DataFrame, placed: DataFrame, keys: list[str], order: str, text: str, glue: str) -> DataFrame:

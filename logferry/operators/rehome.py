@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import values as V
-from ..functions.jsontext import json_string, members_at, replace_in_strings, set_members, text_at
+from ..functions.jsontext import json_string, members_at, names_key, replace_in_strings, set_members, text_at
 from ..functions.paths import normalize, path_of_url, under, url_path
 from ..functions.text import stable_uuid
 from .clean import dropped_attachment
@@ -19,7 +19,7 @@ def accepted_a(lines: DataFrame) -> DataFrame:
     top = F.map_filter(members_at(v, "$"), lambda k, _: ~k.isin("permissionMode", "mode"))
     message = F.to_json(F.map_filter(members_at(v, "$.message"), lambda k, _: ~k.isin("permissionMode", "mode")))
     edited = F.to_json(set_members(top, {"message": message}))
-    private = F.rlike("raw", F.lit('"(?:permissionMode|mode)"'))
+    private = names_key(F.col("raw"), [members_at(v, "$"), members_at(v, "$.message")], ["permissionMode", "mode"])
     return lines.where((F.col("agent") == V.AGENT_A) & ok).withColumn(
         "raw", F.when(private, F.coalesce(edited, F.col("raw"))).otherwise(F.col("raw"))
     )
@@ -36,7 +36,7 @@ def accepted_b(lines: DataFrame) -> DataFrame:
     ok = F.coalesce(text_at(v, "$.type").isin(*V.B_ACCEPTED), F.lit(False)) & ~F.coalesce(developer, F.lit(False))
     payload = F.to_json(F.map_filter(members_at(v, "$.payload"), lambda k, _: ~k.isin(*V.B_PRIVATE)))
     edited = F.to_json(set_members(members_at(v, "$"), {"payload": payload}))
-    private = F.rlike("raw", F.lit('"(?:' + "|".join(V.B_PRIVATE) + ')"'))
+    private = names_key(F.col("raw"), [members_at(v, "$.payload")], V.B_PRIVATE)
     return lines.where((F.col("agent") == V.AGENT_B) & ok).withColumn(
         "raw", F.when(private, F.coalesce(edited, F.col("raw"))).otherwise(F.col("raw"))
     )
@@ -56,7 +56,7 @@ def rehome_a(lines: DataFrame) -> DataFrame:
     v = F.col("v")
     cwd = text_at(v, "$.cwd")
     away = F.coalesce(~under(normalize(cwd), folder), F.lit(False))
-    has_id = F.rlike("raw", F.lit('"(?:sessionId|session_id)"'))
+    has_id = names_key(F.col("raw"), [members_at(v, "$")], ["sessionId", "session_id"])
     edited = F.to_json(
         set_members(
             members_at(v, "$"),

@@ -291,7 +291,11 @@ def scrubbed_text(text: str) -> Column:
 
 
 def leaks(clean_lines: DataFrame, echoes: DataFrame) -> DataFrame:
-    """``keys, line_no, value`` of learned values still in a cleaned line: must be empty."""
+    """``keys, line_no, value`` of learned values still in a string of a cleaned line: must be empty.
+
+    Values are looked for in the decoded strings and keys, so escapes hide none.
+    """
+    clean_lines = clean_lines.withColumn("raw", F.array_join(_texts(_tokens(F.col("raw"))), "\n"))
     windows = F.explode(
         F.array_distinct(
             F.transform(

@@ -9,7 +9,7 @@ from ..functions.jsontext import items_at, text_at
 from ..functions.let import first_of, let
 from ..functions.text import is_blank, stable_uuid, strip_intro, trim_long, trimmed
 from ..session import cut_lineage
-from .ordered import carry_forward, islands, joined_texts, number_rows, running_total
+from .ordered import SEQ_CHUNK, carry_forward, islands, joined_texts, number_rows, running_total
 from .neutral import text_tokens
 from .touches import KEYS
 
@@ -77,9 +77,9 @@ def to_turns(neutral: DataFrame, sessions: DataFrame) -> DataFrame:
     ``sessions`` (keys, agent) names every session, so one without any text still gets its two turns.
     """
     rows = spoken(neutral)
-    placed = cut_lineage(islands(cut_lineage(rows.select(*KEYS, "seq", "user")), KEYS, "seq", "user"))
+    placed = cut_lineage(islands(cut_lineage(rows.select(*KEYS, "seq", "user")), KEYS, "seq", "user", SEQ_CHUNK))
     heads = cut_lineage(
-        number_rows(placed.where(F.col("seq") == F.col("island")).select(*KEYS, "island", "user"), KEYS, "island", "n")
+        number_rows(placed.where(F.col("seq") == F.col("island")).select(*KEYS, "island", "user"), KEYS, "island", "n", SEQ_CHUNK)
     )
     label = first_of(*[(F.col("agent") == a, F.lit(name)) for a, name in V.LABELS.items()])
     opens = heads.groupBy(*KEYS).agg(

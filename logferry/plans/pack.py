@@ -16,6 +16,7 @@ from ..functions.paths import (
     filter_on,
     inside,
     join,
+    normalize,
     parent,
     shown,
     under,
@@ -80,13 +81,16 @@ def named_in_corpus(corpus: Corpus, named: DataFrame) -> DataFrame:
     by_name = file_name(F.col("path")).isin(*V.MANIFESTS, *V.INSTRUCTION_FILES) | any_of(
         *[F.contains("path", F.lit(f"/{r}/")) for r in V.SKILL_ROOTS], F.contains("path", F.lit("/skills/"))
     )
-    wanted = named.select("project_id", "path")
+    wanted = named.select("project_id", normalize(F.col("path")).alias("path"))
     if corpus.received is not None:
         roots = corpus.sessions.select("project_id", "root").distinct()
         wanted = wanted.unionByName(
             corpus.received.join(roots, "project_id").select("project_id", join(F.col("root"), F.col("rel")).alias("path"))
         )
-    mentioned = wanted.distinct().withColumn("_named", F.lit(True))
+    # A name may be a link: the file behind it is looked at as well, under its own path.
+    real = F.coalesce("real_path", "path")
+    behind = f.join(wanted.distinct(), ["project_id", "path"], "left_semi").select("project_id", real.alias("path"))
+    mentioned = wanted.unionByName(behind).distinct().withColumn("_named", F.lit(True))
     return f.join(mentioned, ["project_id", "path"], "left").where(F.col("_named") | by_name).drop("_named")
 
 
@@ -243,7 +247,9 @@ def plan(corpus: Corpus) -> Plan:
         skipped = skipped.unionByName(
             subs.select(*KEYS, plain(F.concat(F.lit("subagent: "), F.col("description"))).alias("what"), "reason")
         )
-        told = subs.select(*KEYS, "id", F.lit("a helper agent's summary").alias("thing"), "reason")
+        told = subs.groupBy(*KEYS, "id").agg(F.max("reason").alias("reason")).select(
+            *KEYS, "id", F.lit("a helper agent's summary").alias("thing"), "reason"
+        )
         brief = brief.join(told, [*KEYS, "id"], "left_anti").unionByName(told)
 
     # Files: every source, the later one wins where several bring the same path.
@@ -275,6 +281,8 @@ def plan(corpus: Corpus) -> Plan:
     skipped = skipped.unionByName(
         skill_files.where(F.col("skip").isNotNull()).select(*KEYS, "what", F.col("skip").alias("reason"))
     )
+    # One row per label, whatever brought it up.
+    skipped = cut_lineage(skipped.groupBy(*KEYS, "what").agg(F.max("reason").alias("reason")))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -302,7 +310,7 @@ def plan(corpus: Corpus) -> Plan:
         F.octet_length(F.when(scan, F.col("clean")).otherwise(F.col("content"))).cast("bigint").alias("bytes"),
         file_checks.mentions_sender(F.col("text"), F.col("home"), F.coalesce("people", F.array().cast("array<string>"))).alias("personal"),
         F.when(scan, F.col("values")).alias("values"),
-    )
+    ).where(F.col("content").isNotNull())  # what could not be read is not shared
     # Values blanked in shared files are blanked where the agent quoted them.
     echoes = echoes.unionByName(
         final.where(F.col("redactions") > 0)

@@ -29,9 +29,9 @@ def write_lines(lines: DataFrame, path: str, order: str = "line_no", text: str =
 
 def write_neutral(neutral: DataFrame, path: str) -> None:
     """The neutral conversation as JSON lines."""
-    from ..operators.ordered import number_rows
+    from ..operators.ordered import SEQ_CHUNK, number_rows
 
-    write_lines(number_rows(neutral_json(neutral), KEYS, "seq", "line_no"), path, text="json")
+    write_lines(number_rows(neutral_json(neutral), KEYS, "seq", "line_no", SEQ_CHUNK), path, text="json")
 
 
 def write_manifests(manifests: DataFrame, path: str) -> None:
@@ -40,10 +40,17 @@ def write_manifests(manifests: DataFrame, path: str) -> None:
 
 
 def write_received(received: DataFrame, path: str) -> None:
-    """What arrived per bundle, one path per row."""
-    received.write.mode("overwrite").partitionBy("bundle_id").json(path)
+    """What arrived, one ``{"files": [...]}`` per bundle (S13): what ``bundles.received_files`` reads."""
+    lists = received.groupBy("bundle_id").agg(F.sort_array(F.collect_set("rel")).alias("files"))
+    lists.write.mode("overwrite").partitionBy("bundle_id").json(path)
 
 
 def write_installed(logs: DataFrame, path: str) -> None:
-    """Rebuilt logs under the folder each agent looks in: ``place`` comes from ``install_folder``."""
-    write_lines(logs, path, folders=["agent", "place"])
+    """Rebuilt logs by the folders each agent looks in: ``place`` comes from ``install_folder``.
+
+    Every step of a place is a folder level of its own (a log by date: top, then year, month and day).
+    """
+    steps = F.split("place", "/")
+    level = lambda i: F.coalesce(F.get(steps, F.lit(i)), F.lit("-"))
+    names = ["top", "year", "month", "day"]
+    write_lines(logs.withColumns({n: level(i) for i, n in enumerate(names)}), path, folders=["agent", *names])
