@@ -48,9 +48,9 @@ def write_received(received: DataFrame, path: str) -> None:
 def write_installed(logs: DataFrame, path: str) -> None:
     """Rebuilt logs by the folders each agent looks in: ``place`` comes from ``install_folder``.
 
-    Every step of a place is a folder level of its own (a log by date: top, then year, month and day).
+    Every step of a place (a log by date: top, year, month, day, file) is a folder level of its own.
     """
     steps = F.split("place", "/")
-    level = lambda i: F.coalesce(F.get(steps, F.lit(i)), F.lit("-"))
-    names = ["top", "year", "month", "day"]
-    write_lines(logs.withColumns({n: level(i) for i, n in enumerate(names)}), path, folders=["agent", *names])
+    names = [f"level_{i}" for i in range(1, 6)]
+    levels = {n: F.coalesce(F.get(steps, F.lit(i)), F.lit("-")) for i, n in enumerate(names)}
+    write_lines(logs.withColumns(levels), path, folders=["agent", *names])

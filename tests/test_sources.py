@@ -8,8 +8,8 @@ from logferry.operators import bundles as K
 from logferry.plans.catalog import described, session_catalog
 from logferry.plans.receive import install_folder, open_sessions
 from logferry.sources import sessions as R
-from logferry.sources.projects import ignore_listing, read_project
-from logferry.sources.sinks import write_lines
+from logferry.sources.projects import ignore_listing, read_project, read_projects
+from logferry.sources.sinks import write_installed, write_lines, write_received
 
 ID_A, ID_B = "11111111-2222-4333-8444-555555555555", "99999999-2222-4333-8444-555555555555"
 
@@ -85,6 +85,32 @@ def test_files_and_sinks(spark, tmp_path):
     assert part.read_text().splitlines() == ['{"n":0}', '{"n":1}', '{"n":2}']
 
 
+def test_links_are_left_out_and_many_roots_are_one_scan(spark, tmp_path):
+    for name in ("one/src", "two", "outside"):
+        (tmp_path / name).mkdir(parents=True)
+    (tmp_path / "one/src/a.txt").write_text("a")
+    (tmp_path / "two/b.txt").write_text("bb")
+    (tmp_path / "outside/c.txt").write_text("c")
+    (tmp_path / "one/link.txt").symlink_to(tmp_path / "outside/c.txt")
+    (tmp_path / "one/folder").symlink_to(tmp_path / "outside")
+    got = read_projects(spark, {"1": str(tmp_path / "one"), "2": str(tmp_path / "two") + "/"}).collect()
+    assert sorted((r.project_id, r.path.removeprefix(str(tmp_path)), r.size) for r in got) == [("1", "/one/src/a.txt", 1), ("2", "/two/b.txt", 2)]
+
+
+def test_received_lists_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("x", "b.txt"), ("x", "a.txt"), ("x", "a.txt"), ("y", "c.txt")], "bundle_id string, rel string")
+    write_received(rows, str(tmp_path / "r"))
+    lists = spark.read.text(str(tmp_path / "r")).select(F.col("bundle_id").alias("project_id"), F.col("value").alias("json"))
+    assert sorted((r.project_id, r.rel) for r in K.received_files(lists).collect()) == [("x", "a.txt"), ("x", "b.txt"), ("y", "c.txt")]
+
+
+def test_installed_logs_lie_in_folders_by_step(spark, tmp_path):
+    rows = spark.createDataFrame([("codex", "sessions/2026/01/02/r.jsonl", i, f"{{{i}}}") for i in (1, 0)], "agent string, place string, line_no bigint, raw string")
+    write_installed(rows, str(tmp_path / "i"))
+    (part,) = (tmp_path / "i/agent=codex/level_1=sessions/level_2=2026/level_3=01/level_4=02/level_5=r.jsonl/part=0").glob("*.txt")
+    assert part.read_text().splitlines() == ["{0}", "{1}"]
+
+
 def test_bundles(spark):
     entries = spark.createDataFrame(
         [("ok", p, "file", 10) for p in ("manifest.json", "transcript.jsonl", "files/src/a.rs")]
