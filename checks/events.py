@@ -17,6 +17,7 @@ from logferry.operators import reports as R
 from logferry.operators import scrub as S
 from logferry.operators import touches as U
 from logferry.plans import catalog as C
+from logferry.plans.pack import Corpus, Plan, plan
 from logferry.session import cut_lineage
 
 from . import paths as P
@@ -262,6 +263,29 @@ def left_out(t: Tables) -> DataFrame:
     return R.left_out(J.brief_labels(l), J.skipped_things(l)).drop("project_id")
 
 
+# --- the sender's whole job --------------------------------------------------------------------------
+
+
+def planned(t: Tables) -> Plan:
+    """A whole run over the lifted logs: every file of an even event exists and holds nothing secret."""
+    path = normalize(F.expr(FILE))
+    files = t.events.where("event_id % 2 = 0").select(
+        F.lit("p").alias("project_id"), path.alias("path"), path.alias("real_path"), F.lit(True).alias("is_file"),
+        F.lit(100).cast("bigint").alias("size"), F.lit(b"x" * 100).alias("content"),
+    ).distinct()
+    return plan(Corpus(lines_a(t), sessions(t).withColumn("no_skills", F.lit(False)), files))
+
+
+@query(f"{LABELS} SELECT s AS session_id, cid AS id, why AS reason FROM held")
+def plan_withheld(t: Tables) -> DataFrame:
+    return planned(t).withhold.select("session_id", "id", "reason")
+
+
+@query(f"{LABELS} SELECT s AS session_id, why, thing, CAST(n AS BIGINT) AS n FROM left_out")
+def plan_left_out(t: Tables) -> DataFrame:
+    return planned(t).left_out.select("session_id", "why", "thing", "n")
+
+
 @query(
     f"{LABELS} SELECT s AS session_id, why, CAST(sum(n) AS BIGINT) AS total FROM left_out GROUP BY 1, 2 "
     "UNION ALL SELECT s, NULL, CAST(sum(n) AS BIGINT) FROM left_out GROUP BY 1"
