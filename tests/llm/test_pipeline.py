@@ -15,8 +15,13 @@ def domain(source):
     return "d0" if digit < "6" else "d1" if digit < "b" else "d2"
 
 
-def test_run_equals_the_plain_stages(spark):
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+def test_run_equals_the_plain_stages(spark, tmp_path):
+    given = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    odd = [(9001, None, "en", "src1", 0), (9002, "12 !? 3", None, None, 7), (9003, "", "de", None, 0), (9004, given.first().text + " zz", None, "src2", 1)]
+    folder = str(tmp_path)
+    given.union(spark.createDataFrame(odd, given.schema)).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
     model = language_id.fit(docs.where(~in_fold("doc_id", 5, 0)))
     named = {r.doc_id for r in language_id.identify(docs.select("doc_id", "text"), model).collect() if r.lang_pred != "und" and r.score >= 0.3}
@@ -29,7 +34,7 @@ def test_run_equals_the_plain_stages(spark):
     assert 0 < len(kept) < len(named) < len(rows)
     _, drawn = shared_out([(i, r.text, (domain(r.source), r.lang, r.source)) for i, r in kept.items()], queries_a.WEIGHTS, queries_a.SEED, None, queries_a.EPOCHS)
     want = token_rows([(i, rows[i].text) for i, _ in drawn], public_tokenizers.path("word_bpe_49k.json"))
-    got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, FOLDER).collect()), key=lambda r: r[1])
+    got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in corpus_pipeline.run(spark, folder).collect()), key=lambda r: r[1])
     assert got == want
 
 
