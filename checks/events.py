@@ -344,18 +344,16 @@ KEPT = f"""WITH {SQL_EV}, a AS (SELECT *, 'c' || CAST(running % 13 AS VARCHAR) A
         WHEN 2 THEN 'see' || chr(10) || 'DB_PASSWORD=[REDACTED:config-secret]' ELSE shown END END
       WHEN k = 'signup' THEN 'please ' || event_id
       WHEN cid IN ('c1', 'c5') THEN {NOTE}
-      WHEN k = 'view' THEN replace(file, '/work/app', '{V.ROOT}') END AS text
-    FROM a LEFT JOIN echoed e ON e.s = a.s WHERE k <> 'error' AND k <> 'click'"""
+      WHEN k = 'view' THEN replace(file, '/work/app', '{V.ROOT}')
+      WHEN k = 'click' THEN CASE WHEN e.s IS NULL THEN cmd ELSE replace(cmd, 'id_rsa', '[REDACTED:repeated]') END END AS text
+    FROM a LEFT JOIN echoed e ON e.s = a.s WHERE k <> 'error'"""
 )
 def cleaned_log(t: Tables) -> DataFrame:
     lines, _ = cleaned_a(t)
     v = F.try_parse_json("raw")
     block = "$.message.content[0]"
-    text = F.coalesce(text_at(v, "$.message.content"), text_at(v, f"{block}.content"), text_at(v, f"{block}.input.file_path"))
-    return (
-        lines.where(~F.contains("raw", F.lit('"command"')))
-        .select("session_id", "line_no", text_at(v, "$.parentUuid").alias("parent"), text.alias("text"))
-    )
+    texts = [text_at(v, p) for p in ("$.message.content", f"{block}.content", f"{block}.input.file_path", f"{block}.input.command")]
+    return lines.select("session_id", "line_no", text_at(v, "$.parentUuid").alias("parent"), F.coalesce(*texts).alias("text"))
 
 
 @query(
