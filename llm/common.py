@@ -113,6 +113,9 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_MARK, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,;:!?"]] = True
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -158,12 +161,12 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return word_table(data, at)[:2]
 
 
-def word_table(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_table(data: np.ndarray, at: np.ndarray, lower: bool = True, marks_off: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts data[at[i]:at[i+1]], the index of each word's text, and its first and end byte.
 
     Words are runs of bytes other than space and U+0009 to U+000D; A-Z are lower-cased if asked. The hash is
     a polynomial of the bytes, taken from prefix sums, then mixed; equal words have equal hashes everywhere.
-    Works on pieces of bounded size that end between words.
+    ``marks_off`` makes one closing mark after an ASCII letter or digit a word of its own. Works on pieces of bounded size that end between words.
     """
     found: list[tuple[np.ndarray, ...]] = []
     lo, end = int(at[0]), int(at[-1])
@@ -179,6 +182,12 @@ def word_table(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np
         piece = data[lo:hi]
         first, last = np.searchsorted(at, (lo, hi), "left")
         start, stop = _spans(piece, at[first:last] - lo)
+        if marks_off and len(start):
+            off = np.flatnonzero((stop - start > 1) & _MARK[piece[stop - 1]] & _ALNUM[piece[np.maximum(stop - 2, 0)]])
+            start = np.insert(start, off + 1, stop[off] - 1)
+            whole = stop[off]
+            stop[off] -= 1
+            stop = np.insert(stop, off + 1, whole)
         if len(start):
             up, down = _powers(len(piece))
             with np.errstate(over="ignore"):

@@ -44,11 +44,12 @@ _HEAD = struct.Struct("<4sIQIIII")
 
 _WORDS: dict[tuple[str, str], dict] = {}
 #: Words whose ids a worker remembers, and the longest word it remembers, in bytes.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 900_000, 64
 
 
 class Encoder:
-    """Ids of texts under a tokenizer that treats words between ASCII white space one by one.
+    """Ids of texts under a tokenizer that treats words between ASCII white space one by one, and a closing mark
+    after an ASCII letter or digit as one of its own.
 
     Such a tokenizer gives a text the ids of its words one after the other. The words of a run of texts are made
     distinct first, by their 64-bit hashes; a worker remembers the ids of words it has seen, up to a bound; new ones
@@ -85,7 +86,7 @@ class Encoder:
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts data[at[i]:at[i + 1]], one after the other, and the number of each."""
         n = len(at) - 1
-        hashes, owner, start, stop = word_table(data, at, lower=False)
+        hashes, owner, start, stop = word_table(data, at, lower=False, marks_off=True)
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         words = [data[a:b].tobytes() for a, b in zip(start[first].tolist(), stop[first].tolist())]
         got = list(map(self.known.get, words))
