@@ -43,7 +43,9 @@ class Model:
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last + 1, score) of a sequence, left to right, in linear time."""
-    found: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum at the end
+    # first, end, sum before, sum at the end, and the nearest earlier one that starts lower: what lies between
+    # starts at least as high, so a search may jump over it.
+    found: list[tuple[int, int, float, float, int]] = []
     total = 0.0
     for i, s in enumerate(scores):
         if s <= 0:
@@ -54,13 +56,13 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= before:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= total:
-                found.append((first, i + 1, before, total))
+                found.append((first, i + 1, before, total, j))
                 break
             first, before = found[j][0], found[j][2]
             del found[j:]
-    return [(a, b, z - y) for a, b, y, z in found]
+    return [(a, b, z - y) for a, b, y, z, _ in found]
 
 
 def passages(text: str | None, weights: dict[str, float]) -> tuple[int, int, list[tuple[int, int, float]]]:
@@ -79,6 +81,19 @@ def passages(text: str | None, weights: dict[str, float]) -> tuple[int, int, lis
     return len(words), len(hits), [(places[a][0], places[b - 1][1], s) for a, b, s in segments(scores)]
 
 
+def finder(weights: dict[str, float]):
+    """Whether a lower-cased text holds a weighted word at all, be it inside another word: most texts need no more."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for w in weights:
+        automaton.add_word(w, True)
+    if not weights:
+        return lambda text: False
+    automaton.make_automaton()
+    return lambda text: next(automaton.iter(text), None) is not None
+
+
 def evidence(n: int, found: list[tuple[int, int, float]], model: Model) -> tuple[float, list[tuple[int, int, float, float]]]:
     """-ln of the expected number, summed over significant passages, and those with that number."""
     kept = [(a, b, s, model.scale * n * math.exp(-min(700.0, model.rate * s))) for a, b, s in found]
@@ -90,7 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from documents (doc_id, text) and labels (doc_id, toxic).
 
     Of labelled rows SAMPLE_ROWS are used, in order of their ids' hashes; rows with a null label, text or id are not.
-    Equal texts count once, as toxic if any of them is. Without a word of positive weight every text scores
+    Texts whose three-word windows have the same least hash count once, as toxic if any of them is: equal texts
+    always, near copies mostly, so a copied text's own words don't look like signs. Without a word of positive weight every text scores
     the share of toxic rows.
     """
     chosen = (
@@ -99,7 +115,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     )
     # At most SAMPLE_ROWS rows of 16 bytes: a bound on what is broadcast.
     sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = stored(sample.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic"), "labelled")
+    words = sample.withColumn("w", F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))
+    at = F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1)))
+    least = F.array_min(F.transform(at, lambda i: F.xxhash64(F.element_at("w", i), F.try_element_at("w", i + 1), F.try_element_at("w", i + 2))))
+    one = words.groupBy(least.alias("h")).agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"), F.max("toxic").cast("int").alias("toxic"))
+    sample = stored(one.select("text", "toxic"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,9 +142,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     words = sample.mapInArrow(count, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     best = (
         words.where("a > 0").withColumn("weight", odds - BOUND * F.sqrt(1 / pa_ + 1 / pb)).where("weight > 0")
-        .orderBy(F.desc("weight"), "word").limit(SAMPLE_WORDS).select("word", "weight").collect()
+        .orderBy(F.desc("weight"), "word").limit(SAMPLE_WORDS).select("word", "weight", "b").collect()
     )
-    weights = {r.word: r.weight for r in best}
+    n = sample.where("toxic <= 0").agg(F.sum(F.regexp_count("text", F.lit(r"(?U)\w+"))).alias("n")).first().n or 0
+    # The heaviest words, as long as a word of the background costs at least half the drift on average.
+    weights, chance, gain = {}, {}, 0.0
+    for r in best:
+        p = (r.b + 0.5) / (n + 1)
+        gain += p * r.weight
+        if gain > DRIFT / 2:
+            break
+        weights[r.word], chance[r.word] = r.weight, p
     if not weights:
         return Model(base=-math.log((nb + 1) / (na + 1)))
 
@@ -138,13 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     rows = sample.mapInArrow(measure, "toxic int, n long, hits long, scores array<double>").collect()  # SAMPLE_ROWS at most
     clean = [r for r in rows if r.toxic <= 0]
-    n = sum(r.n for r in clean)
-    up = (sum(r.hits for r in clean) + 0.5) / (n + 1)
-    mean = sum(weights.values()) / len(weights)
+    n, rest = sum(r.n for r in clean), 1 - sum(chance.values())
     low, high = 1e-6, 50.0
-    for _ in range(200):  # the positive root of up * e^(x mean) + (1 - up) * e^(-x drift) = 1
+    for _ in range(200):  # the positive root of the sum over words of chance * e^(x weight) + rest * e^(-x drift) = 1
         x = (low + high) / 2
-        low, high = (x, high) if up * math.exp(x * mean) + (1 - up) * math.exp(-x * DRIFT) < 1 else (low, x)
+        sums = sum(p * math.exp(min(500.0, x * weights[w])) for w, p in chance.items()) + rest * math.exp(-x * DRIFT)
+        low, high = (x, high) if sums < 1 else (low, x)
     rate, least = low, min(weights.values())
     seen = sum(s >= least for r in clean for s in r.scores) + 0.5
     scale = min(1.0, seen / max(1.0, n) * math.exp(min(700.0, rate * least)))
@@ -175,10 +202,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
+        possible = finder(m.weights)
         for batch in batches:
             scores, found = [], []
             for t in batch.column("text"):
-                n, _, segs = passages(t.as_py(), m.weights)
+                text = (t.as_py() or "").lower()
+                n, _, segs = passages(text, m.weights) if possible(text) else (0, 0, [])
                 x, kept = evidence(n, segs, m) if segs else (0.0, [])
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, m.base + m.slope * min(50.0, x))))))
                 found.append([dict(zip(("first", "end", "score", "expected"), p)) for p in kept])
