@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, stored
 
 BUDGET = 512
 #: Turns repeated before a window, and the most tokens they may have, as a share of the budget.
@@ -47,7 +47,7 @@ def positions(turns: DataFrame) -> DataFrame:
 
     Sums go over stretches of turn numbers and then over the stretches, so no window holds a whole conversation.
     """
-    order = Window.partitionBy("conv", "stretch").orderBy("turn", "role", "text")
+    order = Window.partitionBy("conv", "stretch").orderBy("turn", "role", "piece")
     part = turns.withColumn("stretch", F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-1 << 40)))
     part = part.withColumns({"place": F.row_number().over(order), "sum": F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))})
     sums = part.groupBy("conv", "stretch").agg(
@@ -60,7 +60,7 @@ def positions(turns: DataFrame) -> DataFrame:
         F.coalesce(F.first("lead").over(over), F.lit(0)).alias("system"),
     )
     return part.join(sums, ["conv", "stretch"]).select(
-        "conv", "turn", "role", "text", "piece", "head", "tokens", (F.col("n0") + F.col("place")).alias("pos"), (F.col("t0") + F.col("sum")).alias("end"), "system"
+        "conv", "role", "piece", "head", "tokens", (F.col("n0") + F.col("place")).alias("pos"), (F.col("t0") + F.col("sum")).alias("end"), "system"
     )
 
 
@@ -68,14 +68,14 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     """conv_id, window, text, n_repeated, n_new, loss: a row per window.
 
     ``conversations`` has conv_id, turn, role and text, a row per turn; other columns are not read. Turns go by
-    turn, then role, then text; a null turn comes first. Null role or text: empty. Rows with a null conv_id
+    turn, then role, then escaped text; a null turn comes first. Null role or text: empty. Rows with a null conv_id
     are one conversation. Repeated rows are turns of their own. ``loss`` lists (start, length), 0-based code
     points of ``text``; the first ``n_repeated`` turns of a window are repeated. An empty table has no windows.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     head = F.concat(F.lit("### "), escaped(role, True), F.lit(": "))
     turns = conversations.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit(NONE)).alias("conv"), "turn", role.alias("role"), text.alias("text"),
+        F.coalesce(F.col("conv_id").cast("string"), F.lit(NONE)).alias("conv"), "turn", role.alias("role"),
         F.length(head).alias("head"), F.concat(head, escaped(text), F.lit(END)).alias("piece"),
     )
     turns = turns.withColumn("tokens", F.regexp_count("piece", F.lit(WORD)).cast("long"))
@@ -84,6 +84,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         "conv", "pos", "role", "head", "piece", "tokens", F.expr("2 * ((end - 1) div h) + if(tokens > h, 0, 1)").alias("window"),
         ((F.col("pos") == 1) & (F.col("role") == "system")).alias("lead"),
     )
+    rows = stored(rows, "turns")  # read several times; the prefix sums are worked out once
     starts = rows.groupBy("conv", "window").agg(F.min("pos").alias("first"))
     kept = ["conv", "window", "pos", "role", "head", "piece", "new"]
     new = rows.withColumn("new", F.lit(True)).select(*kept)

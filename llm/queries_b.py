@@ -41,7 +41,8 @@ FROM r JOIN f USING (conv_id) GROUP BY conv_id"""
 @query(_chat_sql())
 def op3_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    forged = spark.createDataFrame([(-7, 0, "user", FORGED), (-7, 1, "assistant", FORGED)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    forged = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(FORGED).alias("text"))
     return chat_digests(chat.windows(rows.union(forged)))
 
 
@@ -79,7 +80,7 @@ f AS (SELECT page_id, host, path, rhost || rpath AS rule, verdict,
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE place = 1"""
 )
 def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, RULES)) + " AS r(host, path, verdict)")
     return url_rules.judge(table(spark, folder, "pages").select("page_id", "url"), rules).select("row.page_id", "host", "path", "rule", "verdict")
 
 
