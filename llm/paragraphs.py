@@ -12,13 +12,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, components, distinct_by, mix, shingle_hashes, slices, stored, word_hashes
 from .ngram_join import LIST_PAIRS, TABLE, bit_table, compare_blocks, groups_of, short_pairs, verified
 
-SHINGLE, PERCENT, LEAST_WORDS = 5, 80, 20
+SHINGLE, PERCENT, LEAST_WORDS = 5, 80, 5
 ROWS, RECALL = 4, 0.999
 
 
@@ -73,15 +73,18 @@ def repeats(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, least: in
     def sign(batches):
         for batch in batches:
             for doc, number, words, name, first, size, token in _paragraphs(batch, k, least):
-                at = pa.array(np.arange(len(first) + 1, dtype=np.int32) * n_bands)
-                signs = pa.ListArray.from_arrays(at, pa.array(_bands(token, first, ROWS, n_bands).view(np.int64).ravel()))
+                once = np.zeros(len(name), bool)  # a class's bands are written once a slice
+                once[np.unique(name, return_index=True)[1]] = True
+                at = pa.array(np.concatenate([[0], np.cumsum(once)]).astype(np.int32) * np.int32(n_bands))
+                bits = _bands(token[np.repeat(once, size)], np.cumsum(size[once]) - size[once], ROWS, n_bands)
+                signs = pa.ListArray.from_arrays(at, pa.array(bits.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([doc, pa.array(number, pa.int64()), pa.array(words, pa.int64()), pa.array(name), pa.array(size, pa.int64()), signs], ["doc_id", "line", "n_words", "class", "n", "bands"])
 
     seen = stored(texts.mapInArrow(sign, "doc_id long, line long, n_words long, class long, n long, bands array<long>"), "paragraphs")
-    classes = seen.groupBy("class").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    postings = classes.select(F.col("class").alias("rep"), "n", F.explode("bands").alias("token")).repartition("token")
-    sizes = postings.groupBy("token").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-    lists = stored(postings.join(sizes, "token"), "collisions")
+    postings = seen.select(F.col("class").alias("rep"), "n", F.explode("bands").alias("token")).repartition("token")
+    several = postings.groupBy("token").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").drop("last")
+    size = F.count("*").over(Window.partitionBy("token")).alias("size")
+    lists = stored(postings.join(several, "token").distinct().select("*", size), "collisions")
     pairs = stored(short_pairs(lists, percent), "pairs")
     groups = stored(groups_of(lists.where(F.col("size") > LIST_PAIRS)), "groups")
     alive = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(groups.select("doc_id")).distinct(), "alive")

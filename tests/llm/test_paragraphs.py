@@ -55,3 +55,10 @@ def test_bands_reach_the_recall():
 def test_no_rows(docs):
     assert P.repeats(docs([])).count() == 0
     assert shingles("") == frozenset()
+
+
+def test_short_lines_are_compared_down_to_the_shingle_size(docs):
+    rows = [(1, "accept all cookies to continue\n" + paragraph(4, 1)), (2, f"{paragraph(4, 1)}\nAccept all cookies to continue\n{paragraph(30, 2)}"), (3, paragraph(19, 3)), (4, paragraph(19, 3))]
+    got = result(P.repeats(docs(rows)))
+    assert got == want(rows, least=5)
+    assert got == {(1, 0): ((1, 0), False), (2, 1): ((1, 0), True), (3, 0): ((3, 0), False), (4, 0): ((3, 0), True)}
