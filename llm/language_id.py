@@ -1,13 +1,14 @@
 """Language identification by cross-parsing entropy.
 
 Each language has a suffix automaton of labelled text. A text is parsed against it into phrases: the longest
-piece that occurs in the labelled text, then the next. Phrases times log2 of the labelled length, per
-symbol, estimates the cross entropy; the language with the least wins.
+piece that occurs in the labelled text, then the next. Phrases times log2 of one length for all languages, the
+longest labelled one, is the cost; a symbol that a language never saw costs a phrase of its own. So less labelled text
+can only raise a language's cost. The language with the least wins.
 
 Symbols are lower-cased letters; runs of anything else are one space. A text is parsed in pieces of
 ``PIECE`` symbols, each from the automaton's root, so many pieces advance together in array steps; all
-pieces of all of the text count. A symbol that a language never saw ends the phrase before it, or counts as a
-phrase itself after another such symbol.
+pieces of all of the text count. Without a state for them (``charged``), a symbol that a language never saw ends the
+phrase before it, or counts as a phrase itself after another such symbol.
 """
 
 from __future__ import annotations
@@ -87,6 +88,13 @@ def automaton(sequence: list[int], width: int) -> np.ndarray:
     return table.reshape(-1)
 
 
+def charged(table: np.ndarray, width: int) -> np.ndarray:
+    """The table with one more state, to which symbols without a state lead from 0 and from which all go back: a phrase each."""
+    out = np.append(table, np.zeros(width, np.int32))
+    out[:width][table[:width] == 0] = len(table) // width
+    return out
+
+
 def fit(labelled: DataFrame) -> Model:
     """A model from (doc_id, text, lang): a bounded sample per language, its documents in order of their ids' hashes.
 
@@ -109,7 +117,7 @@ def fit(labelled: DataFrame) -> Model:
     letters = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[: ALPHABET - 2]))
     number = {c: i + 2 for i, c in enumerate(letters)}
     parts = [[s for s in symbols(text, number) if s][:SAMPLE_SYMBOLS] for text in samples.values()]
-    return Model(list(samples), letters, [automaton(p, ALPHABET) for p in parts], [max(2, len(p)) for p in parts])
+    return Model(list(samples), letters, [charged(automaton(p, ALPHABET), ALPHABET) for p in parts], [max(2, len(p)) for p in parts])
 
 
 def _lookup(letters: str) -> np.ndarray:
@@ -174,7 +182,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; existing columns of these names are replaced.
 
     A text that is null or has no letter: ``und``, score 0; so has every text under a model without languages.
-    The score is the winner's share of 2 ** -(TEMPER * bits), 0 to 1; of equal languages the first by name wins.
+    The score is the winner's share of 2 ** -(TEMPER * bits), 0 to 1; of equal languages the one with
+    the most labelled text, then the first by name, wins.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     rest = docs.drop("lang_pred", "score")
@@ -183,17 +192,19 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         lookup = _lookup(m.letters)
-        bits = np.array([math.log2(x) for x in m.sizes])
+        bits = math.log2(max([ALPHABET, *m.sizes]))
+        order = sorted(range(len(m.sizes)), key=lambda x: (-m.sizes[x], x))
+        tables, languages = [m.tables[x] for x in order], np.array([m.languages[x] for x in order], object)
         for batch in batches:
             data, at = buffers(batch.column(text))
             for i, j in slices(at, 1 << 22):
                 sym, place, letter = _streams(data, at[i : j + 1], lookup)
                 names, scores = np.full(j - i, "und", object), np.zeros(j - i)
                 if m.languages:
-                    cost = phrases(sym, place, m.tables) * bits
+                    cost = phrases(sym, place, tables) * bits
                     best = cost.argmin(1)
                     share = 1 / np.exp2(-TEMPER * (cost - cost.min(1, keepdims=True))).sum(1)
-                    names[letter] = np.array(m.languages, object)[best[letter]]
+                    names[letter] = languages[best[letter]]
                     scores[letter] = share[letter]
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], [*part.schema.names, "lang_pred", "score"])

@@ -88,3 +88,23 @@ def test_held_out_accuracy(spark):
     model = L.fit(rows.where(~held))
     got = L.identify(rows.where(held), model).select("lang", "lang_pred").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.98 * len(got)
+
+
+def test_a_stray_short_label_wins_no_text(docs):
+    rows = docs([(i, SAMPLES["en"] * 3) for i in range(4)]).union(docs([(10 + i, SAMPLES["de"] * 3) for i in range(4)], lang="de"))
+    rows = rows.union(docs([(20, "ok")], lang="aa")).union(docs([(21, "hello world")], lang="zz"))
+    texts = [("en", SAMPLES["en"]), ("en", "the dog sleeps under the tree"), ("de", SAMPLES["de"]), ("de", "der hund schläft"), ("en", "o")]
+    got = L.identify(docs([(i, t) for i, (_, t) in enumerate(texts)]), L.fit(rows)).select("doc_id", "lang_pred").collect()
+    assert [r.lang_pred for r in sorted(got)][:4] == [lang for lang, _ in texts[:4]]
+    assert sorted(got)[4].lang_pred != "aa"  # of equal costs, the language with more text
+
+
+def test_less_labelled_text_never_lowers_the_cost():
+    import numpy as np
+
+    rng = random.Random(5)
+    train = [rng.randrange(1, 9) for _ in range(400)]
+    text = np.array([rng.randrange(10) for _ in range(1500)], np.uint8)
+    tables = [L.charged(L.automaton(train[:n], L.ALPHABET), L.ALPHABET) for n in (1, 2, 5, 20, 100, 400)]
+    cost = L.phrases(text, np.array([0, len(text)]), tables)[0].tolist()
+    assert cost == sorted(cost, reverse=True)
