@@ -212,7 +212,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return rest.mapInArrow(label, schema)
 
 
-def identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """The rows whose language is found with a score of at least ``least``; the columns stay as they are."""
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose language is found, at any score; the columns stay as they are."""
     held = docs.select(F.struct("*").alias("row"), F.col("text"))
-    return identify(held, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    return identify(held, model).where(F.col("lang_pred") != "und").select("row.*")

@@ -108,3 +108,11 @@ def test_less_labelled_text_never_lowers_the_cost():
     tables = [L.charged(L.automaton(train[:n], L.ALPHABET), L.ALPHABET) for n in (1, 2, 5, 20, 100, 400)]
     cost = L.phrases(text, np.array([0, len(text)]), tables)[0].tolist()
     assert cost == sorted(cost, reverse=True)
+
+
+def test_short_clean_texts_stay_whatever_the_number_of_languages(docs, model):
+    rows = docs([(i, SAMPLES["en"]) for i in range(4)])
+    for lang in ("de", "fr", "it", "nl", "sv"):
+        rows = rows.union(docs([(10, SAMPLES["en"])], lang=lang))
+    given = docs([(1, "the"), (2, "A"), (3, "1 !")])
+    assert sorted(r.doc_id for r in L.identified(given, L.fit(rows)).collect()) == [1, 2]
