@@ -5,12 +5,14 @@ out). Cut into k + 1 pieces, at least one piece then occurs unchanged. All piece
 (Aho-Corasick over the normalised text); around each hit Myers' bit-parallel algorithm, one step per word, gives
 the least distance of the item to any part of the text.
 
-Words are runs of letters, digits and underscores, lower-cased.
+Words are runs of letters, digits and underscores, lower-cased; a letter of a script that is written without spaces between
+words (Chinese, Japanese, Thai, Lao, Khmer, Burmese) is a word of its own. Items too short for an edit must occur unchanged.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -19,12 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PERCENT = 20
-#: Items with fewer words are no evidence and are not looked for.
-LEAST_WORDS = 5
+#: Items with fewer words are not looked for; 1: all items with a word are.
+LEAST_WORDS = 1
+#: Letters of scripts without spaces between words, as ranges of code points (fixed values).
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 #: Characters of items that one pass over the texts holds; more items mean more passes.
 PASS_CHARS = 8 << 20
 
-_TOKEN = re.compile(r"\w+")
+_TOKEN = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
+#: The index a worker process made last, by the name of its pass.
+_MADE: dict[str, Index] = {}
 
 
 def words(text: str | None) -> list[str]:
@@ -133,12 +139,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, least
     """doc_id, item_id, distance, end_word: every occurrence within budget, the best of each text and item.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns are not read. Null and empty
-    texts and items match nothing, nor do items of fewer than ``least`` words or with a null id. A repeated
-    document is reported for each of its rows, a repeated item once. Ties: the first end.
+    texts and items match nothing, nor do items of fewer than ``least`` words or with a null id. Rows of one doc_id are one
+    document, and so are rows with a null one: of each item its best match is reported once. So is a repeated item. Ties: the
+    first end.
     """
     spark, out = docs.sparkSession, None
     for index in _passes(benchmark, percent, least):
-        shared = spark.sparkContext.broadcast((index.items, percent))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, index.items, percent))
 
         def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _rebuilt(*shared.value)
@@ -157,15 +164,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, least
     )
 
 
-def _rebuilt(items: list[tuple[int, list[str]]], percent: int) -> Index:
-    return Index([(i, " ".join(w)) for i, w in items], percent, 1)
+def _rebuilt(name: str, items: list[tuple[int, list[str]]], percent: int) -> Index:
+    """The index of a pass, made once in a worker process."""
+    if name not in _MADE:
+        _MADE.clear()
+        _MADE[name] = Index([(i, " ".join(w)) for i, w in items], percent, 1)
+    return _MADE[name]
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, least: int = LEAST_WORDS) -> DataFrame:
     """The rows of ``docs`` in which no item occurs, with their columns as they are."""
     spark, schema = docs.sparkSession, docs.schema
     for index in _passes(benchmark, percent, least):
-        shared = spark.sparkContext.broadcast((index.items, percent))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, index.items, percent))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = _rebuilt(*shared.value)

@@ -5,16 +5,15 @@ piece that occurs in the labelled text, then the next. Phrases times log2 of one
 longest labelled one, is the cost; a symbol that a language never saw costs a phrase of its own. So less labelled text
 can only raise a language's cost. The language with the least wins.
 
-Symbols are lower-cased letters; runs of anything else are one space. A text is parsed in pieces of
-``PIECE`` symbols, each from the automaton's root, so many pieces advance together in array steps; all
-pieces of all of the text count. Without a state for them (``charged``), a symbol that a language never saw ends the
-phrase before it, or counts as a phrase itself after another such symbol.
+Symbols are the bytes (UTF-8) of lower-cased letters; runs of anything else are one space. So every letter of every
+script counts. A text is parsed in pieces of ``PIECE`` symbols, each from the automaton's root, so many pieces
+advance together in array steps; all pieces of all of the text count. A symbol that a language never saw ends the
+phrase before it, or counts as a phrase itself after another such symbol (``charged``).
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,35 +26,39 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import buffers, slices
 
 PIECE = 512
-#: The fit's bounds: documents per language, characters taken of each, symbols per language, letters told apart.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, ALPHABET = 64, 2048, 24_000, 64
+#: The fit's bounds: labelled documents of a language, symbols of them all, and the stretches that a document's share is
+#: taken from, spread evenly from its first to its last symbol.
+SAMPLE_DOCS, SAMPLE_SYMBOLS, STRETCHES = 64, 32_000, 4
 #: Languages a model can hold; the labelled column may not have more values.
 MOST_LANGUAGES = 256
 #: Share of the difference in bits that counts for the score.
 TEMPER = 0.1
+SPACE = 32
+
+
+@dataclass(frozen=True)
+class Table:
+    """An automaton's transitions, each state's row laid over the others where they have none: the target of ``state`` by ``s``
+    is ``target[base[state] + s]`` if ``owner`` has the state there. The root is 0 and never a target."""
+
+    base: np.ndarray
+    owner: np.ndarray
+    target: np.ndarray
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        at = self.base[state] + symbol
+        return np.where(self.owner[at] == state, self.target[at], 0)
 
 
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    letters: str  # symbol s >= 2 is letters[s - 2]; 1 is the space, 0 a letter that no sample has
-    tables: list[np.ndarray]  # next state by state and symbol; 0: none (the root is 0 and is never a target)
+    tables: list[Table]
     sizes: list[int]
 
 
-def symbols(text: str, number: dict[str, int]) -> list[int]:
-    """The symbols of a text (plain form, for the fit)."""
-    out = []
-    for c in text:
-        if c.isalpha():
-            out.append(number.get(c.lower(), 0))
-        elif out and out[-1] != 1:
-            out.append(1)
-    return out
-
-
-def automaton(sequence: list[int], width: int) -> np.ndarray:
-    """The suffix automaton of a sequence as a dense table: every substring, and nothing else, leads from 0."""
+def automaton(sequence: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton of a sequence: every substring, and nothing else, leads from 0. By state, the next by symbol."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for s in sequence:
@@ -81,52 +84,95 @@ def automaton(sequence: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.zeros((len(nxt), width), np.int32)
-    for state, to in enumerate(nxt):
-        for s, t in to.items():
-            table[state, s] = t
-    return table.reshape(-1)
+    return nxt
 
 
-def charged(table: np.ndarray, width: int) -> np.ndarray:
-    """The table with one more state, to which symbols without a state lead from 0 and from which all go back: a phrase each."""
-    out = np.append(table, np.zeros(width, np.int32))
-    out[:width][table[:width] == 0] = len(table) // width
-    return out
+def charged(states: list[dict[int, int]], width: int = 256) -> list[dict[int, int]]:
+    """With one more state, to which symbols without a state lead from 0 and from which all go back: a phrase each."""
+    return [{s: states[0].get(s, len(states)) for s in range(width)}, *states[1:], {}]
+
+
+def laid(states: list[dict[int, int]], width: int = 256) -> Table:
+    """The transitions as a table: the fullest rows first, each at the first place where it fits."""
+    base = np.zeros(len(states), np.int32)
+    owner: list[int] = [-1] * (width + 2 * sum(map(len, states)) + 4 * width)
+    target = [0] * len(owner)
+    taken = [False] * len(owner)
+    free = 0
+    for state in sorted(range(len(states)), key=lambda x: (-len(states[x]), x)):
+        row = states[state]
+        if not row:
+            continue
+        least, rest = min(row), [s for s in row]
+        while taken[free]:
+            free += 1
+        place = max(0, free - least)
+        while any(taken[place + s] for s in rest):
+            place += 1
+        base[state] = place
+        for s, to in row.items():
+            owner[place + s], target[place + s], taken[place + s] = state, to, True
+        if place + 2 * width >= len(owner) - width:
+            more = len(owner)
+            owner += [-1] * more
+            target += [0] * more
+            taken += [False] * more
+    end = max((i for i, x in enumerate(taken) if x), default=0) + width + 1
+    end = max(end, int(base.max(initial=0)) + width)
+    return Table(base, np.array(owner[:end], np.int32), np.array(target[:end], np.int32))
+
+
+def spread(stream: bytes, share: int, stretches: int = STRETCHES) -> bytes:
+    """``share`` symbols of a stream in stretches from its beginning to its end; a shorter stream whole."""
+    if len(stream) <= share:
+        return stream
+    size = max(1, share // stretches)
+    starts = [i * (len(stream) - size) // max(1, stretches - 1) for i in range(stretches)]
+    return bytes([SPACE]).join(stream[x : x + size] for x in starts)
 
 
 def fit(labelled: DataFrame) -> Model:
-    """A model from (doc_id, text, lang): a bounded sample per language, its documents in order of their ids' hashes.
+    """A model from (doc_id, text, lang): a bounded sample per language.
 
-    Rows without text or language are not used. Of each of SAMPLE_DOCS documents of a language SAMPLE_CHARS
-    characters are taken, then SAMPLE_SYMBOLS symbols of all. An empty table gives a model without languages.
+    Rows without lang or a letter in their text are not used. The sample is ``SAMPLE_DOCS`` rows of a language, in order of their
+    ids' hashes, and ``SAMPLE_SYMBOLS`` symbols, shared evenly by these rows; what a short text leaves goes to no other.
+    Whole texts are read, and a longer one gives stretches from its first to its last symbol. An empty table gives a model without languages.
     """
     order = Window.partitionBy("lang").orderBy("h", "text")
-    rows = (
-        labelled.where("lang is not null and text is not null")
-        .select("lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    chosen = (
+        labelled.where("lang is not null").where(F.col("text").rlike(r"\p{L}"))
+        .select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text")
         .withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
-        .groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "text"))).alias("texts"))
-        .limit(MOST_LANGUAGES + 1).collect()
-    )
+        .withColumn("docs", F.count("*").over(Window.partitionBy("lang")))
+    )
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = _lookup()
+        for batch in batches:
+            data, at = buffers(batch.column("text"))
+            parts = []
+            for i, share in enumerate(batch.column("docs").to_pylist()):
+                sym, _, letter = _streams(data, at[i : i + 2], lookup)
+                parts.append(spread(sym.tobytes(), SAMPLE_SYMBOLS // share) if letter[0] else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), pa.array(parts, pa.binary())], ["lang", "place", "part"])
+
+    # At most MOST_LANGUAGES samples of about SAMPLE_SYMBOLS bytes come to the driver.
+    rows = (
+        chosen.select("lang", "place", "docs", "text").mapInArrow(cut, "lang string, place int, part binary").where(F.length("part") > 0)
+        .groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "part"))).alias("parts")).limit(MOST_LANGUAGES + 1).collect()
+    )
     if len(rows) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    samples = {r.lang: " ".join(t.text for t in r.texts) for r in rows}
-    samples = {lang: text for lang, text in sorted(samples.items()) if any(c.isalpha() for c in text)}
-    seen = Counter(c.lower() for text in samples.values() for c in text if c.isalpha() and len(c.lower()) == 1)
-    letters = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[: ALPHABET - 2]))
-    number = {c: i + 2 for i, c in enumerate(letters)}
-    parts = [[s for s in symbols(text, number) if s][:SAMPLE_SYMBOLS] for text in samples.values()]
-    return Model(list(samples), letters, [charged(automaton(p, ALPHABET), ALPHABET) for p in parts], [max(2, len(p)) for p in parts])
-
-
-def _lookup(letters: str) -> np.ndarray:
-    """Symbol of each code point up to U+FFFF; 255 for what isn't a letter."""
-    number = {c: i + 2 for i, c in enumerate(letters)}
-    out = np.full(1 << 16, 255, np.uint8)
+    samples = {r.lang: bytes([SPACE]).join(bytes(x.part) for x in r.parts) for r in sorted(rows)}
+    return Model(list(samples), [laid(charged(automaton(list(x)))) for x in samples.values()], [max(2, len(x)) for x in samples.values()])
+
+
+def _lookup() -> np.ndarray:
+    """The lower-cased letter of each code point up to U+FFFF; a space for what isn't a letter."""
+    out = np.full(1 << 16, SPACE, np.uint32)
     for c in range(1 << 16):
         if (ch := chr(c)).isalpha():
-            out[c] = number.get(ch.lower(), 0)
+            out[c] = ord(low) if len(low := ch.lower()) == 1 else c
     return out
 
 
@@ -135,20 +181,21 @@ def _streams(data: np.ndarray, at: np.ndarray, lookup: np.ndarray) -> tuple[np.n
     raw = data[at[0] : at[-1]]
     starts = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[at - at[0]]
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
-    sym = lookup[np.minimum(points, 0xFFFF)]
+    letters = lookup[np.minimum(points, 0xFFFF)]
     for i in np.flatnonzero(points > 0xFFFF):
-        sym[i] = 0 if chr(points[i]).isalpha() else 255
-    space = sym == 255
+        letters[i] = points[i] if chr(points[i]).isalpha() else SPACE
+    space = letters == SPACE
     before = np.concatenate([[True], space[:-1]])
-    before[starts[:-1][starts[:-1] < len(sym)]] = True
+    before[starts[:-1][starts[:-1] < len(letters)]] = True
     keep = ~(space & before)  # of a run of spaces the first stays; none at a text's start
-    place = np.concatenate([[0], np.cumsum(keep)])
+    size = 1 + (letters > 0x7F) + (letters > 0x7FF) + (letters > 0xFFFF)
+    place = np.concatenate([[0], np.cumsum(np.where(keep, size, 0))])
     letter = np.concatenate([[0], np.cumsum(~space)])
-    sym = np.where(space, 1, sym).astype(np.uint8)[keep]
+    sym = np.frombuffer(letters[keep].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
     return sym, place[starts], np.diff(letter[starts]) > 0
 
 
-def phrases(sym: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+def phrases(sym: np.ndarray, at: np.ndarray, tables: list[Table]) -> np.ndarray:
     """Number of phrases of each text under each table."""
     n = len(at) - 1
     pieces = -(-np.diff(at) // PIECE)
@@ -165,11 +212,11 @@ def phrases(sym: np.ndarray, at: np.ndarray, tables: list[np.ndarray]) -> np.nda
     active = np.searchsorted(-size, -np.arange(int(size[0])), "left")  # pieces longer than t
     for k, table in enumerate(tables):
         state, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int32)
-        root = table[:ALPHABET]
+        root = table(np.zeros(256, np.int32), np.arange(256, dtype=np.int32))
         for t in range(int(size[0])):
             a = active[t]
             s = grid[t, :a]
-            to = table[state[:a] * ALPHABET + s]
+            to = table(state[:a], s)
             miss = to == 0
             count[:a] += miss
             state[:a] = np.where(miss, root[s], to)
@@ -191,8 +238,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        lookup = _lookup(m.letters)
-        bits = math.log2(max([ALPHABET, *m.sizes]))
+        lookup = _lookup()
+        bits = math.log2(max([256, *m.sizes]))
         order = sorted(range(len(m.sizes)), key=lambda x: (-m.sizes[x], x))
         tables, languages = [m.tables[x] for x in order], np.array([m.languages[x] for x in order], object)
         for batch in batches:

@@ -6,8 +6,8 @@ shortage goes to its siblings by their weights, and only what a whole family lac
 family's siblings. That is water filling at every node, under the capacities of whole subtrees.
 
 A leaf takes full passes over its documents and then a prefix of one more pass, in an order seeded by the
-pass. The prefix ends at the document in which the budget is used up; that document is given whole and the tokens
-that count are in ``taken``.
+pass. The prefix ends inside the document in which the budget is used up: ``draw`` gives that document whole with the
+number of its tokens that count, ``within_budget`` cuts its text there.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import SPACE, WORD, stored
 
 #: What a null counts as in a level's column.
 NONE = "(none)"
@@ -117,7 +117,12 @@ def plan(docs: DataFrame, tree: dict[str, Column], weights: dict[tuple, int], se
 
 
 def draw(docs: DataFrame, leaves: DataFrame, tree: dict[str, Column], seed: int) -> DataFrame:
-    """``docs`` as a struct ``row`` with the levels and ``epoch``, once for each pass that takes it, and ``last_taken`` for a prefix's last."""
+    """``docs`` as a struct ``row`` with the levels and ``epoch``, once for each pass that takes it, and ``last_taken`` for a prefix's last.
+
+    Columns of ``docs`` may have any names, also those of the levels. Rows of one doc_id (null ids too) have one place in a
+    pass and are taken together, each once; ``last_taken`` holds for each of them. Null and empty texts are taken with the
+    passes of their leaf. An empty table, or a plan without leaves, gives no rows.
+    """
     names = [F.coalesce(c.cast("string"), F.lit(NONE)).alias(name) for name, c in tree.items()]
     keyed = docs.select(F.struct("*").alias("row"), *names).join(leaves.select(*tree, "passes", "last_key", "last_taken"), list(tree))
     keyed = keyed.withColumn("key", pass_key(seed, F.col("passes"), "row.doc_id"))
@@ -127,3 +132,16 @@ def draw(docs: DataFrame, leaves: DataFrame, tree: dict[str, Column], seed: int)
         "row", *tree, F.explode(F.sequence(F.lit(0).cast("long"), turns - 1)).alias("epoch"), "passes",
         F.when(F.col("key") == F.col("last_key"), F.col("last_taken")).alias("last_taken"),
     )
+
+
+def within_budget(drawn: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``draw`` with the text in ``row`` cut after the word in which the leaf's budget is used up.
+
+    Only the last document of a leaf's last pass is cut, in that pass; white space before its words stays as it is. With one
+    row for each doc_id the words of a leaf's rows are then its budget.
+    """
+    whole = F.col("row")[text]
+    words = F.regexp_extract_all(whole, F.lit(rf"[{SPACE}]*[^{SPACE}]+"), F.lit(0))
+    last = (F.col("epoch") == F.col("passes")) & F.col("last_taken").isNotNull()
+    cut = F.when(last, F.array_join(F.slice(words, F.lit(1), F.col("last_taken").cast("int")), "")).otherwise(whole)
+    return drawn.withColumn("row", F.col("row").withField(text, cut))

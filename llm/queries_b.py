@@ -97,8 +97,8 @@ r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS
 p AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(3) t(k) GROUP BY 1),
 x AS (SELECT doc_id, host, unnest(l) AS l FROM w),
 y AS (SELECT doc_id, host, trim(translate(regexp_replace(l, '[{_SPACES}]+', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ') AS line, len(regexp_extract_all(l, '[^{_SPACES}]+')) AS words FROM x),
-hosts AS (SELECT host, greatest({quality_rules.LINE_DOCS}, count(*) // {quality_rules.HOST_SHARE}) AS most FROM d GROUP BY 1),
-o AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT doc_id) AS n FROM y GROUP BY ALL) JOIN hosts USING (host) WHERE n > most),
+hosts AS (SELECT host, least(greatest({quality_rules.LINE_DOCS}, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) // {quality_rules.HOST_SHARE}), {quality_rules.LINE_MOST}) AS most FROM d GROUP BY 1),
+o AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) AS n FROM y GROUP BY ALL) JOIN hosts USING (host) WHERE n > most),
 gone AS (SELECT doc_id, sum(words) AS words FROM y SEMI JOIN o USING (host, line) GROUP BY 1),
 m AS (SELECT w.doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[{_SPACES}]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -2,7 +2,7 @@
 
 Fit, on a bounded sample of labelled rows: a word's log-odds between toxic and other texts under an informative
 Dirichlet prior (the words' own frequencies), less ``BOUND`` standard errors, is its weight if that is positive;
-every other word weighs ``-DRIFT``. A text's maximal segments (Ruzzo and Tompa, linear time) are its
+every other word weighs ``-drift``, ``DRIFT`` or as much more as the background needs. A text's maximal segments (Ruzzo and Tompa, linear time) are its
 candidate passages. Under the background of texts not labelled toxic, N words hold about K N exp(-lambda S)
 segments of at least S: lambda solves the background's moment equation, K matches the segments counted there. A
 passage is significant if that number is below ``MOST_EXPECTED``. A text's evidence is the sum over its
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Bounds of the fit: labelled rows, in order of their ids' hashes, and words with a weight.
-SAMPLE_ROWS, SAMPLE_WORDS = 20_000, 4096
+#: The fit's bound: labelled rows, in order of their ids' hashes. Every word of theirs may have a weight.
+SAMPLE_ROWS = 20_000
 #: The prior's weight as a share of the texts counted.
 PRIOR, BOUND, DRIFT, MOST_EXPECTED = 0.05, 3.0, 0.1, 0.05
 
@@ -39,6 +39,7 @@ class Model:
     scale: float = 1.0  # K
     base: float = -3.0  # the curve: base + slope * evidence
     slope: float = 0.0
+    drift: float = DRIFT  # what a word without a weight costs
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -65,7 +66,7 @@ def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(a, b, z - y) for a, b, y, z, _ in found]
 
 
-def passages(text: str | None, weights: dict[str, float]) -> tuple[int, int, list[tuple[int, int, float]]]:
+def passages(text: str | None, weights: dict[str, float], drift: float = DRIFT) -> tuple[int, int, list[tuple[int, int, float]]]:
     """Words, words with a weight, and the maximal segments in words."""
     words = _TOKEN.findall(text.lower()) if text else []
     hits = [i for i, w in enumerate(words) if w in weights]
@@ -73,7 +74,7 @@ def passages(text: str | None, weights: dict[str, float]) -> tuple[int, int, lis
     scores, places, last = [], [], None
     for i in hits:
         if last is not None and i > last + 1:
-            scores.append(-DRIFT * (i - last - 1))
+            scores.append(-drift * (i - last - 1))
             places.append((last + 1, i))
         scores.append(weights[words[i]])
         places.append((i, i + 1))
@@ -142,23 +143,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     words = sample.mapInArrow(count, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     best = (
         words.where("a > 0").withColumn("weight", odds - BOUND * F.sqrt(1 / pa_ + 1 / pb)).where("weight > 0")
-        .orderBy(F.desc("weight"), "word").limit(SAMPLE_WORDS).select("word", "weight", "b").collect()
+        .orderBy(F.desc("weight"), "word").select("word", "weight", "b").collect()  # words of SAMPLE_ROWS texts at most
     )
     n = sample.where("toxic <= 0").agg(F.sum(F.regexp_count("text", F.lit(r"(?U)\w+"))).alias("n")).first().n or 0
-    # The heaviest words, as long as a word of the background costs at least half the drift on average.
-    weights, chance, gain = {}, {}, 0.0
-    for r in best:
-        p = (r.b + 0.5) / (n + 1)
-        gain += p * r.weight
-        if gain > DRIFT / 2:
-            break
-        weights[r.word], chance[r.word] = r.weight, p
+    weights = {r.word: r.weight for r in best}
+    chance = {r.word: (r.b + 0.5) / (n + 1) for r in best}
     if not weights:
         return Model(base=-math.log((nb + 1) / (na + 1)))
+    # A word of the background costs at least half the drift on average, else segments would grow without end.
+    drift = max(DRIFT, 2 * sum(p * weights[w] for w, p in chance.items()))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [passages(t, weights) for t in batch.column("text").to_pylist()]
+            got = [passages(t, weights, drift) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic"), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([[s for *_, s in x[2]] for x in got], pa.list_(pa.float64()))],
                 ["toxic", "n", "hits", "scores"],
@@ -166,11 +163,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     rows = sample.mapInArrow(measure, "toxic int, n long, hits long, scores array<double>").collect()  # SAMPLE_ROWS at most
     clean = [r for r in rows if r.toxic <= 0]
-    n, rest = sum(r.n for r in clean), 1 - sum(chance.values())
+    n, rest = sum(r.n for r in clean), max(0.0, 1 - sum(chance.values()))
     low, high = 1e-6, 50.0
     for _ in range(200):  # the positive root of the sum over words of chance * e^(x weight) + rest * e^(-x drift) = 1
         x = (low + high) / 2
-        sums = sum(p * math.exp(min(500.0, x * weights[w])) for w, p in chance.items()) + rest * math.exp(-x * DRIFT)
+        sums = sum(p * math.exp(min(500.0, x * weights[w])) for w, p in chance.items()) + rest * math.exp(-x * drift)
         low, high = (x, high) if sums < 1 else (low, x)
     rate, least = low, min(weights.values())
     seen = sum(s >= least for r in clean for s in r.scores) + 0.5
@@ -188,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         b, k = b + float(np.clip(step[0], -2, 2)), max(0.0, k + float(np.clip(step[1], -2, 2)))
         if abs(step).max() < 1e-9:
             break
-    return Model(weights, rate, scale, b, k)
+    return Model(weights, rate, scale, b, k, drift)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -207,7 +204,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores, found = [], []
             for t in batch.column("text"):
                 text = (t.as_py() or "").lower()
-                n, _, segs = passages(text, m.weights) if possible(text) else (0, 0, [])
+                n, _, segs = passages(text, m.weights, m.drift) if possible(text) else (0, 0, [])
                 x, kept = evidence(n, segs, m) if segs else (0.0, [])
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, m.base + m.slope * min(50.0, x))))))
                 found.append([dict(zip(("first", "end", "score", "expected"), p)) for p in kept])

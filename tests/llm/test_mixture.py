@@ -46,3 +46,18 @@ def test_odd_rows(spark):
     assert drawn(spark, [], {}) == ({}, [])
     with pytest.raises(ValueError):
         drawn(spark, rows, {("a",): 0})
+
+
+@pytest.mark.parametrize("target", [None, 200, 777])
+def test_words_within_budget_are_the_budget(spark, target):
+    rows, weights = corpus(5, 120), {("a",): 1, ("b",): 5}
+    df = spark.createDataFrame(rows, "doc_id long, text string, dom string, lang string")
+    tree = {"domain": F.col("dom"), "language": F.col("lang")}
+    leaves = M.plan(df, tree, weights, 3, target)
+    got = M.within_budget(M.draw(df, leaves, tree, 3)).select("domain", "language", "epoch", "row.doc_id", "row.text").collect()
+    taken = {}
+    for r in got:
+        taken[r.domain, r.language] = taken.get((r.domain, r.language), 0) + len((r.text or "").split())
+    assert taken == {(r.domain, r.language): r.budget for r in leaves.collect() if r.budget}
+    text = {i: t for i, t, *_ in rows}
+    assert all(text[r.doc_id].startswith(r.text) for r in got) and sum(r.text != text[r.doc_id] for r in got) <= leaves.count()

@@ -9,7 +9,7 @@ def paragraph(n, seed):
     return corpus(seed, 1, 1, 0)[0][1] if n is None else " ".join(f"p{seed}x{i}" for i in range(n))
 
 
-def want(rows, least=20):
+def want(rows, least=P.LEAST_WORDS):
     units = {(i, j): line for i, t in rows for j, line in enumerate((t or "").split("\n")) if len(WORD.findall(line)) >= least}
     names = {u: n for n, u in enumerate(sorted(units))}
     root = plain([(names[u], line) for u, line in units.items()], 5, 80)
@@ -60,5 +60,5 @@ def test_no_rows(docs):
 def test_short_lines_are_compared_down_to_the_shingle_size(docs):
     rows = [(1, "accept all cookies to continue\n" + paragraph(4, 1)), (2, f"{paragraph(4, 1)}\nAccept all cookies to continue\n{paragraph(30, 2)}"), (3, paragraph(19, 3)), (4, paragraph(19, 3))]
     got = result(P.repeats(docs(rows)))
-    assert got == want(rows, least=5)
+    assert got == want(rows)
     assert got == {(1, 0): ((1, 0), False), (2, 1): ((1, 0), True), (3, 0): ((3, 0), False), (4, 0): ((3, 0), True)}

@@ -60,10 +60,10 @@ ASCII = str.maketrans(U.UPPER, U.LOWER)
 
 
 def measured(rows):
-    hosts = Counter(h or "" for _, _, h in rows)
+    hosts = Counter(h for h, _ in {(h or "", i) for i, _, h in rows})
     lines = lambda t: [x for x in (t or "").split("\n") if WORD.search(x)]
     norm = lambda x: " ".join(WORD.findall(x)).translate(ASCII)
-    seen = Counter((h or "", x) for _, t, h in rows for x in {norm(x) for x in lines(t)})
+    seen = Counter((h, x) for h, x, _ in {(h or "", norm(x), i) for i, t, h in rows for x in lines(t)})
     out = []
     for i, t, h in rows:
         w, text = WORD.findall(t or ""), t or ""
@@ -90,3 +90,14 @@ def test_quality_equals_plain_counts(spark):
     assert sorted(map(tuple, got), key=str) == measured(rows)
     assert Q.judge(df).count() == len(rows) and Q.judge(df.limit(0)).count() == 0
     assert {r[8] for r in measured(rows)} == {True, False} and any(r[7] < r[1] for r in measured(rows))
+
+
+def test_rows_of_one_document_count_once(spark):
+    shared = " ".join(f"shared{i}" for i in range(60))
+    rows = [(i, shared + "\n" + " ".join(f"own{i}x{j}" for j in range(20)), "h") for i in range(8)]
+    rows += [rows[0]] * 15 + [(None, shared, "h")] * 9
+    rows += [(i, "\n".join(["one line that twenty-five have", shared, f"mine {i}"]), "g") for i in range(25)]
+    got = Q.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = sorted(map(tuple, got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_left", "kept").collect()), key=str)
+    assert got == measured(rows)
+    assert all(r[7] == r[1] for r in got if r[1] != 67) and all(r[7] < r[1] for r in got if r[1] == 67)
