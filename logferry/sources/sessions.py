@@ -9,16 +9,36 @@ from ..functions.jsontext import items_at, text_at, true_at
 from ..functions.let import let
 from ..functions.paths import encoded_folder, file_name
 from ..functions.text import session_id_of, strip_intro
+from ..session import cut_lineage
 
 KEYS = ["project_id", "session_id"]
 
 
-def read_numbered(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """``file, line_no, raw, is_last, complete, modified`` of JSON-lines files, blank lines included.
+#: Rows of a one-row-a-split or one-row-a-file table up to which it is sent to every executor (some 200 bytes each).
+SMALL_ROWS = 200_000
 
-    Files are read in splits, so one file may be larger than a task's memory. A line's number is
-    its position within its split plus the lines of earlier splits. ``complete`` tells whether the
-    file ends with a new line: then its lines plus one byte each add up to its size.
+
+def _with_small(rows: DataFrame, table: DataFrame, on: list[str], limit: int | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each split or file.
+
+    The table is written and counted first: up to ``SMALL_ROWS`` rows it is broadcast and ``rows``,
+    which hold the texts, stay where they were read; a larger one is joined by a shuffle.
+    """
+    table = cut_lineage(table)
+    few = table.count() <= (SMALL_ROWS if limit is None else limit)
+    return rows.join(F.broadcast(table) if few else table, on, how)
+
+
+def read_numbered(spark: SparkSession, path: str, limit: int | None = None, **options: str) -> DataFrame:
+    """``file, line_no, raw, complete, modified, _last`` of JSON-lines files, blank lines included.
+
+    Files are read in splits, so one file may be larger than a task's memory. A first pass makes one
+    row a split: its number of lines and where its task began to count them. A line's number is its
+    place after that plus the lines of the file's earlier splits, so no text is shuffled. The second
+    pass must meet the same splits in the same tasks; where a line's place lies outside its split's
+    lines, or its split has no row, the job fails instead of giving wrong numbers.
+    ``complete`` tells whether the file ends with a new line: then its lines plus one byte each add
+    up to its size. ``_last`` is the number of the last line that is not blank.
     """
     rows = (
         spark.read.options(lineSep="\n", **options)
@@ -26,49 +46,56 @@ def read_numbered(spark: SparkSession, path: str, **options: str) -> DataFrame:
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("split"),
+            F.col("_metadata.file_block_length").alias("length"),
             F.col("_metadata.file_size").alias("size"),
             F.col("_metadata.file_modification_time").alias("modified"),
-            F.col("value"),
+            F.regexp_replace("value", r"\r\z", "").alias("raw"),
+            F.octet_length("value").alias("bytes"),
             F.monotonically_increasing_id().alias("seq"),
         )
+        .withColumn("task", F.shiftright("seq", 33))
     )
+    key = ["file", "split", "length", "task"]
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
+    filled = F.length(F.trim("raw")) > 0
+    offset = F.coalesce(F.sum("n").over(earlier), F.lit(0))
     splits = (
-        rows.groupBy("file", "split")
+        rows.groupBy(*key)
         .agg(
             F.count("*").alias("n"),
-            F.sum(F.octet_length("value") + 1).alias("bytes"),
+            F.min("seq").alias("first"),
+            F.max(F.when(filled, F.col("seq"))).alias("filled"),
+            F.sum(F.col("bytes") + 1).alias("bytes"),
             F.first("size").alias("size"),
         )
+        .withColumn("offset", offset)
         .select(
-            "file",
-            "split",
-            F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"),
-            F.sum("n").over(whole).alias("total"),
+            *key,
+            "n",
+            "first",
+            "offset",
+            F.max(F.col("offset") + F.col("filled") - F.col("first")).over(whole).alias("_last"),
             # A byte-order mark (3 bytes) is not part of the first line.
             (F.col("size") - F.sum("bytes").over(whole)).isin(0, 3).alias("complete"),
         )
     )
-    within = Window.partitionBy("file", "split").orderBy("seq")
-    return (
-        rows.withColumn("_n", F.row_number().over(within) - 1)
-        .join(splits, ["file", "split"])
-        .select(
-            "file",
-            (F.col("offset") + F.col("_n")).alias("line_no"),
-            F.regexp_replace("value", r"\r\z", "").alias("raw"),
-            (F.col("offset") + F.col("_n") + 1 == F.col("total")).alias("_is_end"),
-            "complete",
-            "modified",
-        )
+    place = F.col("seq") - F.col("first")
+    moved = F.raise_error(F.concat(F.col("file"), F.lit(": its splits changed between two passes"))).cast("bigint")
+    return _with_small(rows, splits, key, limit, "left").select(
+        "file",
+        F.when((place >= 0) & (place < F.col("n")), F.col("offset") + place).otherwise(moved).alias("line_no"),
+        "raw",
+        "complete",
+        "modified",
+        "_last",
     )
 
 
 def parsed(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good lines with ``v``, bad lines). Blank lines go; an unfinished last line is not bad."""
     rows = _judged(numbered)
-    good = rows.where(F.col("v").isNotNull()).drop("_bad", "complete", "_is_end")
+    good = rows.where(F.col("v").isNotNull()).drop("_bad", "complete", "_last")
     bad = rows.where("_bad").select("file", (F.col("line_no") + 1).alias("line"), "raw", F.lit("not valid JSON").alias("problem"))
     return good, bad
 
@@ -78,20 +105,14 @@ def parsed_or_fail(numbered: DataFrame) -> DataFrame:
     rows = _judged(numbered)
     where = F.concat(F.col("file"), F.lit(" line "), (F.col("line_no") + 1).cast("string"), F.lit(": not valid JSON"))
     keep = F.when(F.col("_bad"), F.raise_error(where).cast("boolean")).otherwise(F.col("v").isNotNull())
-    return rows.where(keep).drop("_bad", "complete", "_is_end")
+    return rows.where(keep).drop("_bad", "complete", "_last")
 
 
 def _judged(numbered: DataFrame) -> DataFrame:
     rows = numbered.where(F.length(F.trim("raw")) > 0)
     # Blank lines may follow the last real one: unfinished means nothing but blanks after it.
-    last = rows.groupBy("file").agg(F.max("line_no").alias("_last"))
     unfinished = ~F.col("complete") & (F.col("line_no") == F.col("_last"))
-    return (
-        rows.join(last, "file")
-        .withColumn("v", F.try_parse_json("raw"))
-        .withColumn("_bad", F.col("v").isNull() & ~unfinished)
-        .drop("_last")
-    )
+    return rows.withColumn("v", F.try_parse_json("raw")).withColumn("_bad", F.col("v").isNull() & ~unfinished)
 
 
 def read_a(spark: SparkSession, home: str) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +148,7 @@ def read_b(spark: SparkSession, home: str) -> tuple[DataFrame, DataFrame]:
     )
     owner = owner.where(F.col("_cwd").isNotNull())
     return (
-        good.join(owner, "file").select(
+        _with_small(good, owner, ["file"]).select(
             encoded_folder(F.col("_cwd")).alias("project_id"),
             session_id_of(stem).alias("session_id"),
             F.lit(V.AGENT_B).alias("agent"),

@@ -56,6 +56,35 @@ def test_lines_are_numbered_and_bad_ones_named(spark, home):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_numbers_over_many_splits_and_packed_files(spark, tmp_path, limit):
+    texts = {f"f{i}.jsonl": "".join(json.dumps({"i": i, "n": n, "pad": "x" * (n * 7 % 41)}) + ("\r\n" if n % 3 else "\n\n") for n in range(i * 9)) for i in range(7)}
+    texts["f1.jsonl"] += '{"half":'  # one more line without its end
+    texts["f2.jsonl"] += " \n \n"
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    want = {(name, n, line.removesuffix("\r")) for name, text in texts.items() for n, line in enumerate(text.removesuffix("\n").split("\n")) if text}
+    for split, open_cost in (("97", "1"), ("4k", "1"), ("128m", "4m")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", open_cost)
+        try:
+            rows = R.read_numbered(spark, str(tmp_path / "*.jsonl"), limit=limit)
+            got = rows.select(F.regexp_extract("file", r"[^/]+\z", 0), "line_no", "raw").collect()
+            assert len(got) == len(want) and {tuple(r) for r in got} == want
+            ends = {r[0]: (r[1], r[2]) for r in rows.select(F.regexp_extract("file", r"[^/]+\z", 0), "complete", "_last").distinct().collect()}
+            assert {n for n, (whole, _) in ends.items() if not whole} == {"f1.jsonl"}
+            assert ends["f2.jsonl"][1] == max(n for name, n, line in want if name == "f2.jsonl" and line.strip())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_no_text_is_shuffled_for_numbers(spark, home):
+    for lines, _ in (R.read_a(spark, str(home / "a")), R.read_b(spark, str(home / "b"))):
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_catalog_of_both_agents(spark, home):
     a, _ = R.read_a(spark, str(home / "a"))
     b, _ = R.read_b(spark, str(home / "b"))
