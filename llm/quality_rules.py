@@ -66,7 +66,7 @@ def measured(docs: DataFrame, host: str) -> DataFrame:
     windows = F.when(F.size("w") < 3, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2)))
     )
-    lines = F.transform("l", lambda x: F.struct(bind(normalised(x), key).alias("hash"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("words")))
+    lines = F.transform("l", lambda x: F.struct(bind(normalised(x), lambda line: key(line)).alias("hash"), F.regexp_count(x, F.lit(WORD)).cast("long").alias("words")))
     counted = parts.select(
         "doc_id", "host", key(F.col("doc_id"), F.col("host"), F.col("text")).alias("copy"), F.size("w").cast("long").alias("n_words"),
         F.length(without(F.col("text"), BLANKS)).cast("long").alias("word_chars"),
