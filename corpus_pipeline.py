@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import decontaminate, language_id, ngram_join
+from llm import decontaminate, language_id, mixture, ngram_join
 from llm.common import in_fold, stored
 from llm.queries_a import mixed, token_rows
 
@@ -25,8 +25,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's documents: one row for each pass that takes a document."""
-    return mixed(docs).select("row.*").select(*docs.columns)
+    """The mix's documents: one row for each pass that takes a document; a leaf's last text ends where its budget does."""
+    return mixture.within_budget(mixed(docs)).select("row.*").select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
