@@ -93,30 +93,31 @@ def charged(states: list[dict[int, int]], width: int = 256) -> list[dict[int, in
 
 
 def laid(states: list[dict[int, int]], width: int = 256) -> Table:
-    """The transitions as a table: the fullest rows first, each at the first place where it fits."""
+    """The transitions as a table: the fullest rows first, each where it fits behind the last row of as many transitions.
+
+    A search never goes back, so its steps are at most the table's length times the number of different sizes of rows.
+    """
     base = np.zeros(len(states), np.int32)
     owner: list[int] = [-1] * (width + 2 * sum(map(len, states)) + 4 * width)
     target = [0] * len(owner)
     taken = [False] * len(owner)
-    free = 0
+    seek: dict[int, int] = {}  # by size of row, where the least symbol of its last one stands
     for state in sorted(range(len(states)), key=lambda x: (-len(states[x]), x)):
         row = states[state]
         if not row:
             continue
-        least, rest = min(row), [s for s in row]
-        while taken[free]:
-            free += 1
-        place = max(0, free - least)
+        least, rest = min(row), list(row)
+        place = seek.get(len(row), width) - least
         while any(taken[place + s] for s in rest):
             place += 1
-        base[state] = place
+            if place + 2 * width >= len(owner):
+                more = len(owner)
+                owner += [-1] * more
+                target += [0] * more
+                taken += [False] * more
+        base[state], seek[len(row)] = place, place + least
         for s, to in row.items():
             owner[place + s], target[place + s], taken[place + s] = state, to, True
-        if place + 2 * width >= len(owner) - width:
-            more = len(owner)
-            owner += [-1] * more
-            target += [0] * more
-            taken += [False] * more
     end = max((i for i, x in enumerate(taken) if x), default=0) + width + 1
     end = max(end, int(base.max(initial=0)) + width)
     return Table(base, np.array(owner[:end], np.int32), np.array(target[:end], np.int32))
