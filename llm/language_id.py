@@ -184,7 +184,8 @@ def _streams(data: np.ndarray, at: np.ndarray, lookup: np.ndarray) -> tuple[np.n
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
     letters = lookup[np.minimum(points, 0xFFFF)]
     for i in np.flatnonzero(points > 0xFFFF):
-        letters[i] = points[i] if chr(points[i]).isalpha() else SPACE
+        low = chr(points[i]).lower()
+        letters[i] = (ord(low) if len(low) == 1 else points[i]) if chr(points[i]).isalpha() else SPACE
     space = letters == SPACE
     before = np.concatenate([[True], space[:-1]])
     before[starts[:-1][starts[:-1] < len(letters)]] = True
