@@ -54,20 +54,31 @@ SQL_EV = f"""ev AS (SELECT event_id, CAST(user_id AS VARCHAR) AS s, event_type A
 
 
 def events(t: Tables) -> DataFrame:
+    """The events as calls and results. What came before each is worked out once, on the narrow columns that decide it."""
     e = t.events.select(
         F.lit("p").alias("project_id"),
         F.col("user_id").cast("string").alias("session_id"),
         F.col("event_id").alias("line_no"),
         F.col("event_type").alias("k"),
+    )
+    placed = cut_lineage(
+        O.carry_forward(
+            e, KEYS, "line_no",
+            {"prev": F.col("line_no"), "running": F.when(F.col("k").isin("view", "click"), F.col("line_no"))}, before=True,
+        )
+    )
+    named = placed.withColumnRenamed("line_no", "event_id").withColumnRenamed("k", "event_type")
+    return named.select(
+        *KEYS,
+        F.col("event_id").alias("line_no"),
+        F.col("event_type").alias("k"),
         F.expr(CALL_ID).alias("cid"),
         F.expr(TOOL).alias("tool"),
         F.expr(FILE).alias("file"),
         F.expr(SPARK_CMD).alias("cmd"),
         F.expr(SHOWN).alias("shown"),
-    )
-    return O.carry_forward(
-        e, KEYS, "line_no",
-        {"prev": F.col("line_no"), "running": F.when(F.col("k").isin("view", "click"), F.col("line_no"))}, before=True,
+        "prev",
+        "running",
     )
 
 
@@ -350,7 +361,7 @@ KEPT = f"""WITH {SQL_EV}, a AS (SELECT *, 'c' || CAST(running % 13 AS VARCHAR) A
 )
 def cleaned_log(t: Tables) -> DataFrame:
     lines, _ = cleaned_a(t)
-    v = F.try_parse_json("raw")
+    lines, v = lines.withColumn("v", F.try_parse_json("raw")), F.col("v")
     block = "$.message.content[0]"
     texts = [text_at(v, p) for p in ("$.message.content", f"{block}.content", f"{block}.input.file_path", f"{block}.input.command")]
     return lines.select("session_id", "line_no", text_at(v, "$.parentUuid").alias("parent"), F.coalesce(*texts).alias("text"))

@@ -58,12 +58,11 @@ def without_keys(v: Column, path: str, keys: list[str]) -> Column:
 
 def set_members(members: Column, changes: dict[str, Column]) -> Column:
     """``map<string,variant>`` with the JSON text given for some keys put in, where the key is
-    present and the text is not null."""
+    present and the text is not null. Each text is worked out once."""
+    put = lambda json, x: let(json, lambda j: F.when(j.isNotNull(), F.try_parse_json(j)).otherwise(x))
     return F.transform_values(
         members,
-        lambda k, x: first_of(
-            *[((k == name) & json.isNotNull(), F.try_parse_json(json)) for name, json in changes.items()]
-        ).otherwise(x),
+        lambda k, x: first_of(*[(k == name, put(json, x)) for name, json in changes.items()]).otherwise(x),
     )
 
 

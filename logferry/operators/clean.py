@@ -20,7 +20,7 @@ from ..functions.jsontext import (
     set_members,
     text_at,
 )
-from ..functions.let import any_of, empty_strings, first_of
+from ..functions.let import any_of, empty_strings, first_of, let
 from ..functions.paths import filter_on
 from ..functions.text import withheld_note
 from ..session import cut_lineage
@@ -34,23 +34,20 @@ COUNTERS = ["secrets", "emails", "withheld", "images", "thinking"]
 
 def dropped_attachment(v: Column) -> Column:
     """Attachments about the sender's account, permissions, hooks or memory."""
-    kind = text_at(v, "$.attachment.type")
-    return F.coalesce(any_of(*[F.contains(kind, F.lit(d)) for d in V.A_DROPPED_ATTACHMENTS]), F.lit(False))
+    named = lambda kind: any_of(*[F.contains(kind, F.lit(d)) for d in V.A_DROPPED_ATTACHMENTS])
+    return F.coalesce(let(text_at(v, "$.attachment.type"), named), F.lit(False))
 
 
-def _reasons_of(lines: DataFrame, ids: Column, withhold: DataFrame) -> DataFrame:
-    """Add ``why``: a map from those of a line's ids that are withheld to their reasons.
-
-    Only (line, id) pairs go through the join, not the lines' text.
-    """
+def _reasons_of(narrow: DataFrame, ids: Column, withhold: DataFrame) -> DataFrame:
+    """Add ``why``: a map from those of a line's ids that are withheld to their reasons."""
     hits = (
-        lines.select(*LINE, F.explode(F.array_distinct(ids)).alias("id"))
+        narrow.select(*LINE, F.explode(F.array_distinct(ids)).alias("id"))
         .join(withhold.select(*KEYS, "id", "reason"), [*KEYS, "id"])
         .groupBy(*LINE)
         .agg(F.map_from_entries(F.collect_list(F.struct("id", "reason"))).alias("why"))
     )
     none = F.map_from_arrays(empty_strings(), empty_strings())
-    return lines.join(hits, LINE, "left").withColumn("why", F.coalesce("why", none))
+    return narrow.join(hits, LINE, "left").withColumn("why", F.coalesce("why", none))
 
 
 def _block_id(b: Column) -> Column:
@@ -58,15 +55,17 @@ def _block_id(b: Column) -> Column:
 
 
 def _scrubbed(edited: DataFrame, context: Context) -> DataFrame:
-    """Scrub the edited records and add up the line's counters."""
-    rows = edited.select(*KEYS, "agent", "line_no", "edited", "withheld", "images", "thinking").join(
-        context.rows.select(*KEYS, *CONTEXT), KEYS
-    )
+    """Scrub the edited records and add up the line's counters. ``told``: the line has a record. A test of the
+    scrubbed text itself would be pushed below the scrubbing, and scrub every record once more."""
+    rows = edited.select(
+        *KEYS, "agent", "line_no", "edited", F.col("raw").isNotNull().alias("told"), "withheld", "images", "thinking"
+    ).join(context.rows.select(*KEYS, *CONTEXT), KEYS)
     done = rows.withColumn("_s", scrubbed_record("edited"))
     scrubbed = done.select(
         *KEYS,
         "agent",
         "line_no",
+        "told",
         F.col("_s.json").alias("raw"),
         F.col("_s.secrets").alias("secrets"),
         F.col("_s.emails").alias("emails"),
@@ -78,58 +77,63 @@ def _scrubbed(edited: DataFrame, context: Context) -> DataFrame:
 # --- agent A --------------------------------------------------------------------------------
 
 
+def _thought(kind: Column) -> Column:
+    return kind.isin("thinking", "redacted_thinking")
+
+
+def _kind(b: Column) -> Column:
+    return F.coalesce(text_at(b, "$.type"), F.lit(""))
+
+
 def decide_a(lines: DataFrame, withhold: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Agent A's lines with ``kept``, the reasons that apply to them and what cleaning counts."""
+    """What becomes of agent A's lines: ``kept``, ``why`` (the reasons that apply to them), ``links``, ``last`` (the
+    id of the last withheld result) and what cleaning counts.
+
+    No text: the narrow facts of all lines are read off once and written, then the decisions; relinking, the
+    counters and the edits read those.
+    """
     v = F.col("v")
-    a = lines.where(F.col("agent") == V.AGENT_A).join(sessions.select(*KEYS, "off"), KEYS)
-    a = a.withColumn("uuid", text_at(v, "$.uuid")).withColumn("blocks", items_at(v, "$.message.content"))
+    pairs = F.filter(
+        F.array(*[F.struct(F.lit(k).alias("key"), text_at(v, f"$.{k}").alias("uuid")) for k in V.A_LINKS]),
+        lambda p: p["uuid"].isNotNull(),
+    )
+    facts = cut_lineage(
+        lines.where(F.col("agent") == V.AGENT_A).select(
+            *LINE,
+            "agent",
+            text_at(v, "$.uuid").alias("uuid"),
+            text_at(v, "$.parentUuid").alias("parent"),
+            pairs.alias("links"),
+            (F.coalesce(text_at(v, "$.type").isin(*V.A_DROPPED), F.lit(False)) | dropped_attachment(v)).alias("dropped"),
+            F.transform(
+                items_at(v, "$.message.content"), lambda b: F.struct(_block_id(b).alias("id"), _kind(b).alias("kind"))
+            ).alias("blocks"),
+        )
+    )
     ids = F.concat(
         F.filter(F.array("uuid"), lambda u: u.isNotNull()),
-        F.coalesce(F.transform("blocks", _block_id), empty_strings()),
+        F.coalesce(F.transform("blocks", lambda b: b["id"]), empty_strings()),
     )
-    a = _reasons_of(a, ids, withhold)
-    why, images_off = F.col("why"), filter_on(F.col("off"), "pasted-images")
-    kinds = F.transform("blocks", lambda b: F.coalesce(text_at(b, "$.type"), F.lit("")))
-    thought = lambda k: k.isin("thinking", "redacted_thinking")
+    a = _reasons_of(facts.join(sessions.select(*KEYS, "off"), KEYS), ids, withhold)
+    why, blocks, images_off = F.col("why"), F.col("blocks"), filter_on(F.col("off"), "pasted-images")
+    considered = F.col("considered")
+    count = lambda test: F.when(considered, F.coalesce(F.size(F.filter(blocks, lambda b: test(b["kind"]))), F.lit(0))).otherwise(0)
+    result = lambda b: (b["kind"] == "tool_result") & F.map_contains_key(why, b["id"])
     withheld_here = F.coalesce(F.map_contains_key(why, F.col("uuid")), F.lit(False))
     a = (
-        a.withColumn("kinds", kinds)
-        .withColumn("withheld_line", withheld_here)
-        .withColumn(
-            "considered",
-            ~F.coalesce(text_at(v, "$.type").isin(*V.A_DROPPED), F.lit(False)) & ~dropped_attachment(v) & ~withheld_here,
-        )
-        .withColumn("kept_blocks", F.filter("blocks", lambda b: ~thought(F.coalesce(text_at(b, "$.type"), F.lit("")))))
-    )
-    considered = F.col("considered")
-    count = lambda test: F.when(considered, F.coalesce(F.size(F.filter("kinds", test)), F.lit(0))).otherwise(0)
-    results = F.filter(
-        "kept_blocks",
-        lambda b: (text_at(b, "$.type") == "tool_result").eqNullSafe(F.lit(True)) & F.map_contains_key(why, _block_id(b)),
-    )
-    return (
-        a.withColumn("results", results)
-        .withColumn("thinking", count(thought))
-        .withColumn("images", F.when(images_off, count(lambda k: k.isin("image", "document"))).otherwise(0))
-        .withColumn(
-            "withheld",
-            F.when(considered, F.coalesce(F.size("results"), F.lit(0))).otherwise(F.col("withheld_line").cast("int")),
-        )
-        .withColumn("kept", considered & (F.col("blocks").isNull() | (F.size("kept_blocks") > 0)))
-    )
-
-
-def decisions_a(decided: DataFrame) -> DataFrame:
-    """The narrow part of the decisions: what relinking and the counters need, without any text."""
-    v = F.col("v")
-    pairs = F.filter(
-        F.array(*[F.struct(F.lit(k).alias("key"), text_at(v, f"$.{k}").alias("uuid")) for k in V.A_LINKS]),
-        lambda p: p["uuid"].isNotNull(),
+        a.withColumn("withheld_line", withheld_here)
+        .withColumn("considered", ~F.col("dropped") & ~F.col("withheld_line"))
+        .withColumn("results", F.filter(blocks, result))
     )
+    kept = considered & (blocks.isNull() | F.exists(blocks, lambda b: ~_thought(b["kind"])))
     return cut_lineage(
-        decided.select(
-            *LINE, "agent", "kept", "uuid", text_at(v, "$.parentUuid").alias("parent"),
-            F.when(F.col("kept"), pairs).alias("links"), *COUNTERS[2:],
+        a.select(
+            *LINE, "agent", "off", "why", "uuid", "parent", kept.alias("kept"),
+            F.when(kept, F.col("links")).alias("links"),
+            F.when(F.size("results") > 0, F.element_at("results", -1)["id"]).alias("last"),
+            F.when(considered, F.coalesce(F.size("results"), F.lit(0))).otherwise(F.col("withheld_line").cast("int")).alias("withheld"),
+            F.when(images_off, count(lambda k: k.isin("image", "document"))).otherwise(0).alias("images"),
+            count(_thought).alias("thinking"),
         )
     )
 
@@ -151,7 +155,7 @@ def _gone(decisions: DataFrame) -> DataFrame:
     """Counters of lines that go: what was taken out of them still counts."""
     zero = F.lit(0).cast("bigint")
     return decisions.where(~F.col("kept") & (F.col("withheld") + F.col("images") + F.col("thinking") > 0)).select(
-        *KEYS, "agent", "line_no", F.lit(None).cast("string").alias("raw"), zero.alias("secrets"), zero.alias("emails"),
+        *KEYS, "agent", "line_no", F.lit(False).alias("told"), F.lit(None).cast("string").alias("raw"), zero.alias("secrets"), zero.alias("emails"),
         *[F.col(c).cast("bigint").alias(c) for c in COUNTERS[2:]],
     )
 
@@ -180,26 +184,28 @@ def _edited_block(b: Column, why: Column, images_off: Column) -> Column:
 def clean_a(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context: Context) -> DataFrame:
     """Agent A's cleaned lines: bookkeeping, thinking and withheld attachments gone, withheld calls blanked,
     private fields removed, links re-pointed, every string scrubbed (K4)."""
-    decided = decide_a(lines, withhold, sessions)
-    decisions = decisions_a(decided)
-    kept = decided.where("kept").join(links_a(decisions), LINE, "left")
+    decisions = decide_a(lines, withhold, sessions)
+    # The texts are moved once, to join what is decided about them.
+    kept = (
+        lines.where(F.col("agent") == V.AGENT_A)
+        .select(*LINE, "raw", "v")
+        .join(decisions.where("kept").drop("uuid", "parent", "links", "kept"), LINE)
+        .join(links_a(decisions), LINE, "left")
+    )
     v, why, images_off = F.col("v"), F.col("why"), filter_on(F.col("off"), "pasted-images")
+    kept_blocks = F.filter(items_at(v, "$.message.content"), lambda b: ~_thought(_kind(b)))
+    changed = (F.col("thinking") + F.col("images") > 0) | (F.size("why") > 0)
     content = F.when(
-        F.col("blocks").isNotNull(),
+        changed,
         F.concat(
-            F.lit("["),
-            F.array_join(F.transform("kept_blocks", lambda b: _edited_block(b, why, images_off)), ","),
-            F.lit("]"),
+            F.lit("["), F.array_join(F.transform(kept_blocks, lambda b: _edited_block(b, why, images_off)), ","), F.lit("]")
         ),
     )
     message = F.map_filter(
         members_at(v, "$.message"), lambda k, _: ~k.isin("usage", "permissionMode", "mode")
     )
     message = F.to_json(set_members(message, {"content": content}))
-    last_note = json_string(
-        withheld_note(F.element_at(why, _block_id(F.element_at("results", -1))))
-    )
-    copy = F.when(F.size("results") > 0, last_note)
+    copy = F.when(F.col("last").isNotNull(), json_string(withheld_note(F.element_at(why, F.col("last")))))
     link = lambda k: F.when(
         F.map_contains_key(F.col("relinked"), F.lit(k)),
         F.coalesce(json_string(F.element_at("relinked", F.lit(k))), F.lit("null")),
@@ -320,7 +326,7 @@ def clean_b(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context:
 def clean(lines: DataFrame, withhold: DataFrame, sessions: DataFrame, context: Context) -> tuple[DataFrame, DataFrame]:
     """(clean lines, counters per session) for both agents."""
     every = clean_a(lines, withhold, sessions, context).unionByName(clean_b(lines, withhold, sessions, context))
-    return every.where(F.col("raw").isNotNull()).select(*KEYS, "agent", "line_no", "raw"), counters(every)
+    return every.where("told").select(*KEYS, "agent", "line_no", "raw"), counters(every)
 
 
 def counters(cleaned: DataFrame) -> DataFrame:

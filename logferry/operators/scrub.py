@@ -10,10 +10,10 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import values as V
-from ..functions.jsontext import KEY_OR_STRING, decode, encode, is_key, structure
+from ..functions.jsontext import KEY_OR_STRING, decode, encode, is_key, json_string, structure
 from ..functions.let import let
 from ..functions.paths import distinctive, filter_on, url_path
-from ..functions.secrets import mask_emails, redact_if_needed
+from ..functions.secrets import any_rule_possible, mask_emails, redact_if_needed
 from ..session import cut_lineage
 
 KEYS = ["project_id", "session_id"]
@@ -146,8 +146,40 @@ def without_echoes(state: Column) -> Column:
     return F.when(F.exists(F.col("echoes"), lambda e: F.contains(state["text"], e)), fold).otherwise(state)
 
 
-def scrub_text(text: Column) -> Column:
-    """``struct<text, secrets, emails>`` of one text; the row carries the columns of ``CONTEXT``."""
+def _fold(text: Column, steps: Column, put: Callable[[Column, Column], Column]) -> Column:
+    return F.aggregate(steps, text, put)
+
+
+def places(text: Column) -> Column:
+    """The spellings of the project and home folder replaced."""
+    return _fold(text, F.col("places"), lambda x, p: F.replace(x, p["find"], p["put"]))
+
+
+def _named(text: Column) -> Column:
+    """Whether a text may hold one of the identity words of the row."""
+    return F.exists(F.col("words"), lambda w: F.contains(F.lower(text), w["gate"]))
+
+
+def _echoed(text: Column) -> Column:
+    return F.exists(F.col("echoes"), lambda e: F.contains(text, e))
+
+
+def people(text: Column) -> Column:
+    """The identity words replaced. Twice: neighbouring matches share the separator between them."""
+    swap = lambda x, w: F.regexp_replace(F.regexp_replace(x, w["pattern"], w["put"]), w["pattern"], w["put"])
+    return _fold(text, F.col("words"), lambda x, w: F.when(F.contains(F.lower(x), w["gate"]), swap(x, w)).otherwise(x))
+
+
+def _speaks(text: Column) -> Column:
+    """Whether a text may hold a secret or an address at all."""
+    return F.contains(text, F.lit("@")) | F.contains(text, F.lit("%40")) | any_rule_possible(text)
+
+
+def scrub_text(text: Column, possible: Column | None = None) -> Column:
+    """``struct<text, secrets, emails>`` of one text; the row carries the columns of ``CONTEXT``.
+
+    ``possible`` false says that no text of the record can hold a secret or an address.
+    """
     off, zero = F.col("off"), F.lit(0).cast("bigint")
     state = _state
 
@@ -159,19 +191,11 @@ def scrub_text(text: Column) -> Column:
         masked = let(mask_emails(s["text"]), lambda m: state(m["text"], s["secrets"], m["n"]))
         return F.when(filter_on(off, "emails"), masked).otherwise(s)
 
-    def places(t: Column) -> Column:
-        return F.aggregate(F.col("places"), t, lambda x, p: F.replace(x, p["find"], p["put"]))
-
-    def people(t: Column) -> Column:
-        # Twice: neighbouring matches share the separator between them.
-        swap = lambda x, w: F.regexp_replace(F.regexp_replace(x, w["pattern"], w["put"]), w["pattern"], w["put"])
-        return F.aggregate(
-            F.col("words"), t, lambda x, w: F.when(F.contains(F.lower(x), w["gate"]), swap(x, w)).otherwise(x)
-        )
-
     clean = let(secrets(text), emails)
     placed = let(clean, lambda s: state(people(places(s["text"])), s["secrets"], s["emails"]))
-    return let(placed, without_echoes)
+    quiet = let(people(places(text)), lambda t: F.when(_echoed(t), without_echoes(state(t, zero, zero))).otherwise(state(t, zero, zero)))
+    speaks = _speaks(text) if possible is None else possible & _speaks(text)
+    return F.when(speaks, let(placed, without_echoes)).otherwise(quiet)
 
 
 def _tokens(record: Column) -> Column:
@@ -222,10 +246,82 @@ def _rewritten(record: Column, scrub: Callable[[Column], Column]) -> Column:
     return let(done, rebuilt)
 
 
+# A record whose strings stand in it as they are: no escapes or control characters, no slash outside strings, no
+# space between a key and its colon.
+AS_IT_IS = r'\A(?:[^"/\\\x00-\x1f]*+"[^"\\\x00-\x1f]*+"(?!\s+:))*+[^"/\\\x00-\x1f]*+\z'
+# A string that is not written as it reads.
+SPELLED = r"\\|\s:\z|[\x00-\x1f]"
+
+
+def _record_speaks(record: Column) -> Column:
+    """Whether a string of a record may hold a secret or an address.
+
+    The tests look at neighbouring letters, digits and ``-_.:/%@`` only. Strings without ``\\u`` and ``\\/`` show
+    these in the record as they are, so what is possible in a string is possible in the record.
+    """
+    return _speaks(record) | F.contains(record, F.lit("\\u")) | F.contains(record, F.lit("\\/"))
+
+
+def _inside_strings() -> Column:
+    """Whether the folders to replace cannot reach over the end of a string or stand outside one."""
+    outside = lambda p: F.contains(p["find"], F.lit('"')) | ~F.rlike(p["find"], F.lit(r"[/\\]"))
+    return ~F.exists(F.col("places"), outside)
+
+
+def _one_by_one(record: Column, speaks: Column) -> Column:
+    """``_rewritten`` by ``scrub_text``, but only strings in which something may be replaced are decoded and written
+    anew. The large expression stands here once."""
+    zero = F.lit(0).cast("bigint")
+    out = lambda text, n, m: F.struct(text.alias("json"), n.alias("secrets"), m.alias("emails"))
+    opaque = F.when(F.contains(record, F.lit('"base64"')), structure(record)["opaque"]).otherwise(
+        F.array().cast("array<int>")
+    )
+    sound = F.is_valid_utf8(record) & _inside_strings()
+
+    def done(sound: Column, hidden: Column, token: Column, i: Column) -> Column:
+        key = is_key(token)
+        stays = lambda text: ~key & (F.startswith(text, F.lit("data:")) | F.array_contains(hidden, i))
+        anew = lambda d: out(F.concat(json_string(d["text"]), F.when(key, F.lit(":")).otherwise("")), d["secrets"], d["emails"])
+        apart = let(
+            F.get(_texts(F.array(token)), F.lit(0)),
+            lambda t: let(F.when(stays(t), _state(t, zero, zero)).otherwise(scrub_text(t, speaks)), anew),
+        )
+        at_once = let(places(token), lambda t: F.when(~_named(t) & ~_echoed(t), out(t, zero, zero)))
+        plain = sound & ~F.rlike(token, F.lit(SPELLED)) & ~(speaks & _speaks(token))
+        hides = F.startswith(token, F.lit('"data:')) | F.array_contains(hidden, i)
+        return F.coalesce(F.when(plain & ~hides, at_once), apart)
+
+    def rebuilt(ds: Column) -> Column:
+        total = lambda name: F.aggregate(ds, F.lit(0).cast("bigint"), lambda acc, d: acc + d[name])
+        between = F.split(record, KEY_OR_STRING, -1)
+        fresh = F.concat(F.transform(ds, lambda d: d["json"]), F.array(F.lit("")))
+        return out(F.array_join(F.zip_with(between, fresh, lambda a, b: F.concat(a, b)), ""), total("secrets"), total("emails"))
+
+    # A string that cannot be read leaves nothing of the record but what follows the last one.
+    unread = out(F.element_at(F.split(record, KEY_OR_STRING, -1), -1), zero, zero)
+    read = let(
+        F.struct(sound.alias("sound"), opaque.alias("hidden")),
+        lambda x: F.transform(_tokens(record), lambda t, i: done(x["sound"], x["hidden"], t, i)),
+    )
+    return F.when(F.size(_texts(_tokens(record))) == F.size(_tokens(record)), let(read, rebuilt)).otherwise(unread)
+
+
 @lru_cache(maxsize=8)
 def scrubbed_record(json: str) -> Column:
-    """The JSON record in column ``json`` scrubbed; the large expression is built once per process."""
-    return _rewritten(F.col(json), scrub_text)
+    """The JSON record in column ``json`` scrubbed; the large expression is built once per process.
+
+    Where nothing but folders can be replaced in any of its strings, and only in strings, that is done in the whole record.
+    """
+    record, zero = F.col(json), F.lit(0).cast("bigint")
+
+    def scrubbed(speaks: Column) -> Column:
+        done = lambda r: F.struct(r.alias("json"), zero.alias("secrets"), zero.alias("emails"))
+        at_once = let(places(record), lambda r: F.when(~_named(r) & ~_echoed(r), done(r)))
+        opaque = F.contains(record, F.lit('"data:')) | F.contains(record, F.lit('"base64"'))
+        whole = ~speaks & ~opaque & F.rlike(record, F.lit(AS_IT_IS)) & F.is_valid_utf8(record) & _inside_strings()
+        return F.coalesce(F.when(whole, at_once), _one_by_one(record, speaks))
+
+    return let(_record_speaks(record), scrubbed)
 
 
 def _touches_marker(value: Column) -> Column:
