@@ -11,8 +11,16 @@ DRIVE = "\ufdd0"  # stands in for a drive's colon while words are split
 SEPARATORS = r"\s|;&<>()'\x22`=,\[\]{}:"
 
 
+# A path with an empty, ``.`` or ``..`` part (but the empty one before a first slash).
+UNRESOLVED = r"/\.{0,2}(?:/|\z)|\A\.{1,2}(?:/|\z)"
+
+
 def normalize(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` by text alone, never climbing above the root."""
+    """Resolve ``.`` and ``..`` by text alone, never climbing above the root. Most paths have nothing to resolve."""
+    return let(path, lambda p: F.when(F.rlike(p, F.lit(UNRESOLVED)), _resolved(p)).otherwise(p))
+
+
+def _resolved(path: Column) -> Column:
     parts = F.aggregate(
         F.split(path, "/"),
         empty_strings(),

@@ -40,6 +40,12 @@ def _rank(stage: Column, *order: Column) -> Column:
     return F.array(*[x.cast("bigint") for x in spots])
 
 
+def _with_value(df: DataFrame, value: Column, name: str, *others: str | Column) -> DataFrame:
+    """``others`` and ``value`` of the rows where it is not null. As a filter, the test would be pushed below the joins
+    and projections ``value`` is made of, and work it out once more, in parts many times."""
+    return df.select(*others, F.explode(F.filter(F.array(value), lambda x: x.isNotNull())).alias(name))
+
+
 def named_paths(touches: DataFrame, texts: DataFrame, sessions: DataFrame) -> DataFrame:
     """Paths a touch's file and inputs name, in order: ``src`` is 'file' or 'input' (H7, H8)."""
     t = _with_session(touches, sessions)
@@ -95,7 +101,7 @@ def judge(touches: DataFrame, texts: DataFrame, checked: DataFrame, sessions: Da
     """
     t = _with_session(touches, sessions)
     off, root, home = F.col("off"), F.col("root"), F.col("home")
-    paths = checked.where(F.col("reason").isNotNull()).select(
+    paths = _with_value(checked, F.col("reason"), "reason", *TOUCH, "src", "sub", "pos", "path").select(
         *TOUCH,
         _rank(F.when(F.col("src") == "file", FILE).otherwise(INPUT), F.col("sub"), F.col("pos")).alias("rank"),
         "reason",
@@ -118,7 +124,7 @@ def judge(touches: DataFrame, texts: DataFrame, checked: DataFrame, sessions: Da
     own = first_of(
         *[(test, F.struct(_rank(F.lit(stage)).alias("rank"), F.lit(why).alias("reason"))) for stage, test, why in tests]
     )
-    calls = t.select(*TOUCH, own.alias("own")).where(F.col("own").isNotNull()).select(
+    calls = _with_value(t, own, "own", *TOUCH).select(
         *TOUCH, "own.rank", "own.reason", F.lit(None).cast("string").alias("culprit")
     )
     shows = texts.where(F.col("kind") == "output").join(t.select(*TOUCH, "cwd", "root", "home", "off"), TOUCH)
@@ -136,15 +142,9 @@ def judge(touches: DataFrame, texts: DataFrame, checked: DataFrame, sessions: Da
         lambda l: join(F.col("cwd"), trimmed(F.split_part(l, F.lit(":"), F.lit(1)))),
     )
     shown_reason = F.coalesce(F.get(hits(absolute), F.lit(0)), F.get(hits(searched), F.lit(0)))
-    output = (
-        shows.select(
-            *TOUCH,
-            _rank(F.lit(OUTPUT), F.col("ord"), F.col("sub")).alias("rank"),
-            shown_reason.alias("reason"),
-            F.lit(None).cast("string").alias("culprit"),
-        )
-        .where(F.col("reason").isNotNull())
-    )
+    output = _with_value(
+        shows, shown_reason, "reason", *TOUCH, _rank(F.lit(OUTPUT), F.col("ord"), F.col("sub")).alias("rank")
+    ).withColumn("culprit", F.lit(None).cast("string"))
     return (
         calls.unionByName(paths)
         .unionByName(output)

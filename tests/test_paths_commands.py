@@ -103,3 +103,14 @@ def test_wording(column):
     assert column([f"rollout-2026-01-01T00-00-00-{uuid}", "abc"], T.session_id_of) == [uuid, "abc"]
     whys = ["sensitive: personal folder in the home directory", "sensitive: SSH key", "left out by you", "over 10 MB"]
     assert column(whys, T.brief_reason) == ["personal", "secrets", "left out by you", "over 10 MB"]
+
+
+def test_paths_with_nothing_to_resolve_stay_as_they_are(column):
+    from itertools import product
+
+    from logferry.functions import paths
+
+    cases = ["".join(x) for n in range(6) for x in product(["/", ".", "a"], repeat=n)] + [None, "/a/.../b", "a\n/../b", "/ä/.x/..y"]
+    assert column(cases, paths.normalize) == column(cases, paths._resolved)
+    expression = paths.normalize(__import__("pyspark").sql.functions.col("x"))._jc.toString()
+    assert "RLIKE" in expression.upper()
