@@ -280,10 +280,11 @@ def left_out(t: Tables) -> DataFrame:
 def planned(t: Tables) -> Plan:
     """A whole run over the lifted logs: every file of an even event exists and holds nothing secret."""
     path = normalize(F.expr(FILE))
-    files = t.events.where("event_id % 2 = 0").select(
-        F.lit("p").alias("project_id"), path.alias("path"), path.alias("real_path"), F.lit(True).alias("is_file"),
+    paths = cut_lineage(t.events.where("event_id % 2 = 0").select(path.alias("path")).distinct())
+    files = paths.select(
+        F.lit("p").alias("project_id"), "path", F.col("path").alias("real_path"), F.lit(True).alias("is_file"),
         F.lit(100).cast("bigint").alias("size"), F.lit(b"x" * 100).alias("content"),
-    ).distinct()
+    )
     return plan(Corpus(lines_a(t), sessions(t).withColumn("no_skills", F.lit(False)), files))
 
 

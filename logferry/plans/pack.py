@@ -204,7 +204,8 @@ def _touched(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def plan(corpus: Corpus) -> Plan:
     """Judge every session of the corpus and clean it."""
     t, x = _touched(corpus.lines)
-    named = judging.named_paths(t, x, corpus.sessions)
+    # Finding the paths in commands costs much; the contents, the checks and all that builds on them read them.
+    named = cut_lineage(judging.named_paths(t, x, corpus.sessions))
     sub_named = None
     if corpus.subagents is not None and corpus.sub_lines is not None:
         st, sx = _touched(corpus.sub_lines)
@@ -214,12 +215,16 @@ def plan(corpus: Corpus) -> Plan:
         sub_sessions = parents.join(
             corpus.sessions.withColumnRenamed("session_id", "_parent"), ["project_id", "_parent"]
         )
-        sub_named = judging.named_paths(st, sx, sub_sessions)
+        sub_named = cut_lineage(judging.named_paths(st, sx, sub_sessions))
 
     every_named = named.select("project_id", "path")
     if sub_named is not None:
         every_named = every_named.unionByName(sub_named.select("project_id", "path"))
-    contents = file_checks.content_facts(named_in_corpus(corpus, every_named))
+    contents = cut_lineage(
+        file_checks.content_facts(named_in_corpus(corpus, every_named)).select(
+            "project_id", "path", "key_rule", "utf16_rule", "redactions", "text", "clean", "values"
+        )
+    )
     facts = cut_lineage(file_checks.file_facts(corpus.files, corpus.repos, corpus.ignored, contents))
 
     checked = cut_lineage(judging.checked_paths(named, facts, corpus.excluded))
