@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE, buffers, shared_folder, slices, stored, word_table
+from .common import LOWER, SLICE, buffers, shared_folder, slices, stored, word_table
 
 SCALE = 22
 BLOCK_TOKENS = 1 << 18
@@ -43,8 +43,38 @@ _HEAD = struct.Struct("<4sIQIIII")
 # --- ids ----------------------------------------------------------------------------------------------------
 
 _WORDS: dict[tuple[str, str], dict] = {}
-#: Words whose ids a worker remembers, and the longest word it remembers, in bytes.
-REMEMBERED, LONGEST = 900_000, 64
+#: Ids of words that a worker remembers, in all, and the longest word it remembers, in bytes.
+REMEMBERED, LONGEST = 12_000_000, 64
+#: Words encoded as one text.
+RUN = 100
+
+
+def _of_letters(word: bytes) -> bool:
+    """Whether a word is of Latin letters that stay letters, one for one, in lower case."""
+    text = word.decode()
+    return text.isalpha() and max(text) < "\u0250" and "\u0130" not in text
+
+
+class Known:
+    """Ids of words by the words' hashes: sorted arrays, and the ids one after the other."""
+
+    def __init__(self):
+        self.hashes, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u2")
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the hashes, and which of them are here."""
+        at = np.searchsorted(self.hashes, hashes)
+        here = np.zeros(len(hashes), bool)
+        inner = at < len(self.hashes)
+        here[inner] = self.hashes[at[inner]] == hashes[inner]
+        return at, here
+
+    def add(self, hashes: np.ndarray, begin: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        """Sorted hashes that are not here yet, and where in ``flat`` the ids of their words are."""
+        at = np.searchsorted(self.hashes, hashes)
+        self.begin = np.insert(self.begin, at, len(self.flat) + begin)
+        self.size, self.hashes = np.insert(self.size, at, size), np.insert(self.hashes, at, hashes)
+        self.flat = np.concatenate([self.flat, flat])
 
 
 class Encoder:
@@ -52,9 +82,10 @@ class Encoder:
     after an ASCII letter or digit as one of its own.
 
     Such a tokenizer gives a text the ids of its words one after the other. The words of a run of texts are made
-    distinct first, by their 64-bit hashes; a worker remembers the ids of words it has seen, up to a bound; new ones
-    are encoded many to a call, with a mark between them that is a pre-token of its own. ``end`` follows
-    every text. Ids are below 65,536.
+    distinct first, by their 64-bit hashes; a worker remembers the ids of words it has seen, by the same hashes and up to a
+    bound; new ones are encoded many to a call: words of letters, which are one pre-token each, up to the id that ends a
+    pre-token, others with a mark between them that is a pre-token of its own. ``end`` follows every text. Ids are
+    below 65,536. Where the tokenizer lower-cases, words that differ in the case of letters A-Z are one.
     """
 
     MARK = "\x01"
@@ -62,45 +93,84 @@ class Encoder:
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
-        self.known = _WORDS.setdefault((path, "ids"), {})
+        self.known = _WORDS.setdefault((path, "ids"), {0: Known()})
         made = _WORDS.setdefault((path, "tokenizer"), {})
         if not made:
             made[0] = Tokenizer.from_file(path)
         self.tokenizer, self.end = made[0], end
         self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-
-    def fresh(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """The ids of each word, as bytes."""
-        mark = self.MARK.encode()
-        alone = [w for w in words if mark in w or len(self.mark) != 1]
-        together = words if not alone else [w for w in words if mark not in w and len(self.mark) == 1]
-        for w in alone:
-            yield w, np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u2").tobytes()
-        runs = [together[i : i + 1000] for i in range(0, len(together), 1000)]
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(w.decode() for w in run) for run in runs], add_special_tokens=False)):
+        self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AZ") == "az"
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix and 0 not in _WORDS.setdefault((path, "closes"), {}):
+            closes = np.zeros(1 << 16, bool)
+            closes[[i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w.endswith(suffix)]] = True
+            _WORDS[path, "closes"][0] = closes
+        self.closes = _WORDS[path, "closes"][0] if suffix else None
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def fresh(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each word begin in the ids of all, their number, and these ids."""
+        mark, size, got = self.MARK.encode(), np.zeros(len(words), np.int64), []
+        order: list[int] = []
+        letters = [i for i, w in enumerate(words) if self.closes is not None and (w.isalpha() or _of_letters(w))]
+        rest = set(range(len(words))).difference(letters)
+        runs = [letters[i : i + RUN] for i in range(0, len(letters), RUN)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([b" ".join([words[i] for i in run]).decode() for run in runs], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u2")
+            ends = np.flatnonzero(self.closes[ids])
+            if len(ends) != len(run) or ends[-1] != len(ids) - 1:
+                rest.update(run)
+                continue
+            order += run
+            size[run] = np.diff(ends, prepend=-1)
+            got.append(ids)
+        alone = [i for i in sorted(rest) if mark in words[i] or len(self.mark) != 1]
+        for i in alone:
+            got.append(np.array(self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids, "<u2"))
+            size[i] = len(got[-1])
+        order += alone
+        together = sorted(rest.difference(alone))
+        runs = [together[i : i + RUN] for i in range(0, len(together), RUN)]
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([f" {self.MARK} ".join([words[i].decode() for i in run]) for run in runs], add_special_tokens=False)):
             ids = np.array(e.ids, "<u2")
-            cuts = [-1, *np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
-            raw = ids.tobytes()
-            yield from ((w, raw[2 * a + 2 : 2 * b]) for w, a, b in zip(run, cuts, cuts[1:]))
+            marks = ids == self.mark[0]
+            size[run] = np.diff(np.flatnonzero(np.append(marks, True)), prepend=-1) - 1
+            order += run
+            got.append(ids[~marks])
+        begin = np.zeros(len(words), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        return begin, size, np.concatenate(got) if got else np.zeros(0, "<u2")
+
+    def one_case(self, data: np.ndarray) -> np.ndarray:
+        """``data`` with A-Z in lower case, if no id depends on it: not before a byte beyond ASCII (marks may join one case
+        of a letter only), and not at all if a token that is found before lower-casing could be there."""
+        raw = data.tobytes() if self.lower else b""
+        if not raw or any(t.lower() in raw.lower() for t in self.added):
+            return data
+        plain = np.ones(len(data), bool)
+        plain[:-1] = data[1:] < 128
+        return np.where(plain, LOWER[data], data)
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts data[at[i]:at[i + 1]], one after the other, and the number of each."""
         n = len(at) - 1
+        data, at = self.one_case(data[at[0] : at[-1]]), at - at[0]
         hashes, owner, start, stop = word_table(data, at, lower=False, marks_off=True)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        words = [data[a:b].tobytes() for a, b in zip(start[first].tolist(), stop[first].tolist())]
-        got = list(map(self.known.get, words))
-        new = [i for i, x in enumerate(got) if x is None]
-        if new:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            found = dict(self.fresh([words[i] for i in new]))
-            for i in new:
-                got[i] = found[words[i]]
-            self.known.update(found if max(map(len, found)) <= LONGEST else {w: x for w, x in found.items() if len(w) <= LONGEST})
-        flat = np.frombuffer(b"".join(got), "<u2")
-        size = np.fromiter(map(len, got), np.int64, len(got)) // 2
-        begin = np.cumsum(size) - size
+        hashes, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        known = self.known[0]
+        place, here = known.find(hashes)
+        begin, size, flat = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64), known.flat
+        begin[here], size[here] = known.begin[place[here]], known.size[place[here]]
+        new = np.flatnonzero(~here)
+        if len(new):
+            words = [data[a:b].tobytes() for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist())]
+            where, size[new], fresh = self.fresh(words)
+            begin[new] = len(flat) + where
+            flat = np.concatenate([flat, fresh])
+            if len(known.flat) > REMEMBERED:
+                known = self.known[0] = Known()
+            short = stop[first[new]] - start[first[new]] <= LONGEST
+            known.add(hashes[new[short]], where[short], size[new[short]], fresh)
         each = size[which] if len(which) else np.zeros(0, np.int64)
         total = int(each.sum())
         source = np.repeat(begin[which] - (np.cumsum(each) - each), each) + np.arange(total) if total else np.zeros(0, np.int64)

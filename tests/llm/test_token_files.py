@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from plain_versions import token_rows
 
@@ -67,3 +68,19 @@ def test_repeated_rows_and_null_ids(spark, docs):
 
 def test_no_rows(spark, docs):
     assert rows_of(spark, docs([]), "files-c") == []
+
+
+def test_words_of_either_case_are_encoded_once_and_odd_ones_as_they_read():
+    from tokenizers import Tokenizer
+
+    from llm.common import buffers
+
+    texts = ["Word WORD word Ünlü ÜNLÜ", "<|ENDOFTEXT|> <|endoftext|>", "H̱ALLO ẖallo T̈ ẖ", "IT'S it's I'LL", "İSTANBUL ı ſ K", "a\x01B \x01 x", "", "A" * 500 + " b"]
+    plain, encoder = Tokenizer.from_file(PATH), T.Encoder(PATH, 2)
+    for t in [*texts, "\n".join(texts)]:
+        data, at = buffers(pa.array([t]))
+        ids, n = encoder(data, at)
+        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids + [2] and n.tolist() == [len(ids)]
+    encoder.known[0] = T.Known()
+    encoder(*buffers(pa.array([texts[0]])))
+    assert len(encoder.known[0].hashes) == 3  # word, and both cases of a letter beyond ASCII
