@@ -110,4 +110,6 @@ def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op2_paragraph_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return paragraphs.repeats(table(spark, folder, "documents"))
+    docs = table(spark, folder, "documents")
+    lines = paragraphs.repeats(docs).withColumn("word", F.lit(None).cast("long"))
+    return lines.unionByName(paragraphs.passages(docs)).withColumn("unit", F.when(F.col("word").isNull(), "line").otherwise("passage"))

@@ -62,3 +62,45 @@ def test_short_lines_are_compared_down_to_the_shingle_size(docs):
     got = result(P.repeats(docs(rows)))
     assert got == want(rows)
     assert got == {(1, 0): ((1, 0), False), (2, 1): ((1, 0), True), (3, 0): ((3, 0), False), (4, 0): ((3, 0), True)}
+
+
+def repeated_windows(rows, size):
+    """Windows of ``size`` words by their text, with the (doc_id, first word) that have them, if more than one."""
+    at = defaultdict(set)
+    for i, t in rows:
+        words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(t or "")]
+        for j in range(len(words) - size + 1):
+            at[tuple(words[j : j + size])].add((i, j))
+    return {w: places for w, places in at.items() if len(places) > 1}
+
+
+def test_passages_are_found_inside_lines_and_across_breaks(docs):
+    a, b, c = paragraph(P.PASSAGE, 1), paragraph(70, 2), paragraph(120, 3)
+    words = b.split()
+    rows = [
+        (1, f"{paragraph(15, 10)} {a} {paragraph(40, 11)}"), (2, f"{paragraph(33, 12)} {a.upper()} {paragraph(200, 13)}"),
+        (3, f"{paragraph(9, 14)}\n" + "\n".join(" ".join(words[i : i + 4]) for i in range(0, 70, 4))), (4, f"one\ntwo {paragraph(8, 15)} {b}"),
+        (5, f"{c} {paragraph(60, 16)} {c}"), (6, paragraph(300, 17)), (7, None), (8, "x " * 90), (9, f"{paragraph(29, 18)}"), (10, f"{paragraph(29, 18)}"), (None, f"{a} {paragraph(5, 19)}"),
+    ]
+    got = P.passages(docs(rows + [(6, paragraph(300, 17))])).collect()
+    spans = defaultdict(list)
+    for r in got:
+        spans[r.doc_id].append((r.word, r.word + r.n_words))
+    assert set(spans) == {None, 1, 2, 3, 4, 5, 8}
+    # A run of PASSAGE words that repeats has a window among the rows at each of its places.
+    for places in repeated_windows(rows, P.PASSAGE).values():
+        for i, j in places:
+            assert any(max(j, x) + P.GRAM <= min(j + P.PASSAGE, y) for x, y in spans[i]), (i, j)
+    # All words of a row are in windows of GRAM words that repeat.
+    covered = {(i, j + x) for places in repeated_windows(rows, P.GRAM).values() for i, j in places for x in range(P.GRAM)}
+    assert all((i, x) in covered for i, both in spans.items() for lo, hi in both for x in range(lo, hi))
+    keep = {r.doc_id: (r.keep_doc, r.keep_line, r.removed) for r in got if r.doc_id in (None, 1, 2, 3, 4)}
+    assert keep[None] == (None, 0, False) and keep[1] == keep[2] == (None, 0, True)
+    assert not keep[3][2] and keep[3][1] > 0 and keep[4] == (*keep[3][:2], True)
+    assert {r.line for r in got if r.doc_id == 4} == {1}
+    assert {(r.removed, r.word >= 180) for r in got if r.doc_id == 5} == {(False, False), (True, True)}
+
+
+def test_no_passages(docs):
+    assert P.passages(docs([])).count() == 0
+    assert P.passages(docs([(1, paragraph(80, 1)), (1, paragraph(80, 1)), (2, ""), (3, None)])).count() == 0
