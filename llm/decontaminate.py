@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 PERCENT = 20
 #: Items with fewer words are not looked for; 1: all items with a word are.
 LEAST_WORDS = 1
@@ -157,7 +159,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, least
                     [pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], ["doc_id", "item_id", "distance", "end_word"]
                 )
 
-        found = docs.select("doc_id", "text").mapInArrow(look, "doc_id long, item_id long, distance long, end_word long")
+        found = docs.select("doc_id", "text").mapInArrow(tidy(look), "doc_id long, item_id long, distance long, end_word long")
         out = found if out is None else out.union(found)
     return out.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "end_word")).alias("best")).select(
         "doc_id", "item_id", "best.distance", "best.end_word"
@@ -183,5 +185,5 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCEN
             for batch in batches:
                 yield batch.filter(pa.array([not index.search(t.as_py(), True) for t in batch.column("text")], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, schema)
+        docs = docs.mapInArrow(tidy(keep), schema)
     return docs

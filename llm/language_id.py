@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import buffers, slices
+from .common import buffers, slices, tidy
 
 PIECE = 512
 #: The fit's bounds: labelled documents of a language, symbols of them all, and the stretches that a document's share is
@@ -34,6 +34,8 @@ MOST_LANGUAGES = 256
 #: Share of the difference in bits that counts for the score.
 TEMPER = 0.1
 SPACE = 32
+#: Bytes of text that are judged at a time inside a task, and of these, bytes of which symbols are made at a time.
+TEXTS, PART = 1 << 21, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -197,6 +199,14 @@ def _streams(data: np.ndarray, at: np.ndarray, lookup: np.ndarray) -> tuple[np.n
     return sym, place[starts], np.diff(letter[starts]) > 0
 
 
+def _symbols(data: np.ndarray, at: np.ndarray, lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_streams`` of all texts, made of some texts at a time."""
+    parts = [_streams(data, at[i : j + 1], lookup) for i, j in slices(at, PART)]
+    ends = np.cumsum([len(sym) for sym, _, _ in parts])
+    places = [place[:-1] + end - len(sym) for (sym, place, _), end in zip(parts, ends)]
+    return np.concatenate([sym for sym, _, _ in parts]), np.concatenate([*places, ends[-1:]]), np.concatenate([letter for _, _, letter in parts])
+
+
 def phrases(sym: np.ndarray, at: np.ndarray, tables: list[Table]) -> np.ndarray:
     """Number of phrases of each text under each table."""
     n = len(at) - 1
@@ -210,14 +220,14 @@ def phrases(sym: np.ndarray, at: np.ndarray, tables: list[Table]) -> np.ndarray:
     out = np.zeros((n, len(tables)), np.int64)
     if not len(size):
         return out
-    grid = np.ascontiguousarray(sym[np.minimum(start[:, None] + np.arange(int(size[0])), len(sym) - 1)].T).astype(np.int32)
     active = np.searchsorted(-size, -np.arange(int(size[0])), "left")  # pieces longer than t
+    grid = [sym[start[:a] + t] for t, a in enumerate(active)]
     for k, table in enumerate(tables):
         state, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int32)
         root = table(np.zeros(256, np.int32), np.arange(256, dtype=np.int32))
         for t in range(int(size[0])):
             a = active[t]
-            s = grid[t, :a]
+            s = grid[t]
             to = table(state[:a], s)
             miss = to == 0
             count[:a] += miss
@@ -246,8 +256,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         tables, languages = [m.tables[x] for x in order], np.array([m.languages[x] for x in order], object)
         for batch in batches:
             data, at = buffers(batch.column(text))
-            for i, j in slices(at, 1 << 22):
-                sym, place, letter = _streams(data, at[i : j + 1], lookup)
+            for i, j in slices(at, TEXTS):
+                sym, place, letter = _symbols(data, at[i : j + 1], lookup)
                 names, scores = np.full(j - i, "und", object), np.zeros(j - i)
                 if m.languages:
                     cost = phrases(sym, place, tables) * bits
@@ -258,10 +268,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], [*part.schema.names, "lang_pred", "score"])
 
-    return rest.mapInArrow(label, schema)
+    return rest.mapInArrow(tidy(label), schema)
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows whose language is found, at any score; the columns stay as they are."""
-    held = docs.select(F.struct("*").alias("row"), F.col("text"))
-    return identify(held, model).where(F.col("lang_pred") != "und").select("row.*")
+    others = docs.drop("text").columns
+    held = docs.select(F.struct(*others).alias("row"), "text")
+    return identify(held, model).where(F.col("lang_pred") != "und").select(*((F.col("row").getField(c) if c in others else F.col("text")).alias(c) for c in docs.columns))

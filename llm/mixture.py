@@ -12,6 +12,7 @@ number of its tokens that count, ``within_budget`` cuts its text there.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,8 +76,10 @@ def budgets(leaves: DataFrame, levels: list[str], weights: dict[tuple, int], tar
         path = levels[:depth]
         nodes = cap.groupBy(*path).agg(F.sum("cap").alias("cap"))
         given = [(*p, int(w)) for p, w in weights.items() if len(p) == depth]
-        fields = ", ".join(f"`{c}` string" for c in path) + ", weight bigint"
-        nodes = nodes.join(spark.createDataFrame(given, fields), path, "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+        kinds = [*[(c, pa.string()) for c in path], ("weight", pa.int64())]
+        # From Arrow, so executors start no Python workers for a few rows.
+        table = pa.table({c: pa.array([x[i] for x in given], kind) for i, (c, kind) in enumerate(kinds)})
+        nodes = nodes.join(spark.createDataFrame(table), path, "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
         nodes = nodes.withColumn("budget", F.lit(whole).cast("long")) if given_to is None else nodes.join(given_to, path[:-1])
         given_to = stored(share(nodes, path[:-1], path[-1]).select(*path, F.col("share").alias("budget")), "budgets")
     return cap.join(given_to, levels).select(*levels, "n_tokens", "budget")

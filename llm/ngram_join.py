@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, components, distinct_by, mix, shingle_hashes, slices, stored, word_hashes
+from .common import buffers, components, distinct_by, mix, shingle_hashes, slices, stored, tidy, word_hashes
 
 ORDERS = 3
 #: A list of up to so many classes gives its pairs one by one; longer ones go by blocks.
@@ -31,12 +31,14 @@ BLOCK = 256
 FREQUENT = 1 << 20
 #: Bits of a set's parity bitmap, and of the table that tells texts no candidate needs.
 SKETCH, TABLE = 2048, 1 << 25
+#: Bytes of text whose sets are made at a time inside a task; their arrays take some 40 times as much.
+PART = 1 << 19
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, index within the slice, token): distinct tokens of slices of a batch."""
     data, at = buffers(batch.column("text"))
-    for i, j in slices(at):
+    for i, j in slices(at, PART):
         words, owner = word_hashes(data, at[i : j + 1])
         owner, token = distinct_by(*reversed(shingle_hashes(words, owner, j - i, k)))
         yield i, j - i, owner, token
@@ -103,7 +105,7 @@ def frequent_tokens(docs: DataFrame, k: int) -> np.ndarray:
         return pa.table({"token": pa.array(token[many], pa.int64()), "n": pa.array(n[many])})
 
     rows = (
-        docs.select("text").mapInArrow(count, "range int, planes binary, more binary")
+        docs.select("text").mapInArrow(tidy(count), "range int, planes binary, more binary")
         .groupBy("range").applyInArrow(merge, "token long, n long").orderBy(F.desc("n"), "token").limit(FREQUENT)
     )
     got = rows.toArrow()
@@ -193,7 +195,7 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[Dat
                     ["doc_id", "n", "key", "first", "sketch"],
                 )
 
-    seen = stored(texts.mapInArrow(first_order, "doc_id long, n long, key binary, first array<long>, sketch array<long>"), "sets")
+    seen = stored(texts.mapInArrow(tidy(first_order), "doc_id long, n long, key binary, first array<long>, sketch array<long>"), "sets")
     classes = stored(
         seen.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "first"), "doc_id").alias("of")), "classes"
     )
@@ -233,7 +235,7 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[Dat
 
     more = ", ".join(f"p{o} array<long>" for o in range(1, ORDERS))
     sets = texts.where("doc_id is not null").select("doc_id", "text", at)
-    sets = sets.mapInArrow(all_orders, f"doc_id long, n long, {more}, tokens binary")
+    sets = sets.mapInArrow(tidy(all_orders), f"doc_id long, n long, {more}, tokens binary")
     sets = stored(sets.join(alive, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "alive-sets")
 
     # Short lists: the other orders' filters on narrow rows, then the sets of those that are left.
@@ -271,7 +273,7 @@ def verified(pairs: DataFrame, percent: int) -> DataFrame:
             ok = [_enough(_ints(a[x].as_buffer()), _ints(b[x].as_buffer()), percent) for x in range(len(a))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(verify, "a long, b long")
+    return pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(tidy(verify), "a long, b long")
 
 
 def groups_of(long: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, SLICE, buffers, shared_folder, slices, stored, word_table
+from .common import LOWER, SLICE, buffers, shared_folder, slices, stored, tidy, word_table
 
 SCALE = 22
 BLOCK_TOKENS = 1 << 18
@@ -195,13 +195,13 @@ def token_ids(docs: DataFrame, path: str, end: int) -> DataFrame:
         encoder = Encoder(path, end)
         for batch in batches:
             data, at = buffers(batch.column("text"))
-            for i, j in slices(at, 3 * SLICE):
+            for i, j in slices(at, SLICE):
                 ids, n = encoder(data, at[i : j + 1])
                 places = np.concatenate([[0], np.cumsum(2 * n)])
                 held = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n), held.cast(pa.binary())], ["doc_id", "n", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, n long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(encode), "doc_id long, n long, ids binary")
 
 
 # --- the code -----------------------------------------------------------------------------------------------
@@ -339,7 +339,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end: int, parts: int | No
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["token", "n"])
 
-    sums = ids.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    sums = ids.select("ids").mapInArrow(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = sums.toArrow()  # a row per id of the vocabulary at most
     total = np.zeros(1 << 16, np.int64)
     total[rows["token"].to_numpy()] = rows["n"].to_numpy()
@@ -375,7 +375,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end: int, parts: int | No
     count_of = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange(count_of, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     ordered.select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(
-        blocks, "part int, block long, n_docs long, n_tokens long, data binary"
+        tidy(blocks), "part int, block long, n_docs long, n_tokens long, data binary"
     ).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
@@ -404,7 +404,7 @@ def read_ids(spark, folder: str, digest) -> DataFrame:
                     ["part", "block", "doc_id", "inside", "n_tokens", "digest"],
                 )
 
-    docs = blocks.select("part", "block", "data").mapInArrow(unpack, "part int, block long, doc_id long, inside long, n_tokens long, digest long")
+    docs = blocks.select("part", "block", "data").mapInArrow(tidy(unpack), "part int, block long, doc_id long, inside long, n_tokens long, digest long")
     sizes = blocks.select("part", "block", "n_tokens")
     # Prefix sums in two steps: of the parts, then of the blocks of each part.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
