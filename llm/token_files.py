@@ -325,7 +325,7 @@ def _table(freq: DataFrame) -> np.ndarray:
 def write_ids(docs: DataFrame, folder: str, path: str, end: int, parts: int | None = None) -> None:
     """Encode every whole text of (doc_id, text) and write the file set in ascending doc_id order.
 
-    Null text: the end id alone. Rows with equal ids are each written. An empty table gives no blocks.
+    Null text: the end id alone. Rows with equal ids are each written, the longest first. An empty table gives no blocks.
     """
     spark = docs.sparkSession
     ids = stored(token_ids(docs, path, end), "ids")
@@ -373,7 +373,8 @@ def write_ids(docs: DataFrame, folder: str, path: str, end: int, parts: int | No
             yield row()
 
     count_of = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange(count_of, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    order = [F.col("doc_id"), F.desc("n"), F.col("tie")]
+    ordered = ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange(count_of, *order).sortWithinPartitions(*order)
     ordered.select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(
         tidy(blocks), "part int, block long, n_docs long, n_tokens long, data binary"
     ).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")

@@ -84,3 +84,12 @@ def test_words_of_either_case_are_encoded_once_and_odd_ones_as_they_read():
     encoder.known[0] = T.Known()
     encoder(*buffers(pa.array([texts[0]])))
     assert len(encoder.known[0].hashes) == 3  # word, and both cases of a letter beyond ASCII
+
+
+def test_of_rows_of_one_id_the_longest_comes_first(spark):
+    words = "one two three four five six seven eight".split()
+    for cut in range(1, 8):
+        rows = [(5, " ".join(words[:cut])), (5, " ".join(words)), (5, " ".join(words))]
+        place = T.written(spark.createDataFrame(rows, "doc_id long, text string"), PATH, 2)
+        got = sorted(T.read_ids(spark, place, zlib.crc32).collect(), key=lambda r: r.start)
+        assert [tuple(r) for r in got] == token_rows([rows[1], rows[2], rows[0]], PATH)
