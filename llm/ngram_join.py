@@ -1,23 +1,28 @@
-"""Exact n-gram Jaccard join by prefix filters under several global token orders.
+"""Exact n-gram Jaccard join by parts of the token space and prefix filters under several global token orders.
 
-A text's set is its distinct k-word shingles. Two sets with Jaccard >= t must share a token among their first
-``n - ceil(t n) + 1`` tokens under *every* total order of tokens, so a pair is verified only if it passes under
-all ``ORDERS`` orders. Each order puts frequent tokens last (by a count over all texts) and the others by
-an order of its own, so the lists of the first order stay short except for texts made of frequent tokens.
+A text's set is its distinct k-word shingles. Two sets with Jaccard >= t differ in few tokens, so of more parts than
+that, into which the token space is cut, one holds the same tokens in both; a part's tokens are one key. A key stands
+for some eight tokens at once: unlike texts do not meet in it, however large the table and however frequent their
+tokens. Such sets also share a token among their first ``n - ceil(t n) + 1`` tokens under *every* total order of
+tokens, so a pair is verified only if it passes under all ``ORDERS`` orders. Each order puts frequent tokens last (by a
+count over all texts) and the others by an order of its own.
 
 Texts with equal sets are one class and are compared once. Lists of up to ``LIST_PAIRS`` classes give their
 pairs, of which a bitmap of each set's token parities, whose differing bits bound the sets' difference from
-below, rules out most before the other orders and the sets are looked at; classes in longer lists are joined to groups, and each group is compared in blocks of bounded
-size inside tasks, which return only the links that connect a block. No pair is left out.
+below, rules out most before the orders and the sets are looked at. Of longer lists only what they connect is wanted:
+each class is compared with one class of a list, and lists whose classes are all connected then are done. What is left
+is compared by bitmaps inside tasks, in blocks, but for classes that are connected already; in the first turns a block
+gives only pairs that would connect its components, at last all that its bitmaps allow. No pair is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, components, distinct_by, mix, shingle_hashes, slices, stored, tidy, word_hashes
@@ -25,8 +30,10 @@ from .common import buffers, components, distinct_by, mix, shingle_hashes, slice
 ORDERS = 3
 #: A list of up to so many classes gives its pairs one by one; longer ones go by blocks.
 LIST_PAIRS = 8
-#: Classes in a block's side.
-BLOCK = 256
+#: Turns in which a block gives only the pairs that would connect its components.
+TURNS = 2
+#: Classes in a side of a block of sets, and of bitmaps.
+BLOCK, BITMAPS = 256, 2048
 #: The most frequent tokens that are broadcast (8 bytes each).
 FREQUENT = 1 << 20
 #: Bits of a set's parity bitmap, and of the table that tells texts no candidate needs.
@@ -138,6 +145,51 @@ def _lists(owner: np.ndarray, token: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(token.view(np.int64)))
 
 
+@cache
+def size_bands(most: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First size, parts and spare parts of the bands of set sizes up to ``most``.
+
+    Of two similar sets the smaller one's band has both or the larger one is in the next. They differ in fewer tokens than the
+    band has parts without the spare ones, so that more than the spare parts hold the same tokens in both. 0 parts: only equal sets are similar.
+    """
+    rows, low = [], 1
+    while low <= most:
+        high = max(low, low * 10_000 // percent**2)
+        differ = (high + high * 100 // percent) * (100 - percent) // (100 + percent)
+        spare = differ // 20 + 1 if differ >= 5 else 0
+        rows.append((low, differ + 1 + spare if differ else 0, spare))
+        low = high + 1
+    return tuple(np.array(x, np.int64) for x in zip(*rows))
+
+
+def _parts(owner: np.ndarray, token: np.ndarray, n: np.ndarray, percent: int) -> pa.ListArray:
+    """Each text's keys: the hashes of its tokens in the parts of its size's band, and of the band before if a similar set can be there.
+
+    Parts with fewer than two tokens, in which unlike texts could meet, are left out if there are no more of them
+    than spare parts: then two similar sets still have an equal part that both give.
+    """
+    low, parts, spare = size_bands(1 << max(0, int(n.max(initial=1)) - 1).bit_length(), percent)
+    own, keys, whose = np.searchsorted(low, n, "right") - 1, [], []
+    for back in range(2):
+        band = np.maximum(own - back, 0)
+        count = np.where((own >= back) & ((back == 0) | ((low[own] - 1) * 100 // percent >= n)), parts[band], 0)
+        first = np.concatenate([[0], np.cumsum(count)])
+        mine = count[owner] > 0
+        who, held = owner[mine], token[mine]
+        at = first[who] + (((mix(held, 55) >> np.uint64(32)) * count[who].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        total = np.zeros(first[-1], np.uint64)
+        np.add.at(total, at, mix(held, 33))
+        text = np.repeat(np.arange(len(n)), count)
+        number = np.arange(first[-1]) - first[text]
+        light = np.bincount(at, minlength=first[-1]) < 2
+        keep = ~(light & (np.bincount(text[light], minlength=len(n)) <= spare[band])[text])
+        keys.append(mix(total + mix((band[text] << 32 | number).astype(np.uint64), 91))[keep])
+        whose.append(text[keep])
+    whose = np.concatenate(whose)
+    by = np.argsort(whose, kind="stable")
+    return _lists(whose[by], np.concatenate(keys)[by], len(n))
+
+
 def _sketch(owner: np.ndarray, token: np.ndarray, n: int) -> pa.ListArray:
     """Each set's bitmap: bit b is the parity of the number of its tokens that hash to b. Differing bits <= differing tokens."""
     place, count = np.unique(owner * SKETCH + (mix(token, 77) >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64), return_counts=True)
@@ -180,7 +232,7 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[Dat
     texts = docs.select("doc_id", "text")
     shared = spark.sparkContext.broadcast(frequent_tokens(texts, k))
 
-    def first_order(batches):
+    def keyed(batches):
         for batch in batches:
             for i, m, owner, token in _sets(batch, k):
                 n = np.bincount(owner, minlength=m)
@@ -191,32 +243,33 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[Dat
                     key[some, c] = np.add.reduceat(mix(token, 11 + c), at[some])
                 keys = [key[x].tobytes() if n[x] else None for x in range(m)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, m), pa.array(n), pa.array(keys, pa.binary()), _lists(*_prefixes(owner, token, n, shared.value, percent, 0), m), _sketch(owner, token, m)],
-                    ["doc_id", "n", "key", "first", "sketch"],
+                    [batch.column("doc_id").slice(i, m), pa.array(n), pa.array(keys, pa.binary()), pa.array(key[:, 0].view(np.int64)), _parts(owner, token, n, percent), _sketch(owner, token, m)],
+                    ["doc_id", "n", "key", "class", "parts", "sketch"],
                 )
 
-    seen = stored(texts.mapInArrow(tidy(first_order), "doc_id long, n long, key binary, first array<long>, sketch array<long>"), "sets")
-    classes = stored(
-        seen.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "first"), "doc_id").alias("of")), "classes"
-    )
+    seen = stored(texts.mapInArrow(tidy(keyed), "doc_id long, n long, key binary, class long, parts array<long>, sketch array<long>"), "sets")
+    named = seen.where("key is not null and doc_id is not null")
+    classes = stored(named.groupBy("class", "key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     members = stored(
         seen.select("doc_id", "n", "key").join(classes.select("key", "rep"), "key", "left").select("doc_id", "rep", F.col("n").alias("n_shingles")), "members"
     )
-    reps = classes.select(F.col("rep").alias("doc_id"))
-    postings = classes.select("rep", F.col("of.n").alias("n"), F.explode("of.first").alias("token")).repartition("token")
-    sizes = postings.groupBy("token").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-    crowded = stored(postings.join(sizes, "token"), "lists")
-    short = short_pairs(crowded, percent)
-    # A class's representative is a text of its own, so its bitmap is that of its doc_id.
-    bits = seen.where("doc_id is not null").select("doc_id", "n", "sketch").join(reps, "doc_id", "left_semi")
-    bit_a, bit_b = (bits.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    # A list is kept if it holds several classes; ``class`` is half a key, and classes that share it come back as two.
+    alike = Window.partitionBy("token")
+    several = named.select("class", F.explode("parts").alias("token")).select("*", F.min("class").over(alike).alias("least"), F.max("class").over(alike).alias("last"))
+    several = stored(several.where("least < last").select("token", "class").distinct(), "several")
+    facts = stored(classes.join(several.select("class").distinct(), "class", "left_semi").select("class", "rep", "n", "sketch"), "facts")
+    lists = stored(several.join(facts.select("class", "rep", "n"), "class").select("token", "rep", "n", F.count("*").over(alike).alias("size")), "lists")
+
+    bit_a, bit_b = (facts.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    pairs = stored(
-        short.join(bit_a, "a").join(bit_b, "b").where(differ * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct(), "pairs"
-    )
-    groups = stored(groups_of(crowded.where(F.col("size") > LIST_PAIRS)), "groups")
 
-    alive = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(groups.select("doc_id")).distinct(), "alive")
+    def like(pairs):
+        return pairs.join(bit_a, "a").join(bit_b, "b").where(differ * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+
+    pairs = stored(like(short_pairs(lists, percent)), "pairs")
+    long = lists.where(F.col("size") > LIST_PAIRS).select("token", "rep")
+
+    alive = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(long.select("rep")).distinct(), "alive")
     at = F.pmod(F.xxhash64("doc_id"), F.lit(TABLE)).alias("at")
     needed = spark.sparkContext.broadcast(bit_table(alive.select(at)))
 
@@ -227,30 +280,111 @@ def similar_classes(docs: DataFrame, k: int = 3, percent: int = 90) -> tuple[Dat
             for i, m, owner, token in _sets(batch, k):
                 n = np.bincount(owner, minlength=m)
                 at = np.concatenate([[0], np.cumsum(n)])
-                more = [_lists(*_prefixes(owner, token, n, shared.value, percent, o), m) for o in range(1, ORDERS)]
+                first = [_lists(*_prefixes(owner, token, n, shared.value, percent, o), m) for o in range(ORDERS)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, m), pa.array(n), *more, pa.array([token[at[x] : at[x + 1]].tobytes() for x in range(m)], pa.binary())],
-                    ["doc_id", "n", *(f"p{o}" for o in range(1, ORDERS)), "tokens"],
+                    [batch.column("doc_id").slice(i, m), *first, pa.array([token[at[x] : at[x + 1]].tobytes() for x in range(m)], pa.binary())],
+                    ["doc_id", *orders, "tokens"],
                 )
 
-    more = ", ".join(f"p{o} array<long>" for o in range(1, ORDERS))
+    orders = [f"p{o}" for o in range(ORDERS)]
     sets = texts.where("doc_id is not null").select("doc_id", "text", at)
-    sets = sets.mapInArrow(tidy(all_orders), f"doc_id long, n long, {more}, tokens binary")
+    sets = sets.mapInArrow(tidy(all_orders), f"doc_id long, {', '.join(f'{p} array<long>' for p in orders)}, tokens binary")
     sets = stored(sets.join(alive, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "alive-sets")
 
-    # Short lists: the other orders' filters on narrow rows, then the sets of those that are left.
     def side(name, *columns):
         return sets.select(F.col("doc_id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
-    orders = [f"p{o}" for o in range(1, ORDERS)]
-    passed = pairs.join(side("a", *orders), "a").join(side("b", *orders), "b")
-    for p in orders:
-        passed = passed.where(F.arrays_overlap(f"{p}_a", f"{p}_b"))
-    passed = passed.select("a", "b").join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
+    def similar(pairs):
+        """The orders' filters on narrow rows, then the sets of those that are left."""
+        passed = pairs.join(side("a", *orders), "a").join(side("b", *orders), "b")
+        for p in orders:
+            passed = passed.where(F.arrays_overlap(f"{p}_a", f"{p}_b"))
+        return verified(passed.select("a", "b").join(side("a", "tokens"), "a").join(side("b", "tokens"), "b"), percent)
+
+    links = stored(similar(stored(pairs.union(like(one_each(long))).distinct(), "pairs")), "links")
+    return members, connected(long, links, facts, percent, similar)
+
+
+def one_each(lists: DataFrame) -> DataFrame:
+    """(a, b), a < b: a pair for each class of lists (token, rep), with the first class of a list in one order of all: few stand for many lists."""
+    by = F.struct(F.xxhash64("rep").alias("place"), "rep")
+    heads = lists.groupBy("token").agg(F.min(by)["rep"].alias("head"))
+    pairs = lists.join(heads, "token").where("rep <> head").groupBy("rep").agg(F.min("head").alias("head"))
+    return pairs.select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"))
+
+
+def connected(lists: DataFrame, links: DataFrame, facts: DataFrame, percent: int, similar: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The links, and others that connect what similar classes of the lists (token, rep) connect.
+
+    ``similar`` gives those of the pairs (a, b) that are similar. Bitmaps are close to the sets' difference, so most pairs that
+    would connect components do, and in the last turn few components with pairs to compare are left.
+    """
+    if not lists.limit(1).count():
+        return links
+    root = components(links)
+    now = lists.join(root, lists.rep == root.v, "left").select("token", "rep", F.coalesce("root", "rep").alias("component"))
+    several = now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("rep").alias("pivot")).where("x < y")
+    now = stored(now.join(several.select("token", "pivot"), "token"), "unconnected")
+    if not now.limit(1).count():
+        return links
+    group = components(now.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+    rows = stored(group.select(F.col("v").alias("rep"), F.col("root").alias("grp")).join(facts.select("rep", "n", "sketch"), "rep"), "groups")
+    for turn in range(TURNS + 1):
+        at = rows.join(components(links) if turn else root, F.col("rep") == F.col("v"), "left").withColumn("component", F.coalesce("root", "rep")).drop("v", "root")
+        pairs = stored(across(at, percent, turn < TURNS), "pairs")
+        if not pairs.limit(1).count():
+            return links
+        links = stored(links.union(similar(pairs)), "links")
+    return links
+
+
+def across(rows: DataFrame, percent: int, connecting: bool) -> DataFrame:
+    """(a, b), a < b: pairs of a group's classes of different components whose bitmaps allow similar sets; if ``connecting``, of each block those that would connect it.
+
+    ``rows`` has rep, grp, component, n and sketch. A group's largest component is compared with the others only, which are
+    compared with each other as well; what is dealt out to blocks are bitmaps, BITMAPS a side.
+    """
+    sizes = rows.groupBy("grp", "component").agg(F.count("*").alias("size"))
+    sizes = sizes.groupBy("grp").agg(F.max(F.struct("size", "component")).alias("most"), F.sum("size").alias("size"))
+    sides = lambda n: F.ceil(n / BITMAPS)
+    sizes = sizes.select("grp", F.col("most.component").alias("most"), sides(F.col("size") - F.col("most.size")).alias("few"), sides(F.col("most.size")).alias("many"))
+    place, few, many = F.xxhash64("rep"), F.col("few"), F.col("many")
+    rows = rows.join(sizes.where("few > 0"), "grp").withColumn("side", F.when(F.col("component") == F.col("most"), few + F.pmod(place, many)).otherwise(F.pmod(place, few)))
+    low = rows.where("side < few").select("*", F.explode(F.sequence("side", few + many - 1)).alias("other")).select(
+        "*", F.col("side").alias("s1"), F.col("other").alias("s2"), F.lit(0).alias("part")
+    )
+    high = rows.where("side > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.least("side", "few") - 1)).alias("other")).select(
+        "*", F.col("other").alias("s1"), F.col("side").alias("s2"), F.lit(1).alias("part")
+    )
 
-    found = verified(passed, percent)
-    links = found.union(compare_blocks(groups.join(sets, "doc_id"), percent, orders))
-    return members, stored(links.distinct(), "links")
+    def compare(key, table):
+        part = table["part"].to_numpy()
+        ids, n = table["rep"].to_numpy(), table["n"].to_numpy()
+        comp = np.unique(table["component"].to_numpy(), return_inverse=True)[1]
+        bits = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        first = np.flatnonzero(part == 0)
+        second = first if key[1].as_py() == key[2].as_py() else np.flatnonzero(part == 1)
+        found = [np.zeros((2, 0), np.int64)]
+        for i in range(0, len(first), 64):
+            x, y = first[i : i + 64, None], second[None, :]
+            differ = sum(np.bitwise_count(bits[x, w] ^ bits[y, w]).astype(np.int64) for w in range(bits.shape[1]))
+            spare = (100 - percent) * (n[x] + n[y]) - differ * (100 + percent)
+            at, to = np.nonzero((comp[x] != comp[y]) & (spare >= 0) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])))
+            x, y = first[i + at], second[to]
+            if connecting:
+                kept = []
+                for p in np.argsort(-spare[at, to] / (n[x] + n[y])):
+                    a, b = comp[x[p]], comp[y[p]]
+                    if a != b:
+                        kept.append(p)
+                        comp[comp == max(a, b)] = min(a, b)
+                x, y = x[kept], y[kept]
+            found.append(np.stack([ids[x], ids[y]]))
+        pairs = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    blocks = low.union(high).select("grp", "s1", "s2", "part", "rep", "component", "n", "sketch").groupBy("grp", "s1", "s2")
+    return blocks.applyInArrow(compare, "a long, b long").distinct()
 
 
 def short_pairs(lists: DataFrame, percent: int) -> DataFrame:

@@ -1,5 +1,7 @@
+import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from plain_versions import corpus, plain
 
@@ -46,3 +48,40 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.v: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = defaultdict(int) | {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {60: 50, 55: 50, 50: 50}
     assert got == want
+
+
+def test_unlike_texts_of_common_tokens_do_not_meet(docs, monkeypatch):
+    """Each token is in some 20 texts, and few tokens have their counts known: lists of single tokens would bring all texts into one group."""
+    rng = random.Random(4)
+    lines = [" ".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
+    rows = list(enumerate(" ".join(rng.sample(lines, 10)) for _ in range(300)))
+    rows += [(300, rows[7][1] + " a"), (301, "z " + rows[9][1])]
+    written = {}
+    real = N.stored
+    monkeypatch.setattr(N, "stored", lambda df, label: written.setdefault(label, real(df, label)))
+    monkeypatch.setattr(N, "FREQUENT", 4)
+    assert result(N.jaccard_components(docs(rows))) == plain(rows)
+    assert written["alive"].count() < 30
+
+
+@pytest.mark.parametrize("turns", [0, 2])
+def test_crowded_lists_by_turns_and_bitmaps(docs, monkeypatch, turns):
+    for name, value in (("LIST_PAIRS", 1), ("TURNS", turns), ("BITMAPS", 8)):
+        monkeypatch.setattr(N, name, value)
+    rows = corpus(6, 3, 50, 8) + [(1, "a b c d"), (2, "a b c d")]
+    assert result(N.jaccard_components(docs(rows))) == plain(rows)
+
+
+@pytest.mark.parametrize("percent", [90, 60])
+def test_sets_within_the_threshold_share_a_part(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(400):
+        n = int(rng.integers(1, 400))
+        a = rng.integers(1, 1 << 63, n, np.uint64)
+        out = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+        b = np.concatenate([a[out:], rng.integers(1, 1 << 63, max(0, (100 * (n - out) - percent * n) // percent), np.uint64)])
+        assert N._enough(np.sort(a), np.sort(b), percent)
+        size = np.array([len(a), len(b), 0])
+        x, y, empty = N._parts(np.repeat([0, 1], size[:2]), np.concatenate([a, b]), size, percent).to_pylist()
+        assert set(x) & set(y) or set(a.tolist()) == set(b.tolist())
+        assert empty == []
