@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from plain_versions import corpus, plain
@@ -50,8 +51,9 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == want
 
 
-def test_unlike_texts_of_common_tokens_do_not_meet(docs, monkeypatch):
-    """Each token is in some 20 texts, and few tokens have their counts known: lists of single tokens would bring all texts into one group."""
+@pytest.fixture
+def common_tokens(monkeypatch):
+    """Texts whose tokens are in some 20 texts each, of few of which counts are known, and what is written for them: lists of single tokens would bring all into one group."""
     rng = random.Random(4)
     lines = [" ".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
     rows = list(enumerate(" ".join(rng.sample(lines, 10)) for _ in range(300)))
@@ -60,10 +62,22 @@ def test_unlike_texts_of_common_tokens_do_not_meet(docs, monkeypatch):
     real = N.stored
     monkeypatch.setattr(N, "stored", lambda df, label: written.setdefault(label, real(df, label)))
     monkeypatch.setattr(N, "FREQUENT", 4)
+    return rows, written
+
+
+def test_unlike_texts_of_common_tokens_do_not_meet(docs, common_tokens):
+    rows, written = common_tokens
     assert result(N.jaccard_components(docs(rows))) == plain(rows)
     assert written["alive"].count() < 30
 
 
+def test_the_stage_compares_few_of_them(spark, docs, common_tokens):
+    rows, written = common_tokens
+    kept = corpus_pipeline.near_copies(spark, docs(rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, root) in plain(rows).items() if i == root)
+    assert written["alive"].count() < 30
+
+
 @pytest.mark.parametrize("turns", [0, 2])
 def test_crowded_lists_by_turns_and_bitmaps(docs, monkeypatch, turns):
     for name, value in (("LIST_PAIRS", 1), ("TURNS", turns), ("BITMAPS", 8)):
